@@ -1,7 +1,7 @@
 from millrace.functions.chat import request_body
 from millrace.functions.names import camel_form, is_valid_name
 from millrace.functions.tags import default_tags, merge_tags, tag_filter
-from millrace.functions.time import utc_day
+from millrace.functions.time import utc_day, utc_instant
 
 __all__ = [
     "camel_form",
@@ -11,4 +11,5 @@ __all__ = [
     "request_body",
     "tag_filter",
     "utc_day",
+    "utc_instant",
 ]

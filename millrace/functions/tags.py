@@ -18,9 +18,11 @@ def merge_tags(default: Column | str, user: Column | str) -> Column:
 
     The shared keys leave the defaults first, because ``map_concat`` rejects duplicates.
     """
-    default, user = as_column(default), F.coalesce(as_column(user), F.create_map().cast("map<string,string>"))
+    none = F.create_map().cast("map<string,string>")
+    default = F.coalesce(as_column(default), none)
+    user = F.coalesce(as_column(user), none)
     kept = F.map_filter(default, lambda key, _: ~F.map_contains_key(user, key))
-    return F.coalesce(F.map_concat(kept, user), user)
+    return F.map_concat(kept, user)
 
 
 def tag_filter(df: DataFrame, key: str, value: str, tags: str = "tags") -> DataFrame:

@@ -14,3 +14,11 @@ def utc_day(df: DataFrame, column: str) -> Column:
         return F.to_date(column)
     days = F.floor(F.unix_seconds(F.col(column)) / 86400)
     return F.date_from_unix_date(days.cast("int"))
+
+
+def utc_instant(df: DataFrame, column: str) -> Column:
+    """A timestamp with a zone; one without is taken as UTC."""
+    if not isinstance(df.schema[column].dataType, TimestampNTZType):
+        return F.col(column).cast("timestamp")
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
+    return local.cast("timestamp")

@@ -15,7 +15,7 @@ from millrace.operators.chat import (
 )
 from millrace.operators.names import name_audit
 from millrace.operators.objects import object_keys, object_state, objects_exist
-from millrace.operators.rates import rate_limit_audit, throttled_requests, tier_table
+from millrace.operators.rates import rate_limit_audit, throttled_requests
 
 __all__ = [
     "alert_recipients",
@@ -35,5 +35,4 @@ __all__ = [
     "single_turn_requests",
     "spend_by_period",
     "throttled_requests",
-    "tier_table",
 ]

@@ -55,7 +55,7 @@ def budget_limits(budgets: DataFrame) -> DataFrame:
     limits = _per_time_unit(
         "limit_amount",
         {
-            "DAILY": F.floor(F.col("monthly") / 30),
+            "DAILY": F.expr("monthly div 30"),
             "MONTHLY": F.col("monthly"),
             "QUARTERLY": F.col("monthly") * 3,
             "ANNUALLY": F.col("monthly") * 12,
@@ -120,6 +120,8 @@ def budget_alerts(
         reached = COMPARISONS[comparison](spend, threshold)
     else:
         raise ValueError(f"Unknown threshold type {threshold_type!r}")
+    if unknown := rules.keys() - DEFAULT_RULES.keys():
+        raise ValueError(f"Unknown time unit {sorted(unknown)}, use one of {[*DEFAULT_RULES]}")
 
     thresholds = F.create_map(
         *(

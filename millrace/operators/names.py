@@ -14,8 +14,13 @@ def name_audit(df: DataFrame, column: str) -> DataFrame:
     """
     names = (
         df.select(F.col(column).alias("name"))
+        .filter("name is not null")
         .distinct()
-        .select("name", is_valid_name("name").alias("ok"), camel_form("name").alias("camel"))
+        .select(
+            "name",
+            is_valid_name("name").alias("ok"),
+            F.coalesce(camel_form("name"), F.lit("")).alias("camel"),
+        )
     )
     shared = (
         names.groupBy("camel").agg(F.count("*").alias("same_camel")).filter("same_camel > 1")

@@ -1,93 +1,104 @@
 """Request rates against the limit of a tier.
 
-Requests have ``request_id, api_key, tier, ts``; tiers have ``tier, limit_per_minute``, with a
-null limit for no limit. A tier that is not listed has no limit either. A limit is the number
-of requests one key may make on one tier per window, a minute unless another is given.
+Requests have ``request_id, api_key, tier, ts``. Tiers map a name to the number of requests one
+key may make on that tier per window, a minute unless another is given; ``None`` is no limit,
+and neither has a tier that is not listed. The tiers are part of the plan and join nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Requests per minute of each tier.
 DEFAULT_TIERS = {"default": None, "tier-1": 500, "tier-2": 5000, "tier-3": 10000}
 
+Tiers = Mapping[str, int | None]
 
-def tier_table(
-    spark: SparkSession, tiers: Mapping[str, int | None] = DEFAULT_TIERS
-) -> DataFrame:
-    """The tiers as a DataFrame of known size, which Spark broadcasts by itself."""
-    return spark.createDataFrame(list(tiers.items()), "tier string, limit_per_minute int")
+
+def _limited(tiers: Tiers) -> dict[str, int]:
+    return {tier: limit for tier, limit in tiers.items() if limit is not None}
 
 
-def exceeded() -> Column:
-    """Whether a count of requests is above its limit; never without a limit."""
-    return F.coalesce(F.col("requests") > F.col("limit_per_minute"), F.lit(False))
+def limit_of(tier: str, tiers: Tiers) -> Column:
+    """The limit of the tier in a column, null where it has none."""
+    limits = [F.lit(part) for entry in _limited(tiers).items() for part in entry]
+    if not limits:
+        return F.lit(None).cast("int")
+    return F.try_element_at(F.create_map(*limits), F.col(tier)).cast("int")
+
+
+def with_limits(counts: DataFrame, tiers: Tiers) -> DataFrame:
+    """Counted requests with their tier's limit and whether they exceed it."""
+    limited = counts.withColumn("limit_per_minute", limit_of("tier", tiers))
+    exceeded = F.coalesce(F.col("requests") > F.col("limit_per_minute"), F.lit(False))
+    return limited.select(
+        "api_key",
+        "tier",
+        "window_start",
+        "requests",
+        "limit_per_minute",
+        exceeded.alias("exceeded"),
+    )
 
 
 def rate_limit_audit(
-    requests: DataFrame, tiers: DataFrame, window: str = "1 minute"
+    requests: DataFrame, tiers: Tiers = DEFAULT_TIERS, window: str = "1 minute"
 ) -> DataFrame:
     """Count the requests of every key, tier and window and compare with the tier's limit.
 
-    Counts combine before the shuffle, so a busy key sends one row per window and task. Tiers
-    join the counts, not the requests.
+    Counts combine before the shuffle, so a busy key sends one row per window and task.
     """
-    return (
+    counts = (
         requests.select("api_key", "tier", F.window("ts", window).start.alias("window_start"))
         .groupBy("api_key", "tier", "window_start")
         .agg(F.count("*").alias("requests"))
-        .join(tiers, "tier", "left")
-        .select(
-            "api_key",
-            "tier",
-            "window_start",
-            "requests",
-            "limit_per_minute",
-            exceeded().alias("exceeded"),
-        )
     )
+    return with_limits(counts, tiers)
 
 
 def throttled_requests(
     requests: DataFrame,
-    tiers: DataFrame,
+    tiers: Tiers = DEFAULT_TIERS,
     window: str = "1 minute",
     slice_length: str = "1 second",
 ) -> DataFrame:
     """The requests beyond their limit, with their number ``n`` within key, tier and window.
 
     Requests count in the order of ``ts``, then ``request_id``. Numbering a busy key's whole
-    window in one task is avoided: windows are cut into short slices, slices are counted with
+    window in one task is avoided: windows are cut into slices, slices are counted with
     a combined aggregation, and a running sum gives each slice its offset. Only the requests
     of slices that end beyond the limit are numbered, slice by slice, so a log where few keys
     exceed their limit shuffles few requests.
     """
     group = ["api_key", "tier", "window_start"]
     limited = (
-        requests.select(
-            "request_id", "api_key", "tier", "ts", F.window("ts", window).start.alias("window_start")
+        requests.filter(F.col("tier").isin(list(_limited(tiers))))
+        .select(
+            "request_id",
+            "api_key",
+            "tier",
+            "ts",
+            F.window("ts", window).start.alias("window_start"),
         )
         .withColumn("slice", F.window("ts", slice_length).start)
-        .join(tiers.filter("limit_per_minute is not null"), "tier")
     )
     earlier = (
         Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     beyond = (
-        limited.groupBy(*group, "slice", "limit_per_minute")
+        limited.groupBy(*group, "slice")
         .agg(F.count("*").alias("requests"))
         .withColumn("before", F.coalesce(F.sum("requests").over(earlier), F.lit(0)))
-        .filter(F.col("before") + F.col("requests") > F.col("limit_per_minute"))
+        .filter(F.col("before") + F.col("requests") > limit_of("tier", tiers))
         .select(*group, "slice", "before")
     )
     within = Window.partitionBy(*group, "slice").orderBy("ts", "request_id")
     return (
         limited.join(beyond, [*group, "slice"])
         .withColumn("n", F.col("before") + F.row_number().over(within))
-        .filter(F.col("n") > F.col("limit_per_minute"))
+        .filter(F.col("n") > limit_of("tier", tiers))
         .select("request_id", "n")
     )

@@ -76,7 +76,7 @@ def q_list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_read_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
     pages = table(spark, sf_dir, "pages")
-    pages.write.json(root)
+    pages.write.option("maxRecordsPerFile", 1000).json(root)
     lines = F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")
     return (
         read_objects(spark, root)
@@ -228,19 +228,17 @@ def q_alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rate_limit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.to_requests(table(spark, sf_dir, "events"))
-    return rates.rate_limit_audit(requests, rates.tier_table(spark))
+    return rates.rate_limit_audit(requests)
 
 
 def q_rate_limit_audit_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.to_requests(table(spark, sf_dir, "events"))
-    return rates.rate_limit_audit(requests, rates.tier_table(spark, TIGHT_TIERS), "1 day")
+    return rates.rate_limit_audit(requests, TIGHT_TIERS, "1 day")
 
 
 def q_throttled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.to_requests(table(spark, sf_dir, "events"), api_key="event_type")
-    return rates.throttled_requests(
-        requests, rates.tier_table(spark, TIGHT_TIERS), "1 hour", "1 minute"
-    )
+    return rates.throttled_requests(requests, TIGHT_TIERS, "1 hour", "1 minute")
 
 
 def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +246,7 @@ def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     counts = rate_limit_stream(
         inputs.to_requests(_events_topic(spark, sf_dir)),
-        rates.tier_table(spark, TIGHT_TIERS),
+        TIGHT_TIERS,
         "1 day",
         watermark="40 days",
     )

@@ -3,35 +3,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.rates import exceeded
+from millrace.functions.time import utc_instant
+from millrace.operators.rates import DEFAULT_TIERS, Tiers, with_limits
 
 
 def rate_limit_stream(
     requests: DataFrame,
-    tiers: DataFrame,
+    tiers: Tiers = DEFAULT_TIERS,
     window: str = "1 minute",
     watermark: str = "10 minutes",
 ) -> DataFrame:
     """:func:`millrace.operators.rates.rate_limit_audit` over a stream of requests.
 
-    State is one count per key, tier and open window; ``watermark`` is how long a window stays
-    open for late requests, which later ones are dropped. Write it in update mode with
+    State is one count per key, tier and open window. ``watermark`` is how long a window stays
+    open for late requests; later ones are dropped. Write it in update mode with
     :func:`millrace.sinks.write_updates` to see windows as they fill, or in append mode to get
     each window once, after the watermark has passed it. Watermarks need a timestamp with a
-    zone, so one without is taken to be in the session's time zone.
+    zone; one without is taken as UTC.
     """
-    return (
-        requests.select("api_key", "tier", F.col("ts").cast("timestamp").alias("ts"))
+    counts = (
+        requests.select("api_key", "tier", utc_instant(requests, "ts").alias("ts"))
         .withWatermark("ts", watermark)
         .groupBy(F.window("ts", window), "api_key", "tier")
         .agg(F.count("*").alias("requests"))
-        .join(tiers, "tier", "left")
-        .select(
-            "api_key",
-            "tier",
-            F.col("window.start").alias("window_start"),
-            "requests",
-            "limit_per_minute",
-            exceeded().alias("exceeded"),
-        )
+        .withColumn("window_start", F.col("window.start"))
     )
+    return with_limits(counts, tiers)

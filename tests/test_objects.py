@@ -1,0 +1,203 @@
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from millrace.operators import object_keys, object_state, objects_exist
+from millrace.sinks import delete_objects, put_objects
+from millrace.sources import list_objects, read_objects, read_table
+
+SCHEMA = "key string, seq bigint, op string, content binary"
+
+
+def test_put_replace_delete_and_put_again(spark, rows):
+    log = spark.createDataFrame(
+        [
+            ("kept", 1, "put", b"Hello, World!"),
+            ("replaced", 2, "put", b"new"),
+            ("replaced", 1, "put", b"old"),
+            ("deleted", 1, "put", b"x"),
+            ("deleted", 2, "delete", None),
+            ("returned", 1, "put", b"x"),
+            ("returned", 2, "delete", None),
+            ("returned", 3, "put", b"y"),
+            ("never there", 1, "delete", None),
+            ("tie", 1, "delete", None),
+            ("tie", 1, "put", b"x"),
+            ("replayed", 1, "put", b"x"),
+            ("replayed", 1, "put", b"x"),
+            ("empty", 1, "put", b""),
+        ],
+        SCHEMA,
+    )
+    assert rows(object_state(log)) == sorted(
+        [
+            ("kept", b"Hello, World!"),
+            ("replaced", b"new"),
+            ("returned", b"y"),
+            ("replayed", b"x"),
+            ("empty", b""),
+        ],
+        key=repr,
+    )
+    assert rows(object_keys(log)) == rows(object_state(log), "key")
+
+
+operations = st.lists(
+    st.tuples(
+        st.sampled_from("abc"),
+        st.integers(0, 4),
+        st.sampled_from(["put", "delete"]),
+        st.binary(max_size=2),
+    ),
+    min_size=1,
+    max_size=40,
+)
+
+
+@settings(
+    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(operations)
+def test_any_log_like_a_dictionary(spark, rows, ops):
+    log = [(k, s, op, bytes(c) if op == "put" else None) for k, s, op, c in ops]
+    store = {}
+    for key, _, op, content in sorted(
+        log, key=lambda r: (r[1], r[2] == "delete", r[3] or b"")
+    ):
+        if op == "put":
+            store[key] = content
+        else:
+            store.pop(key, None)
+    df = spark.createDataFrame(log, SCHEMA)
+    assert dict(rows(object_state(df))) == store
+    assert {key for (key,) in rows(object_keys(df))} == set(store)
+
+
+def test_log_table(spark, rows):
+    spark.sql("CREATE DATABASE IF NOT EXISTS object_test")
+    new = spark.createDataFrame([("a", 1, b"1"), ("b", 1, b"2")], "key string, seq int, content binary")
+    put_objects(new, "object_test", "log", "parquet")
+    delete_objects(new.filter("key = 'a'").withColumn("seq", F.lit(2)), "object_test", "log", "parquet")
+    put_objects(new.filter("key = 'b'"), "object_test", "log", "parquet")
+    log = read_table(spark, "object_test", "log")
+    assert log.count() == 4
+    assert rows(object_state(log)) == [("b", b"2")]
+
+
+def test_exist(spark, rows):
+    log = spark.createDataFrame([("test.txt", 1, "put", b"x")], SCHEMA)
+    keys = spark.createDataFrame(
+        [("test.txt",), ("test.txt",), ("not-exist.txt",)], "key string"
+    )
+    assert rows(objects_exist(keys, object_state(log))) == [
+        ("not-exist.txt", False),
+        ("test.txt", True),
+    ]
+
+
+def test_hot_key_is_reduced_before_the_shuffle(spark, rows):
+    """A third of the log is one key's, and another third copies of one put."""
+    log = spark.range(0, 30_000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, "hot")
+        .when(F.col("id") % 3 == 1, "copied")
+        .otherwise(F.concat(F.lit("k"), "id"))
+        .alias("key"),
+        F.when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("seq"),
+        F.lit("put").alias("op"),
+        F.encode(F.when(F.col("id") % 3 == 1, "c").otherwise(F.col("id").cast("string")), "UTF-8").alias(
+            "content"
+        ),
+    )
+    state = object_state(log)
+    assert rows(state.filter("key in ('hot', 'copied')")) == [("copied", b"c"), ("hot", b"29997")]
+    assert state.count() == 10_002
+    for result, aggregate in ((state, "partial_max(struct"), (object_keys(log), "partial_max(seq")):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert plan.index(aggregate) > plan.index("Exchange hashpartitioning")
+
+
+def test_exist_on_a_log_reads_no_content(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1, "put", b"x")], SCHEMA)
+    log.write.parquet(f"{tmp_path}/log")
+    keys = object_keys(spark.read.parquet(f"{tmp_path}/log"))
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"FileScan parquet \[(.*?)\]", plan) == [
+        ",".join(re.findall(r"(?:key|seq|op)#\d+L?", plan.split("FileScan parquet")[1])[:3])
+    ]
+    assert "content" not in plan
+
+
+KEYS = [
+    "test1.txt",
+    "test2.txt",
+    "dir/test3.txt",
+    "dir/deeper/a b.txt",
+    "50%.txt",
+    "50%25.txt",
+    "a+b&c=d#e.txt",
+    "pattern[1].txt",
+    "pattern1.txt",
+    "{a,b}.txt",
+    "star*.txt",
+    "question?.txt",
+    "ünï-コード.txt",
+]
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "bucket"
+    for key in KEYS:
+        (root / key).parent.mkdir(parents=True, exist_ok=True)
+        (root / key).write_bytes(f"content of {key}".encode())
+    return root
+
+
+@pytest.mark.parametrize("form", ["{}", "{}/", "file:{}", "file://{}"])
+def test_list(spark, rows, tree, form):
+    listed = list_objects(spark, form.format(tree))
+    assert listed.columns == ["key", "length", "modified"]
+    assert rows(listed, "key", "length") == sorted(
+        ((key, len(f"content of {key}".encode())) for key in KEYS), key=repr
+    )
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_read_all(spark, rows, tree):
+    expected = sorted(((key, f"content of {key}".encode()) for key in KEYS), key=repr)
+    assert rows(read_objects(spark, str(tree))) == expected
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_read_one(spark, rows, tree, key):
+    assert rows(read_objects(spark, str(tree), [key])) == [(key, f"content of {key}".encode())]
+
+
+def test_read_some_opens_only_those(spark, rows, tree):
+    some = read_objects(spark, str(tree), ["test1.txt", "dir/test3.txt", "test1.txt"])
+    assert rows(some, "key") == [("dir/test3.txt",), ("test1.txt",)]
+    assert len(some.inputFiles()) == 2
+
+
+def test_read_missing(spark, tree):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_objects(spark, str(tree), ["test1.txt", "test-not-exist.txt"])
+
+
+def test_read_none(spark, tree):
+    assert read_objects(spark, str(tree), []).count() == 0
+    with pytest.raises(TypeError):
+        read_objects(spark, str(tree), "test1.txt")
+
+
+def test_exist_in_a_listing(spark, rows, tree):
+    keys = spark.createDataFrame([("test1.txt",), ("not-exist.txt",)], "key string")
+    assert rows(objects_exist(keys, list_objects(spark, str(tree)))) == [
+        ("not-exist.txt", False),
+        ("test1.txt", True),
+    ]
