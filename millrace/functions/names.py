@@ -16,6 +16,6 @@ def is_valid_name(name: Column | str) -> Column:
 
 
 def camel_form(name: Column | str) -> Column:
-    """The words of a name, split at all but ASCII letters and digits, capitalized and joined."""
-    words = F.regexp_replace(as_column(name), "[^a-zA-Z0-9]+", " ")
-    return F.regexp_replace(F.initcap(words), " ", "")
+    """The words of a name, runs of ASCII letters and digits, capitalized and joined."""
+    words = F.regexp_extract_all(as_column(name), F.lit("([a-zA-Z0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(words, F.initcap), "")

@@ -20,5 +20,5 @@ def utc_instant(df: DataFrame, column: str) -> Column:
     """A timestamp with a zone; one without is taken as UTC."""
     if not isinstance(df.schema[column].dataType, TimestampNTZType):
         return F.col(column).cast("timestamp")
-    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
-    return local.cast("timestamp")
+    since_epoch = F.col(column) - F.expr("timestamp_ntz'1970-01-01'")
+    return F.expr("timestamp'1970-01-01 00:00:00Z'") + since_epoch

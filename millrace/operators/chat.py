@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.chat import DEFAULT_PARAMETERS, DEFAULT_ROLE, request_body
+from millrace.functions.chat import DEFAULT_PARAMETERS, DEFAULT_ROLE, message, request_body
 
 #: Sends one request body and returns the HTTP status and the response body.
 Client = Callable[[str], tuple[int, str]]
@@ -22,11 +22,9 @@ def single_turn_requests(
     stream: bool = False,
 ) -> DataFrame:
     """One request per row of ``id, question, role``; a null role is the user's."""
-    message = F.struct(
-        F.coalesce("role", F.lit(DEFAULT_ROLE)).alias("role"), F.col("question").alias("content")
-    )
+    role = F.coalesce("role", F.lit(DEFAULT_ROLE))
     return questions.select(
-        "id", request_body(F.array(message), parameters, stream).alias("request")
+        "id", request_body(message(role, "question"), parameters, stream).alias("request")
     )
 
 
@@ -37,14 +35,15 @@ def conversation_requests(
 ) -> DataFrame:
     """One request per conversation from ``conv_id, turn, role, content``, in turn order.
 
-    A group is one request body, a single string, so it is as large as the result's own row.
+    Messages become JSON before the shuffle, wherever they are read. What is left for a group
+    is to put them in order and join them to its body, which is one string of one row: a
+    conversation can be no longer than a request body may be.
     """
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
-    ordered = F.transform("turns", lambda t: F.struct(t["role"], t["content"]))
+    ordered = F.expr("listagg(message, ',') WITHIN GROUP (ORDER BY turn, message)")
     return (
-        messages.groupBy("conv_id")
-        .agg(turns.alias("turns"))
-        .select("conv_id", request_body(ordered, parameters, stream).alias("request"))
+        messages.select("conv_id", "turn", message("role", "content").alias("message"))
+        .groupBy("conv_id")
+        .agg(request_body(ordered, parameters, stream).alias("request"))
     )
 
 

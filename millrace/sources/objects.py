@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 def _key(path: Column, root: str) -> Column:
     """The part of a qualified file path below ``root``, which may lack scheme and host."""
-    below = re.sub(r"^file:/+", "/", root.rstrip("/"))
-    scheme_and_host = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?"
-    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", below):
-        scheme_and_host = "^"
-    return F.regexp_replace(path, rf"{scheme_and_host}\Q{below}\E/", "")
+    root = re.sub(r"^file:/+", "/", root.rstrip("/"))
+    has_scheme = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", root)
+    before = "" if has_scheme else r"(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?"
+    return F.regexp_extract(path, rf"(?s)^{before}\Q{root}\E/(.*)$", 1)
 
 
 def _literal_path(path: str) -> str:

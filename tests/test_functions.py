@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import default_tags, merge_tags, request_body, tag_filter
+from millrace.functions import default_tags, merge_tags, message, request_body, tag_filter
 from millrace.operators import name_audit
 
 cases = settings(
@@ -94,20 +94,21 @@ def test_tag_filter(spark, rows):
 
 
 def test_body_with_any_parameters(spark):
-    df = spark.createDataFrame(
-        [([("user", 'say "hé"\n\t  \\ \U0001f600 \x01 </a>'), ("assistant", None)],)],
-        "messages array<struct<role string, content string>>",
+    text = 'say "hé"\n\t  \\ \U0001f600 \x01 </a>'
+    df = spark.createDataFrame([("user", text)], "role string, content string")
+    messages = F.concat_ws(
+        ",", message("role", "content"), message(F.lit("assistant"), F.lit(None).cast("string"))
     )
     parameters = {"max_new_tokens": 1, "stop": ["\n", "é"], "nested": {"x": None, "y": 0.5}}
-    (row,) = df.select(request_body("messages", parameters, stream=True).alias("body")).collect()
+    (row,) = df.select(request_body(messages, parameters, stream=True).alias("body")).collect()
     assert json.loads(row.body) == {
         "messages": [
-            {"role": "user", "content": 'say "hé"\n\t  \\ \U0001f600 \x01 </a>'},
+            {"role": "user", "content": text},
             {"role": "assistant", "content": None},
         ],
         "parameters": parameters,
         "stream": True,
     }
-    (row,) = df.select(request_body("messages", {}).alias("body")).collect()
+    (row,) = df.select(request_body(messages, {}).alias("body")).collect()
     assert json.loads(row.body)["parameters"] == {}
     assert json.loads(row.body)["stream"] is False

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-SF_DIR = "/root/testdata/sf0.01"
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
