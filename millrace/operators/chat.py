@@ -5,6 +5,7 @@ from __future__ import annotations
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,15 +74,16 @@ def chat_completions(
     requests: DataFrame,
     client_factory: Callable[[], Client],
     parallelism: int | None = None,
+    calls_per_task: int = 1,
     id_column: str = "conv_id",
 ) -> DataFrame:
     """Send every request and return ``id, status, response, error``, one row per request.
 
     Status 200 fills ``response`` with the body as received, any other status fills ``error``
     with it, and an exception leaves the status null, so a bad call fails only its own row.
-    Each partition makes one client and calls it one request at a time, so ``parallelism``
-    partitions bound the calls in flight. Every action on the result calls the service again:
-    write it to a table and work from there.
+    Each partition makes one client. ``parallelism`` partitions with ``calls_per_task`` threads
+    each bound the calls in flight; with more than one thread they share the client. Every
+    action on the result calls the service again: write it to a table and work from there.
     """
     if parallelism is not None:
         requests = requests.repartition(parallelism, id_column)
@@ -97,18 +99,20 @@ def chat_completions(
 
     def call(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
-        for batch in batches:
-            outcomes = [outcome(client, body) for body in batch.column("request").to_pylist()]
-            status, response, error = zip(*outcomes) if outcomes else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_column),
-                    pa.array(status, pa.int32()),
-                    pa.array(response, pa.string()),
-                    pa.array(error, pa.string()),
-                ],
-                names=[id_column, "status", "response", "error"],
-            )
+        with ThreadPoolExecutor(calls_per_task) as threads:
+            for batch in batches:
+                bodies = batch.column("request").to_pylist()
+                outcomes = list(threads.map(lambda body: outcome(client, body), bodies))
+                status, response, error = zip(*outcomes) if outcomes else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(id_column),
+                        pa.array(status, pa.int32()),
+                        pa.array(response, pa.string()),
+                        pa.array(error, pa.string()),
+                    ],
+                    names=[id_column, "status", "response", "error"],
+                )
 
     return requests.select(id_column, "request").mapInArrow(
         call, f"`{id_column}` {id_type}, status int, response string, error string"

@@ -113,6 +113,7 @@ UNION ALL
 SELECT url, 2, 'put', html || '<!-- again -->' FROM pages WHERE url LIKE 'https:%'""",
     "delete_objects": "SELECT url AS key, html AS content FROM pages WHERE url NOT LIKE '%#%'",
     "object_state": f"WITH {_LOG} SELECT key, content FROM state",
+    "object_keys": f"WITH {_LOG} SELECT key FROM state",
     "objects_exist": f"""WITH {_LOG},
 keys AS (
   SELECT url AS key FROM pages
@@ -121,6 +122,7 @@ keys AS (
 SELECT key, key IN (SELECT key FROM state) AS exists FROM keys""",
     "run_application": f"""WITH {_SPEND}
 SELECT application, time_unit, period, CAST(spend AS DOUBLE) AS spend FROM spend""",
+    "run_application_streaming": "SELECT * FROM events",
     "merge_tags": """
 SELECT c_custkey, 'application' AS key, c_name AS value FROM customer
 UNION ALL

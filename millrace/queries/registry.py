@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.tags import default_tags, merge_tags, tag_filter
 from millrace.operators import budgets, chat, names, objects, rates
-from millrace.plans import AppConfig, Application, LakeTable, TableInput, run_application
+from millrace.plans import (
+    AppConfig,
+    Application,
+    JobType,
+    LakeTable,
+    TableInput,
+    TopicInput,
+    run_application,
+)
 from millrace.queries import inputs
 from millrace.queries.inputs import TIGHT_TIERS, table
 from millrace.shared import materialize, shared_folder
@@ -25,6 +33,21 @@ from millrace.sources import list_objects, read_objects, read_table, read_topic
 from millrace.streaming import rate_limit_stream
 
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    """Register a function as the query of that name."""
+
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
+
+
 def _amounts(df: DataFrame) -> DataFrame:
     return df.withColumn("spend", F.col("spend").cast("double"))
 
@@ -39,19 +62,29 @@ def _utc(column: str) -> F.Column:
 # Sources
 
 
-def q_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("read_table")
+def _read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = inputs.new_database(spark)
     inputs.source_table(spark, sf_dir, database, "orders")
     return read_table(spark, database, "orders")
 
 
-def _events_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A pattern, as a file stream takes a plain path to be a folder; here it may be one file.
+def _events(spark: SparkSession, sf_dir: str) -> TopicInput:
+    """The events as a topic of files.
+
+    The path is a pattern, as a file stream takes a plain one to be a folder; it may be a file.
+    """
     options = {"path": f"{sf_dir}/{{events.parquet}}"}
-    return read_topic(spark, options, "parquet", table(spark, sf_dir, "events").schema)
+    return TopicInput(options, "parquet", table(spark, sf_dir, "events").schema)
+
 
+def _events_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topic = _events(spark, sf_dir)
+    return read_topic(spark, topic.options, topic.fmt, topic.schema)
 
-def q_read_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+@query("read_topic")
+def _read_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     counts = (
         _events_topic(spark, sf_dir)
@@ -62,7 +95,8 @@ def q_read_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_updates(spark, f"{folder}/out", ["event_type"])
 
 
-def q_list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("list_objects")
+def _list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
     documents = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value"))
     documents.write.partitionBy("lang").text(root)
@@ -73,7 +107,8 @@ def q_list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q_read_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("read_objects")
+def _read_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
     pages = table(spark, sf_dir, "pages")
     pages.write.option("maxRecordsPerFile", 1000).json(root)
@@ -90,7 +125,8 @@ def q_read_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sinks
 
 
-def q_write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("write_table")
+def _write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = inputs.new_database(spark)
     orders = table(spark, sf_dir, "orders")
     finished = F.col("o_orderstatus") == "F"
@@ -99,7 +135,8 @@ def q_write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, database, "orders_v1")
 
 
-def q_write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("write_stream")
+def _write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run starts from the first one's checkpoint and finds nothing to add."""
     database = inputs.new_database(spark)
     checkpoint = shared_folder(spark)
@@ -114,7 +151,8 @@ def _text(log: DataFrame) -> DataFrame:
     return log.withColumn("content", F.decode("content", "UTF-8"))
 
 
-def q_put_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("put_objects")
+def _put_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = inputs.new_database(spark)
     pages = table(spark, sf_dir, "pages")
     for puts in (inputs.first_puts(pages), inputs.second_puts(pages)):
@@ -122,7 +160,8 @@ def q_put_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(read_table(spark, database, "log"))
 
 
-def q_delete_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("delete_objects")
+def _delete_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = inputs.new_database(spark)
     pages = table(spark, sf_dir, "pages")
     put_objects(inputs.first_puts(pages), database, "log", "parquet")
@@ -130,11 +169,18 @@ def q_delete_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(objects.object_state(read_table(spark, database, "log")))
 
 
-def q_object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("object_state")
+def _object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(objects.object_state(inputs.object_log(spark, sf_dir)))
 
 
-def q_objects_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("object_keys")
+def _object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects.object_keys(inputs.object_log(spark, sf_dir))
+
+
+@query("objects_exist")
+def _objects_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asks for every URL, and for every URL without its query and fragment."""
     url = table(spark, sf_dir, "pages").select(F.col("url").alias("key"))
     keys = url.union(url.select(F.regexp_replace("key", "[?#].*$", "")))
@@ -150,7 +196,8 @@ class SegmentSpend(Application):
         return _amounts(budgets.spend_by_period(ledger))
 
 
-def q_run_application(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("run_application")
+def _run_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     database, folder = inputs.new_database(spark), shared_folder(spark)
     names_ = ["orders", "customer"]
     for name in names_:
@@ -164,10 +211,25 @@ def q_run_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, database, "spend_v1")
 
 
+@query("run_application_streaming")
+def _run_application_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second run of the same job finds nothing new."""
+    database, folder = inputs.new_database(spark), shared_folder(spark)
+    app = Application(
+        AppConfig("events", "events-app", "0.0.1", f"{folder}/data", f"{folder}/checkpoints"),
+        {"events": _events(spark, sf_dir)},
+        [LakeTable(database, "events_v1", fmt="parquet")],
+    )
+    for _ in range(2):
+        run_application(spark, [app], "events-app", JobType.STREAMING)
+    return read_table(spark, database, "events_v1")
+
+
 # Tags, names and single requests
 
 
-def q_merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("merge_tags")
+def _merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = F.lower("c_mktsegment")
     user = F.when(
         F.col("c_acctbal") < 0,
@@ -178,17 +240,20 @@ def q_merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q_tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("tag_filter")
+def _tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_filter(inputs.ledger(spark, sf_dir), "application", "BUILDING").select(
         "application", "ts", F.col("amount").cast("double").alias("amount")
     )
 
 
-def q_name_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("name_audit")
+def _name_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_audit(inputs.names(spark, sf_dir), "name")
 
 
-def q_single_turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("single_turn_requests")
+def _single_turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("question"),
@@ -200,11 +265,13 @@ def q_single_turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Budgets
 
 
-def q_budget_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("budget_limits")
+def _budget_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets.budget_limits(inputs.customer_budgets(spark, sf_dir))
 
 
-def q_spend_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("spend_by_period")
+def _spend_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(budgets.spend_by_period(inputs.ledger(spark, sf_dir)))
 
 
@@ -213,11 +280,13 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(budgets.budget_alerts(ledger, limits))
 
 
-def q_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("budget_alerts")
+def _budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alerts(spark, sf_dir)
 
 
-def q_alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("alert_recipients")
+def _alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets.alert_recipients(
         _alerts(spark, sf_dir), inputs.segment_budgets(spark, sf_dir)
     )
@@ -226,22 +295,26 @@ def q_alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rates
 
 
-def q_rate_limit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("rate_limit_audit")
+def _rate_limit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.to_requests(table(spark, sf_dir, "events"))
     return rates.rate_limit_audit(requests)
 
 
-def q_rate_limit_audit_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("rate_limit_audit_daily")
+def _rate_limit_audit_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.to_requests(table(spark, sf_dir, "events"))
     return rates.rate_limit_audit(requests, TIGHT_TIERS, "1 day")
 
 
-def q_throttled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("throttled_requests")
+def _throttled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.to_requests(table(spark, sf_dir, "events"), api_key="event_type")
     return rates.throttled_requests(requests, TIGHT_TIERS, "1 hour", "1 minute")
 
 
-def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("rate_limit_stream")
+def _rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events need not arrive in order, so no window is closed within their 30 days."""
     folder = shared_folder(spark)
     counts = rate_limit_stream(
@@ -258,7 +331,8 @@ def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chat
 
 
-def q_conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("conversation_requests")
+def _conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.chat_requests(spark, sf_dir)
 
 
@@ -266,14 +340,11 @@ def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_completions(inputs.chat_requests(spark, sf_dir), inputs.offline_client())
 
 
-def q_chat_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("chat_completions")
+def _chat_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(_completions(spark, sf_dir))
 
 
-def q_chat_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("chat_outcomes")
+def _chat_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_outcomes(materialize(_completions(spark, sf_dir)))
-
-
-QUERIES = {
-    name.removeprefix("q_"): query for name, query in globals().items() if name.startswith("q_")
-}

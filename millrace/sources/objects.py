@@ -55,6 +55,8 @@ def read_objects(
     elif isinstance(keys, str):
         raise TypeError("keys must be a sequence of keys, not one string")
     else:
+        if skipped := [key for key in keys if key.rsplit("/", 1)[-1].startswith(("_", "."))]:
+            raise ValueError(f"Spark does not read files named like {skipped}")
         paths = [f"{root.rstrip('/')}/{key}" for key in dict.fromkeys(keys)]
     if not paths:
         return spark.createDataFrame([], "key string, content binary")

@@ -137,6 +137,27 @@ def test_one_client_per_partition(spark):
     assert clients.value == 3
 
 
+def test_calls_at_once(spark):
+    """Four threads of one task meet at a barrier that none could pass alone."""
+
+    def connect():
+        import threading
+
+        barrier = threading.Barrier(4)
+
+        def answer(body):
+            barrier.wait(timeout=30)
+            return 200, body
+
+        return answer
+
+    requests = requests_of(spark, [str(i) for i in range(20)]).coalesce(1)
+    outcomes = chat_completions(requests, connect, calls_per_task=4).collect()
+    assert [(r.conv_id, r.status, r.response) for r in outcomes] == [
+        (i, 200, str(i)) for i in range(20)
+    ]
+
+
 class Reply(io.BytesIO):
     status = 200
 

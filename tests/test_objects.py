@@ -195,6 +195,12 @@ def test_read_none(spark, tree):
         read_objects(spark, str(tree), "test1.txt")
 
 
+def test_hidden_names_are_rejected_not_missed(spark, tree):
+    for key in ("_SUCCESS", "dir/.hidden"):
+        with pytest.raises(ValueError, match="does not read"):
+            read_objects(spark, str(tree), [key])
+
+
 def test_exist_in_a_listing(spark, rows, tree):
     keys = spark.createDataFrame([("test1.txt",), ("not-exist.txt",)], "key string")
     assert rows(objects_exist(keys, list_objects(spark, str(tree)))) == [
