@@ -51,7 +51,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_ledger(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
 
 
-def segment_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segment_budgets(customer: DataFrame) -> DataFrame:
     """A budget per market segment: seven times its balances, with a subscriber per region.
 
     A segment has at most five subscribers, and BUILDING has none.
@@ -60,19 +60,15 @@ def segment_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment") != "BUILDING",
         F.concat(F.lit("region-"), F.col("c_nationkey") % 5, F.lit("@example.com")),
     )
-    return (
-        table(spark, sf_dir, "customer")
-        .groupBy(F.col("c_mktsegment").alias("application"))
-        .agg(
-            F.floor(F.sum(F.abs("c_acctbal").cast(MONEY)) * 7).alias("monthly_limit"),
-            F.collect_set(subscriber).alias("subscribers"),
-        )
+    return customer.groupBy(F.col("c_mktsegment").alias("application")).agg(
+        F.floor(F.sum(F.abs("c_acctbal").cast(MONEY)) * 7).alias("monthly_limit"),
+        F.collect_set(subscriber).alias("subscribers"),
     )
 
 
-def customer_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_budgets(customer: DataFrame) -> DataFrame:
     """A budget per customer, the whole dollars of the balance; some are below 30."""
-    return table(spark, sf_dir, "customer").select(
+    return customer.select(
         F.col("c_name").alias("application"),
         F.floor(F.abs("c_acctbal").cast(MONEY)).cast("bigint").alias("monthly_limit"),
     )
@@ -128,12 +124,13 @@ def third_puts(pages: DataFrame) -> DataFrame:
 def object_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of all of these operations, the first of them recorded twice."""
     pages = table(spark, sf_dir, "pages")
-    put, delete = F.lit("put").alias("op"), F.lit("delete").alias("op")
+    put = F.lit("put").alias("op")
+    delete = [F.lit("delete").alias("op"), F.lit(None).cast("binary").alias("content")]
     first = first_puts(pages).select("*", put)
     return (
         first.unionByName(first)
         .unionByName(second_puts(pages).select("*", put))
-        .unionByName(deletes(pages).select("*", delete, F.lit(None).cast("binary").alias("content")))
+        .unionByName(deletes(pages).select("*", *delete))
         .unionByName(third_puts(pages).select("*", put))
     )
 

@@ -267,7 +267,9 @@ def _single_turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("budget_limits")
 def _budget_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budgets.budget_limits(inputs.customer_budgets(spark, sf_dir))
+    return budgets.budget_limits(
+        inputs.customer_budgets(table(spark, sf_dir, "customer"))
+    )
 
 
 @query("spend_by_period")
@@ -275,21 +277,19 @@ def _spend_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(budgets.spend_by_period(inputs.ledger(spark, sf_dir)))
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger, limits = inputs.ledger(spark, sf_dir), inputs.segment_budgets(spark, sf_dir)
-    return _amounts(budgets.budget_alerts(ledger, limits))
-
-
 @query("budget_alerts")
 def _budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(spark, sf_dir)
+    customer = table(spark, sf_dir, "customer")
+    ledger = inputs.to_ledger(table(spark, sf_dir, "orders"), customer)
+    return _amounts(budgets.budget_alerts(ledger, inputs.segment_budgets(customer)))
 
 
 @query("alert_recipients")
 def _alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budgets.alert_recipients(
-        _alerts(spark, sf_dir), inputs.segment_budgets(spark, sf_dir)
-    )
+    customer = table(spark, sf_dir, "customer")
+    ledger = inputs.to_ledger(table(spark, sf_dir, "orders"), customer)
+    limits = inputs.segment_budgets(customer)
+    return _amounts(budgets.alert_recipients(budgets.budget_alerts(ledger, limits), limits))
 
 
 # Rates

@@ -115,7 +115,8 @@ def test_failing_stream_stops_the_others(spark, lake, tmp_path):
 def test_topic_as_batch_and_as_stream(spark, lake, tmp_path):
     products(spark, lake)
     read_table(spark, lake, "source").write.parquet(f"{tmp_path}/topic")
-    source = TopicInput({"path": f"{tmp_path}/topic"}, "parquet", spark.table(f"{lake}.source").schema)
+    schema = spark.table(f"{lake}.source").schema
+    source = TopicInput({"path": f"{tmp_path}/topic"}, "parquet", schema)
     for job_type in JobType:
         app = Application(
             config(tmp_path), {"orders": source}, [LakeTable(lake, job_type.value, fmt="parquet")]
@@ -131,7 +132,8 @@ def test_missing_table(spark, lake):
 
 def test_write_modes(spark, lake, tmp_path):
     products(spark, lake)
-    write_table(spark.range(1).withColumn("name", F.lit("x")), lake, "source", "parquet", "overwrite")
+    one = spark.range(1).withColumn("name", F.lit("x"))
+    write_table(one, lake, "source", "parquet", "overwrite")
     assert read_table(spark, lake, "source").count() == 1
     write_table(spark.range(3), lake, "placed", "parquet", path=f"{tmp_path}/elsewhere")
     write_table(spark.range(3), lake, "placed", "parquet", path=f"{tmp_path}/elsewhere")

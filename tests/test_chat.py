@@ -1,8 +1,12 @@
 import io
 import json
+import subprocess
+import sys
 import urllib.error
 import urllib.request
+from unittest.mock import MagicMock
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from millrace.operators import (
@@ -158,6 +162,26 @@ def test_calls_at_once(spark):
     ]
 
 
+def test_calls_run_on_workers_without_this_package(tmp_path):
+    """The pickled function is run by another Python that cannot import the package."""
+    requests = MagicMock()
+    requests.schema["conv_id"].dataType.simpleString.return_value = "int"
+    chat_completions(requests, picky_client())
+    function = requests.select.return_value.mapInArrow.call_args.args[0]
+    (tmp_path / "function").write_bytes(cloudpickle.dumps((function, http_client("u", "k"))))
+    worker = f"""
+import pickle, sys
+import pyarrow as pa
+function, connect = pickle.loads(open({str(tmp_path / "function")!r}, "rb").read())
+batch = pa.RecordBatch.from_pydict({{"conv_id": [1, 2], "request": ["a", "raise"]}})
+(result,) = function([batch])
+assert result.column("status").to_pylist() == [200, None], result
+assert callable(connect())
+assert "millrace" not in sys.modules
+"""
+    subprocess.run([sys.executable, "-I", "-c", worker], check=True, cwd=tmp_path)
+
+
 class Reply(io.BytesIO):
     status = 200
 

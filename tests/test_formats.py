@@ -56,7 +56,9 @@ def test_lake_table_of_a_stream():
     )
 
 
-@pytest.mark.parametrize("job_type, reader", [(JobType.STREAMING, "readStream"), (JobType.ETL, "read")])
+@pytest.mark.parametrize(
+    "job_type, reader", [(JobType.STREAMING, "readStream"), (JobType.ETL, "read")]
+)
 def test_kafka_topic(job_type, reader):
     spark = MagicMock()
     options = kafka_options("localhost:9119", "src_orders_v1", "test", "test")

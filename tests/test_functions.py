@@ -37,7 +37,7 @@ def test_names_like_plain_python(spark, rows, names):
 def test_hot_camel_form(spark):
     """A third of the names share one form; another third of the rows is one name."""
     names = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, F.concat(F.lit("a"), F.repeat(F.lit("-"), (F.col("id") / 3).cast("int"))))
+        F.when(F.col("id") % 3 == 0, F.rpad(F.lit("a"), F.floor(F.col("id") / 3) + 1, F.lit("-")))
         .when(F.col("id") % 3 == 1, "copied")
         .otherwise(F.concat(F.lit("n"), "id"))
         .alias("name")

@@ -79,9 +79,11 @@ def test_any_log_like_a_dictionary(spark, rows, ops):
 
 def test_log_table(spark, rows):
     spark.sql("CREATE DATABASE IF NOT EXISTS object_test")
-    new = spark.createDataFrame([("a", 1, b"1"), ("b", 1, b"2")], "key string, seq int, content binary")
+    schema = "key string, seq int, content binary"
+    new = spark.createDataFrame([("a", 1, b"1"), ("b", 1, b"2")], schema)
     put_objects(new, "object_test", "log", "parquet")
-    delete_objects(new.filter("key = 'a'").withColumn("seq", F.lit(2)), "object_test", "log", "parquet")
+    old = new.filter("key = 'a'").withColumn("seq", F.lit(2))
+    delete_objects(old, "object_test", "log", "parquet")
     put_objects(new.filter("key = 'b'"), "object_test", "log", "parquet")
     log = read_table(spark, "object_test", "log")
     assert log.count() == 4
@@ -101,16 +103,16 @@ def test_exist(spark, rows):
 
 def test_hot_key_is_reduced_before_the_shuffle(spark, rows):
     """A third of the log is one key's, and another third copies of one put."""
+    third = F.col("id") % 3
+    text = F.when(third == 1, "c").otherwise(F.col("id").cast("string"))
     log = spark.range(0, 30_000, numPartitions=6).select(
-        F.when(F.col("id") % 3 == 0, "hot")
-        .when(F.col("id") % 3 == 1, "copied")
+        F.when(third == 0, "hot")
+        .when(third == 1, "copied")
         .otherwise(F.concat(F.lit("k"), "id"))
         .alias("key"),
-        F.when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("seq"),
+        F.when(third == 1, 7).otherwise(F.col("id")).alias("seq"),
         F.lit("put").alias("op"),
-        F.encode(F.when(F.col("id") % 3 == 1, "c").otherwise(F.col("id").cast("string")), "UTF-8").alias(
-            "content"
-        ),
+        F.encode(text, "UTF-8").alias("content"),
     )
     state = object_state(log)
     assert rows(state.filter("key in ('hot', 'copied')")) == [("copied", b"c"), ("hot", b"29997")]
