@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.shared import materialize
+
 # Requests per minute of each tier.
 DEFAULT_TIERS = {"default": None, "tier-1": 500, "tier-2": 5000, "tier-3": 10000}
 
@@ -71,8 +73,12 @@ def throttled_requests(
     Requests count in the order of ``ts``, then ``request_id``. Numbering a busy key's whole
     window in one task is avoided: windows are cut into slices, slices are counted with
     a combined aggregation, and a running sum gives each slice its offset. Only the requests
-    of slices that end beyond the limit are numbered, slice by slice, so a log where few keys
-    exceed their limit shuffles few requests. Any ``slice_length`` gives the same result.
+    of slices that end beyond the limit are numbered, slice by slice. Any ``slice_length`` gives
+    the same result.
+
+    The call itself counts, and keeps the slices beyond the limit in the shared folder. Their
+    size is then known when the rest is planned: if few keys exceed their limit, the slices
+    are broadcast and only requests beyond it are shuffled; if many do, both sides are.
     """
     group = ["api_key", "tier", "window_start"]
     limited = (
@@ -89,7 +95,7 @@ def throttled_requests(
     earlier = (
         Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    beyond = (
+    beyond = materialize(
         limited.groupBy(*group, "slice")
         .agg(F.count("*").alias("requests"))
         .withColumn("before", F.coalesce(F.sum("requests").over(earlier), F.lit(0)))

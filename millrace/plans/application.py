@@ -125,9 +125,9 @@ def run_application(
     """
     matches = [app for app in apps if app.config.app_id == app_id]
     if not matches:
-        raise ValueError(f"Application with ID {app_id} not found.")
+        raise ValueError(f"No application has the id {app_id!r}")
     if len(matches) > 1:
-        raise ValueError(f"Application ID {app_id} is used by {len(matches)} applications.")
+        raise ValueError(f"{len(matches)} applications have the id {app_id!r}")
     (app,) = matches
 
     df = app.process({name: source.read(spark, job_type) for name, source in app.inputs.items()})

@@ -26,7 +26,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a Parquet table in the shared folder, and return that table.
 
     Unlike a cached DataFrame the table survives lost executors, so its rows are never
-    computed a second time, and later readers still prune columns.
+    computed a second time. Its size is known to later plans, and they still prune columns.
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)

@@ -43,9 +43,9 @@ def copy_app(lake, tmp_path, *tables, app_id="products-app"):
 
 def test_unknown_and_ambiguous_ids(spark, lake, tmp_path):
     app = copy_app(lake, tmp_path, "out")
-    with pytest.raises(ValueError, match="Application with ID other not found."):
+    with pytest.raises(ValueError, match="No application has the id 'other'"):
         run_application(spark, [app], "other")
-    with pytest.raises(ValueError, match="used by 2"):
+    with pytest.raises(ValueError, match="2 applications"):
         run_application(spark, [app, copy_app(lake, tmp_path, "out")], "products-app")
     with pytest.raises(ValueError):
         run_application(spark, [], "products-app")

@@ -61,10 +61,6 @@ def test_scans_read_only_what_is_used(plans, name, columns):
     assert scans(plans[name]) == columns
 
 
-def test_counting_pass_leaves_ids_unread(plans):
-    assert {"ts", "user_id", "event_type"} in scans(plans["throttled_requests"])
-
-
 def test_tag_filter_reaches_the_scan(plans):
     assert "EqualTo(c_mktsegment,BUILDING)" in plans["tag_filter"]
 

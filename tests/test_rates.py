@@ -100,8 +100,34 @@ def test_any_slices_give_the_same_numbers(spark, rows, slice_length):
     assert rows(result) == brute_force(data, tiers, 5)
 
 
-def test_only_throttled_slices_are_numbered(spark):
-    """Unlimited tiers are filtered at the scan, and requests are read without other columns."""
-    requests = make_requests(spark, [(1, 1, "low", START)]).withColumn("body", F.lit("x"))
-    plan = throttled_requests(requests, {"low": 1})._jdf.queryExecution().optimizedPlan()
-    assert "body" not in plan.toString().split("LogicalRDD")[0]
+def test_only_throttled_requests_are_shuffled(spark, tmp_path):
+    """One key of very many exceeds its limit; the table's other columns are left unread."""
+    spark.range(200_000).select(
+        F.col("id").alias("request_id"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("api_key"),
+        F.lit("low").alias("tier"),
+        (F.timestamp_seconds(F.lit(1704067200)) + F.expr("make_dt_interval(0, 0, 0, id div 4000)"))
+        .cast("timestamp_ntz")
+        .alias("ts"),
+        F.repeat(F.lit("x"), 100).alias("body"),
+    ).write.parquet(f"{tmp_path}/requests")
+    requests = spark.read.parquet(f"{tmp_path}/requests")
+    throttled = throttled_requests(requests, {"low": 66_000, "idle": None})
+    assert sorted(r.n for r in throttled.collect()) == list(range(66_001, 66_669))
+    plan = throttled._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+    assert final.index("Exchange hashpartitioning") < final.index("BroadcastHashJoin")
+    assert "In(tier, [low])" in final or "EqualTo(tier,low)" in final
+    assert "body" not in final
+
+
+def test_many_throttled_keys_without_broadcast(spark, rows):
+    """With nothing broadcast the result is the same."""
+    data = [(i, i % 50, "low", START + dt.timedelta(seconds=i % 90)) for i in range(2000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = throttled_requests(make_requests(spark, data), {"low": 3})
+        assert rows(result) == brute_force(data, {"low": 3}, 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
