@@ -40,7 +40,8 @@ def conversation_requests(
     is to put them in order and join them to its body, which is one string of one row: a
     conversation can be no longer than a request body may be.
     """
-    ordered = F.expr("listagg(message, ',') WITHIN GROUP (ORDER BY turn, message)")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "message")))
+    ordered = F.array_join(F.transform(turns, lambda turn: turn["message"]), ",")
     return (
         messages.select("conv_id", "turn", message("role", "content").alias("message"))
         .groupBy("conv_id")
