@@ -122,6 +122,8 @@ def budget_alerts(
         raise ValueError(f"Unknown threshold type {threshold_type!r}")
     if unknown := rules.keys() - DEFAULT_RULES.keys():
         raise ValueError(f"Unknown time unit {sorted(unknown)}, use one of {[*DEFAULT_RULES]}")
+    if any(not isinstance(value, int) for values in rules.values() for value in values):
+        raise ValueError("Thresholds must be whole numbers")
 
     thresholds = F.create_map(
         *(

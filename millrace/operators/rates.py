@@ -102,9 +102,15 @@ def throttled_requests(
         .filter(F.col("before") + F.col("requests") > limit_of("tier", tiers))
         .select(*group, "slice", "before")
     )
+    same_slice = [
+        F.col(f"request.{column}").eqNullSafe(F.col(f"beyond.{column}"))
+        for column in (*group, "slice")
+    ]
     within = Window.partitionBy(*group, "slice").orderBy("ts", "request_id")
     return (
-        limited.join(beyond, [*group, "slice"])
+        limited.alias("request")
+        .join(beyond.alias("beyond"), same_slice)
+        .select("request.*", "before")
         .withColumn("n", F.col("before") + F.row_number().over(within))
         .filter(F.col("n") > limit_of("tier", tiers))
         .select("request_id", "n")

@@ -156,6 +156,15 @@ def test_unknown_rules_are_rejected(spark):
         budget_alerts(ledger, budgets, threshold_type="RELATIVE")
     with pytest.raises(ValueError, match="time unit"):
         budget_alerts(ledger, budgets, {"HOURLY": (1,)})
+    with pytest.raises(ValueError, match="whole numbers"):
+        budget_alerts(ledger, budgets, {"DAILY": (99.5,)})
+
+
+def test_rules_may_be_empty(spark):
+    ledger = make_ledger(spark, ("a", "2024-01-01T00:00:00", "100"))
+    budgets = make_budgets(spark, ("a", 1, []))
+    assert alerts(budget_alerts(ledger, budgets, {"DAILY": (), "MONTHLY": (100,)})) == [("a", 100)]
+    assert budget_alerts(ledger, budgets, {"DAILY": ()}).count() == 0
 
 
 def test_recipients(spark, rows):

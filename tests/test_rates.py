@@ -58,6 +58,14 @@ def test_ties_count_in_order_of_id(spark, rows):
     assert rows(throttled_requests(requests, {"one": 2})) == [(3, 3), (4, 4), (5, 5)]
 
 
+def test_requests_without_a_key_share_one_limit(spark, rows):
+    requests = make_requests(
+        spark, [(1, None, "one", START), (2, None, "one", START), (3, 7, "one", START)]
+    )
+    assert rows(throttled_requests(requests, {"one": 1})) == [(2, 2)]
+    assert (None, "one", START, 2, 1, True) in rows(rate_limit_audit(requests, {"one": 1}))
+
+
 def test_each_window_starts_anew(spark, rows):
     requests = make_requests(
         spark,
