@@ -80,12 +80,12 @@ def throttled_requests(
     size is then known when the rest is planned: if few keys exceed their limit, the slices
     are broadcast and only requests beyond it are shuffled; if many do, both sides are.
     """
-    group = ["api_key", "tier", "window_start"]
+    group = ["key", "tier", "window_start"]
     limited = (
         requests.filter(F.col("tier").isin(list(_limited(tiers))))
         .select(
             "request_id",
-            "api_key",
+            F.struct("api_key").alias("key"),  # never null, so that a missing key joins too
             "tier",
             "ts",
             F.window("ts", window).start.alias("window_start"),
@@ -102,15 +102,9 @@ def throttled_requests(
         .filter(F.col("before") + F.col("requests") > limit_of("tier", tiers))
         .select(*group, "slice", "before")
     )
-    same_slice = [
-        F.col(f"request.{column}").eqNullSafe(F.col(f"beyond.{column}"))
-        for column in (*group, "slice")
-    ]
     within = Window.partitionBy(*group, "slice").orderBy("ts", "request_id")
     return (
-        limited.alias("request")
-        .join(beyond.alias("beyond"), same_slice)
-        .select("request.*", "before")
+        limited.join(beyond, [*group, "slice"])
         .withColumn("n", F.col("before") + F.row_number().over(within))
         .filter(F.col("n") > limit_of("tier", tiers))
         .select("request_id", "n")
