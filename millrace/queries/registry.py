@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.tags import default_tags, merge_tags, tag_filter
@@ -32,7 +32,6 @@ from millrace.sinks import (
 from millrace.sources import list_objects, read_objects, read_table, read_topic
 from millrace.streaming import rate_limit_stream
 
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -52,7 +51,7 @@ def _amounts(df: DataFrame) -> DataFrame:
     return df.withColumn("spend", F.col("spend").cast("double"))
 
 
-def _utc(column: str) -> F.Column:
+def _utc(column: str) -> Column:
     """A timestamp as the UTC wall clock, as the tables give it."""
     return F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), F.col(column).cast("timestamp_ntz")
@@ -129,7 +128,7 @@ def _read_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = inputs.new_database(spark)
     orders = table(spark, sf_dir, "orders")
-    finished = F.col("o_orderstatus") == "F"
+    finished = F.col("o_orderstatus").eqNullSafe("F")
     write_table(orders.filter(finished), database, "orders_v1", "parquet")
     write_table(orders.filter(~finished), database, "orders_v1", "parquet")
     return read_table(spark, database, "orders_v1")

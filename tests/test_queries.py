@@ -11,6 +11,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+SMALL = "/root/testdata/sf0.001"
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -62,3 +63,33 @@ def test_query(spark, tables, name):
 
     types = {d[0]: str(d[1]) for d in cursor.description}
     assert {c: TYPES[df.schema[c].dataType.simpleString()] for c in columns} == types
+
+
+@pytest.fixture(scope="module")
+def zoned_folders(spark, tmp_path_factory):
+    """The smallest tables again, each a folder of files, with timestamps that have a zone."""
+    folder = tmp_path_factory.mktemp("zoned")
+    for file in Path(SMALL).glob("*.parquet"):
+        df = spark.read.parquet(str(file))
+        for field in df.schema:
+            if field.dataType.typeName() == "timestamp_ntz":
+                df = df.withColumn(field.name, df[field.name].cast("timestamp"))
+        df.repartition(3).write.parquet(f"{folder}/{file.name}")
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "alert_recipients",
+        "rate_limit_audit_daily",
+        "rate_limit_stream",
+        "read_topic",
+        "run_application",
+        "throttled_requests",
+        "write_stream",
+    ],
+)
+def test_folders_of_files_and_zoned_timestamps(spark, rows, zoned_folders, name):
+    query = queries()[name]
+    assert rows(query(spark, zoned_folders)) == rows(query(spark, SMALL))
