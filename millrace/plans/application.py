@@ -73,21 +73,23 @@ class TopicInput:
 
 @dataclass(frozen=True)
 class LakeTable:
-    """A table to append to. ``path`` defaults to a folder in the application's bucket.
+    """A table to write. ``path`` defaults to a folder in the application's bucket.
 
-    A stream is written with its own checkpoint in the application's checkpoint bucket.
+    A batch is written with ``mode``. A stream is always appended, with a checkpoint of its own
+    in the application's checkpoint bucket.
     """
 
     database: str
     table: str
     path: str | None = None
     fmt: str = "iceberg"
+    mode: str = "append"
     trigger: Mapping[str, object] = field(default_factory=lambda: AVAILABLE_NOW)
 
     def write(self, df: DataFrame, config: AppConfig) -> StreamingQuery | None:
         path = self.path or f"{config.database_bucket.rstrip('/')}/{self.database}/{self.table}"
         if not df.isStreaming:
-            write_table(df, self.database, self.table, self.fmt, "append", path)
+            write_table(df, self.database, self.table, self.fmt, self.mode, path)
             return None
         checkpoint = "/".join(
             [config.checkpoints_bucket.rstrip("/"), config.app_id, self.database, self.table]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,7 +27,7 @@ def _literal_path(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _files(spark: SparkSession) -> object:
+def _files(spark: SparkSession) -> DataFrameReader:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from millrace.operators import alert_recipients, budget_alerts
 from millrace.plans import (
     AppConfig,
     Application,
@@ -61,6 +62,35 @@ def test_the_right_application_appends(spark, lake, tmp_path):
     assert (tmp_path / "data" / lake / "two").is_dir()
 
 
+def test_alerts_application(spark, lake, tmp_path, rows):
+    """Two inputs joined in ``process``; each run replaces what the last one wrote."""
+
+    class Alerts(Application):
+        def process(self, inputs):
+            alerts = budget_alerts(inputs["ledger"], inputs["budgets"], {"MONTHLY": (90, 100)})
+            return alert_recipients(alerts, inputs["budgets"])
+
+    ledger = spark.sql(
+        "SELECT 'a' AS application, timestamp_ntz'2024-02-03 04:05:06' AS ts, "
+        "cast(95 AS decimal(18,2)) AS amount"
+    )
+    budgets = spark.createDataFrame(
+        [("a", 100, ["x@example.com"])],
+        "application string, monthly_limit int, subscribers array<string>",
+    )
+    write_table(ledger, lake, "ledger", "parquet")
+    write_table(budgets, lake, "budgets", "parquet")
+    app = Alerts(
+        config(tmp_path, "alerts-app"),
+        {name: TableInput(lake, name) for name in ("ledger", "budgets")},
+        [LakeTable(lake, "alerts", fmt="parquet", mode="overwrite")],
+    )
+    for _ in range(2):
+        run_application(spark, [app], "alerts-app")
+        written = rows(read_table(spark, lake, "alerts"), "application", "threshold", "subscriber")
+        assert written == [("a", 90, "x@example.com")]
+
+
 def test_two_tables_compute_once(spark, lake, tmp_path):
     products(spark, lake)
     calls = spark.sparkContext.accumulator(0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import object_keys, object_state, objects_exist
 from millrace.sinks import delete_objects, put_objects
 from millrace.sources import list_objects, read_objects, read_table
+from millrace.sources.objects import _key
 
 SCHEMA = "key string, seq bigint, op string, content binary"
 
@@ -170,6 +171,25 @@ def test_list(spark, rows, tree, form):
     assert "content" not in plan
 
 
+@pytest.mark.parametrize(
+    "root, path, key",
+    [
+        ("s3a://bucket", "s3a://bucket/a/b.txt", "a/b.txt"),
+        ("s3a://bucket/in/", "s3a://bucket/in/in/b.txt", "in/b.txt"),
+        ("/data", "hdfs://name:8020/data/x", "x"),
+        ("/data", "hdfs://data/data/data/x", "data/x"),
+        ("/data", "file:/data/x", "x"),
+        ("file:///data", "file:/data/x", "x"),
+        ("hdfs://name:8020/data", "hdfs://name:8020/data/x", "x"),
+        ("abfss://c@a.dfs.core.windows.net/p", "abfss://c@a.dfs.core.windows.net/p/x", "x"),
+        ("/a+b (c)", "file:/a+b (c)/x\ny", "x\ny"),
+    ],
+)
+def test_keys_are_below_the_root(spark, root, path, key):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(_key(df.path, root)).first()[0] == key
+
+
 def test_read_all(spark, rows, tree):
     expected = sorted(((key, f"content of {key}".encode()) for key in KEYS), key=repr)
     assert rows(read_objects(spark, str(tree))) == expected
