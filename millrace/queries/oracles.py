@@ -89,12 +89,20 @@ state AS (
 )"""
 
 _OUTCOMES = """
-outcomes AS (
+answers AS (
   SELECT conv_id,
          bool_or(role = 'system') AS timed_out,
          arg_max(role, turn) = 'user' AS answered,
          '{"messages":' || count(*) || ',"characters":' || sum(length(text)) || '}' AS answer
   FROM conversations GROUP BY conv_id
+),
+outcomes AS (
+  SELECT conv_id,
+         CASE WHEN timed_out THEN NULL WHEN answered THEN 200 ELSE 422 END AS status,
+         CASE WHEN NOT timed_out AND answered THEN answer END AS response,
+         CASE WHEN timed_out THEN 'TimeoutError: no answer'
+              WHEN NOT answered THEN '{"error":"last message is not from the user"}' END AS error
+  FROM answers
 )"""
 
 ORACLES = {
@@ -163,6 +171,14 @@ SELECT * FROM limits""",
     "spend_by_period": f"""WITH {_SPEND}
 SELECT application, time_unit, period, CAST(spend AS DOUBLE) AS spend FROM spend""",
     "budget_alerts": f"WITH {_ALERTS} SELECT * FROM alerts",
+    "low_spend_alerts": f"""WITH {_SPEND},{_SEGMENT_BUDGETS},{_LIMITS},
+rules(time_unit, threshold) AS (
+  VALUES ('DAILY', 100000), ('DAILY', 250000), ('MONTHLY', 8000000)
+)
+SELECT application, time_unit, period, CAST(threshold AS BIGINT) AS threshold, limit_amount,
+       CAST(spend AS DOUBLE) AS spend
+FROM spend JOIN limits USING (application, time_unit) JOIN rules USING (time_unit)
+WHERE spend < threshold""",
     "alert_recipients": f"""WITH {_ALERTS},
 subscribers AS (
   SELECT DISTINCT c_mktsegment AS application,
@@ -193,15 +209,11 @@ SELECT conv_id,
                 'parameters': {'max_new_tokens': 400},
                 'stream': false}) AS VARCHAR) AS request
 FROM conversations GROUP BY conv_id""",
-    "chat_completions": f"""WITH {_OUTCOMES}
-SELECT conv_id,
-       CASE WHEN timed_out THEN NULL WHEN answered THEN 200 ELSE 422 END AS status,
-       CASE WHEN NOT timed_out AND answered THEN answer END AS response,
-       CASE WHEN timed_out THEN 'TimeoutError: no answer'
-            WHEN NOT answered THEN '{{"error":"last message is not from the user"}}' END AS error
-FROM outcomes""",
+    "chat_completions": f"WITH {_OUTCOMES} SELECT * FROM outcomes",
+    "chat_completed": f"WITH {_OUTCOMES} SELECT conv_id, response FROM outcomes WHERE status = 200",
+    "chat_failed": f"""WITH {_OUTCOMES}
+SELECT conv_id, status, error FROM outcomes WHERE status IS DISTINCT FROM 200""",
     "chat_outcomes": f"""WITH {_OUTCOMES}
-SELECT CASE WHEN NOT timed_out AND answered THEN 'ok' ELSE 'failed' END AS status_class,
-       count(*) AS n
+SELECT CASE WHEN status = 200 THEN 'ok' ELSE 'failed' END AS status_class, count(*) AS n
 FROM outcomes GROUP BY 1""",
 }

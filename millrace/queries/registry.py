@@ -283,6 +283,21 @@ def _budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(budgets.budget_alerts(ledger, inputs.segment_budgets(customer)))
 
 
+@query("low_spend_alerts")
+def _low_spend_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods with less than an amount, whatever the limit."""
+    customer = table(spark, sf_dir, "customer")
+    ledger = inputs.to_ledger(table(spark, sf_dir, "orders"), customer)
+    alerts = budgets.budget_alerts(
+        ledger,
+        inputs.segment_budgets(customer),
+        {"DAILY": (100_000, 250_000), "MONTHLY": (8_000_000,)},
+        comparison="LESS_THAN",
+        threshold_type="ABSOLUTE_VALUE",
+    )
+    return _amounts(alerts)
+
+
 @query("alert_recipients")
 def _alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
@@ -347,3 +362,15 @@ def _chat_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chat_outcomes")
 def _chat_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_outcomes(materialize(_completions(spark, sf_dir)))
+
+
+@query("chat_completed")
+def _chat_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = materialize(_completions(spark, sf_dir))
+    return chat.completed(outcomes).select("conv_id", "response")
+
+
+@query("chat_failed")
+def _chat_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = materialize(_completions(spark, sf_dir))
+    return chat.failed(outcomes).select("conv_id", "status", "error")
