@@ -110,7 +110,7 @@ def _list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _read_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
     pages = table(spark, sf_dir, "pages")
-    pages.write.option("maxRecordsPerFile", 1000).json(root)
+    pages.write.option("maxRecordsPerFile", 10_000).json(root)
     lines = F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")
     return (
         read_objects(spark, root)

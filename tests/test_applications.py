@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -193,3 +195,23 @@ def test_stream_restart_adds_no_row_twice(spark, lake, tmp_path):
             stream, f"{lake}.out", f"{tmp_path}/checkpoint", fmt="parquet"
         ).awaitTermination()
         assert read_table(spark, lake, "out").count() == 10
+
+
+def test_a_stream_stopped_midway_goes_on(spark, lake, tmp_path):
+    products(spark, lake)
+    schema = spark.table(f"{lake}.source").schema
+    read_table(spark, lake, "source").repartition(6).write.parquet(f"{tmp_path}/topic")
+    options = {"path": f"{tmp_path}/topic", "maxFilesPerTrigger": "1"}
+
+    def start(trigger):
+        stream = read_topic(spark, options, "parquet", schema)
+        return write_stream(stream, f"{lake}.out", f"{tmp_path}/checkpoint", trigger, "parquet")
+
+    query = start({"processingTime": "100 milliseconds"})
+    deadline = time.monotonic() + 60
+    while not query.recentProgress and time.monotonic() < deadline:
+        time.sleep(0.05)
+    query.stop()
+    assert 0 < read_table(spark, lake, "out").count()
+    start({"availableNow": True}).awaitTermination()
+    assert sorted(r.id for r in read_table(spark, lake, "out").collect()) == [*range(10)]
