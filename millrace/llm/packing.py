@@ -161,7 +161,7 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[Filling]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 200) -> list[Filling]:
     """Fill as few sequences as a bounded search finds.
 
     The best-fit packing is the first incumbent; the search ends at once where it meets the
