@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.jaccard import jaccard_components
+from millrace.llm.line_runs import line_dedup
 from millrace.llm.packing import pack_documents
 from millrace.llm.queries import table, tokenizer_path
+from millrace.llm.substring import substring_dedup
 from millrace.llm.toxicity import drop_toxic, train
 from millrace.shared import materialize
 
@@ -16,12 +19,47 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier, fitted on all labels, doesn't reject."""
+    """Keep the documents that the classifier does not reject; it learns as op7 does."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     labels = table(spark, sf_dir, "labels").filter(~held_out)
     return drop_toxic(docs, train(docs, labels))
 
 
+def _shortened(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Documents with the texts of ``changed`` (``id, new_text``, one row per id) in their place.
+
+    A document of which nothing but white space is left goes; others keep all their columns.
+    """
+    changed = changed.select(F.col("id").alias("_id"), F.col("new_text").alias("_new"))
+    joined = docs.join(changed, docs["doc_id"] == F.col("_id"), "left")
+    rest = F.col("_id").isNull() | F.rlike("_new", F.lit(r"\S"))
+    text = F.when(F.col("_id").isNull(), docs["text"]).otherwise(F.col("_new")).alias("text")
+    return joined.filter(rest).select(
+        *(text if name == "text" else docs[name] for name in docs.columns)
+    )
+
+
+def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut later copies of runs of three lines or more; documents that were only copies go."""
+    found = materialize(line_dedup(docs, min_lines=3).filter("n_removed > 0"))
+    changed = found.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("new_text"))
+    return _shortened(docs, changed)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the smallest id stays."""
+    groups = jaccard_components(docs, size=5, percent=80)
+    gone = groups.filter("doc_id is not null and component_id != doc_id").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut word sequences of 20 words or more that stand earlier; others keep their text."""
+    found = materialize(substring_dedup(docs, window=20).filter("changed"))
+    changed = found.groupBy(F.col("doc_id").alias("id")).agg(F.min("kept_text").alias("new_text"))
+    return _shortened(docs, changed)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 ids."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
@@ -29,6 +67,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity),
+    ("line_dedup", line_runs),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", substrings),
     ("best_fit_packing", packing),
 ]
 

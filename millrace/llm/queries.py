@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.jaccard import jaccard_components
+from millrace.llm.language_model import cross_entropy_difference
 from millrace.llm.licenses import license_scan
+from millrace.llm.line_runs import line_dedup
 from millrace.llm.near_vectors import near_vectors
 from millrace.llm.packing import pack_documents
+from millrace.llm.sentencepiece import encode_documents
+from millrace.llm.substring import substring_dedup
 from millrace.llm.topk import top_k, usable
 from millrace.llm.toxicity import score, train
 
@@ -27,6 +32,16 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return encode_documents(documents, tokenizer_path("piece_bpe_32k.model"))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return pack_documents(documents, tokenizer_path("word_bpe_49k.json"))
@@ -36,6 +51,14 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("places")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without later copies of runs of three lines or more."""
+    found = line_dedup(table(spark, sf_dir, "documents"), min_lines=3)
+    return found.select(
+        "doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +76,16 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more the texts are like those labelled as good than like all texts."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector against all, by inner product of whole numbers."""
     embeddings = table(spark, sf_dir, "embeddings").filter(usable("embedding"))
@@ -64,11 +97,16 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": substring,
+    "op2_sentencepiece": sentencepiece,
     "op3_best_fit_packing": best_fit_packing,
     "op4_license_scans": license_scans,
+    "op5_line_dedup": lines,
     "op6_embedding_near_dedup": embedding_near_dedup,
     "op7_toxicity": toxicity,
+    "op8_lm_scoring": language_model,
     "op9_exact_top_k": exact_top_k,
+    "op10_ngram_jaccard_join": jaccard_join,
 }
 
 #: The SQL whose rows a query must give, where SQL can express it.
