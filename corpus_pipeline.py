@@ -33,9 +33,15 @@ def _shortened(docs: DataFrame, changed: DataFrame) -> DataFrame:
     changed = changed.select(F.col("id").alias("_id"), F.col("new_text").alias("_new"))
     joined = docs.join(changed, docs["doc_id"] == F.col("_id"), "left")
     rest = F.col("_id").isNull() | F.rlike("_new", F.lit(r"\S"))
-    text = F.when(F.col("_id").isNull(), docs["text"]).otherwise(F.col("_new")).alias("text")
+    same = F.col("_id").isNull()
+    new = {
+        "text": F.when(same, docs["text"]).otherwise(F.col("_new")),
+        "n_chars": F.when(same, docs["n_chars"]).otherwise(F.length("_new").cast("long"))
+        if "n_chars" in docs.columns
+        else None,
+    }
     return joined.filter(rest).select(
-        *(text if name == "text" else docs[name] for name in docs.columns)
+        *(new.get(name, docs[name]).alias(name) for name in docs.columns)
     )
 
 
