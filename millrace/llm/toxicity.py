@@ -122,6 +122,7 @@ def train(
     sample: int = 10_000,
     vocabulary: int = 4_096,
     least: int = 4,
+    deviations: float = 4.0,
     penalty: float = 1.0,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -130,9 +131,9 @@ def train(
     """Fit the classifier on a sample of labelled rows.
 
     ``sample`` bounds the labelled rows used, taken evenly by a hash of their id; only these
-    reach the driver, as features. Of the features in at least ``least`` of them the
-    ``vocabulary`` ones that tell the classes apart best are kept, and those of the identity
-    terms. Labels other than 0 and 1 and ids that are null or labelled both ways are left out;
+    reach the driver, as features. Of the features in at least ``least`` of them, whose shares
+    in the classes differ by at least ``deviations`` of what chance makes, the ``vocabulary``
+    ones that tell the classes apart best are kept, and those of the identity terms. Labels other than 0 and 1 and ids that are null or labelled both ways are left out;
     without labelled rows of both classes the model scores every text alike.
     """
     ids = (
@@ -177,14 +178,15 @@ def train(
     if len(size) < 2:
         share = (size.get(1, 0) + 1) / (size.get(0, 0) + size.get(1, 0) + 2)
         return Model({}, float(np.log(share / (1 - share))) if size else 0.0)
+    share = (F.col("n1") + F.col("n0")) / sum(size.values())
     apart = F.abs(F.col("n1") / size[1] - F.col("n0") / size[0]) / F.sqrt(
-        (F.col("n1") + F.col("n0")) / sum(size.values())
+        share * (1 / size[1] + 1 / size[0])
     )
     best = (
         rows.mapInArrow(count, "word string, n0 long, n1 long")
         .groupBy("word")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .filter(F.col("n0") + F.col("n1") >= least)
+        .filter((F.col("n0") + F.col("n1") >= least) & (apart >= deviations))
         .orderBy(apart.desc(), "word")
         .limit(vocabulary)
     )
