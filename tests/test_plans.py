@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from millrace.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(query(spark, SF_DIR)) for name, query in queries().items()}
+    return {name: plan(query(spark, SF_DIR)) for name, query in QUERIES.items()}
 
 
 @pytest.fixture
@@ -33,7 +33,7 @@ def test_no_products_and_no_python(plans):
 
 def test_joins_do_without_broadcasts(spark, without_broadcasts):
     for name in ("budget_alerts", "alert_recipients", "throttled_requests", "objects_exist"):
-        text = plan(queries()[name](spark, SF_DIR))
+        text = plan(QUERIES[name](spark, SF_DIR))
         assert "Broadcast" not in text, name
         assert "SortMergeJoin" in text or "ShuffledHashJoin" in text, name
 

@@ -8,7 +8,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from millrace.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 SMALL = "/root/testdata/sf0.001"
@@ -40,18 +41,18 @@ def value(v):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
-    cursor = tables.execute(oracle_sql()[name])
+    cursor = tables.execute(ORACLES[name])
     positions = {d[0]: i for i, d in enumerate(cursor.description)}
     assert columns == sorted(positions)
 
@@ -91,5 +92,5 @@ def zoned_folders(spark, tmp_path_factory):
     ],
 )
 def test_folders_of_files_and_zoned_timestamps(spark, rows, zoned_folders, name):
-    query = queries()[name]
+    query = QUERIES[name]
     assert rows(query(spark, zoned_folders)) == rows(query(spark, SMALL))
