@@ -43,15 +43,21 @@ def _per_time_unit(value: str, values: Mapping[str, Column]) -> Column:
 def budget_limits(budgets: DataFrame) -> DataFrame:
     """Each application's limit per time unit, from its limit per month of 30 days.
 
-    A negative limit fails the job.
+    A negative or fractional limit fails the job, and so does a second one of an application.
     """
-    given = F.col("monthly_limit").cast("bigint")
-    monthly = F.when(
-        given < 0,
-        F.raise_error(
-            F.concat(F.lit("Negative budget limit for application "), F.col("application"))
-        ),
-    ).otherwise(given)
+    given = F.col("monthly_limit")
+    wrong = F.lit("Budget limit must be one whole number from 0 on, application ")
+    monthly = (
+        F.when(
+            (F.col("n") > 1) | (given < 0) | (given != F.floor(given)),
+            F.raise_error(F.concat(wrong, F.coalesce("application", F.lit("null")))),
+        )
+        .otherwise(given)
+        .cast("bigint")
+    )
+    budgets = budgets.groupBy("application").agg(
+        F.count("*").alias("n"), F.max("monthly_limit").alias("monthly_limit")
+    )
     limits = _per_time_unit(
         "limit_amount",
         {
@@ -74,11 +80,19 @@ def spend_by_period(ledger: DataFrame, amount: str = "amount") -> DataFrame:
     Days are summed first, so that only one row per application and day, not the ledger, is
     repeated for the four periods. Both sums combine before they shuffle.
     """
-    daily = (
+    return _by_period(_daily(ledger, amount))
+
+
+def _daily(ledger: DataFrame, amount: str) -> DataFrame:
+    return (
         ledger.select("application", utc_day(ledger, "ts").alias("day"), amount)
         .groupBy("application", "day")
         .agg(F.sum(amount).alias("spend"))
     )
+
+
+def _by_period(daily: DataFrame) -> DataFrame:
+    """Sum days to all periods; by application, as one has no more rows than days."""
     periods = _per_time_unit(
         "period",
         {
@@ -89,12 +103,26 @@ def spend_by_period(ledger: DataFrame, amount: str = "amount") -> DataFrame:
         },
     )
     return (
-        daily.select("application", periods.alias("p"), "spend")
+        daily.repartition("application")
+        .select("application", periods.alias("p"), "spend")
         .groupBy("application", "p.time_unit", "p.period")
         .agg(F.sum("spend").alias("spend"))
     )
 
 
+def _every_day(daily: DataFrame) -> DataFrame:
+    """Days without spend between an application's first and last day, with a spend of zero."""
+    span = daily.groupBy("application").agg(
+        F.min("day").alias("first"), F.max("day").alias("last"), F.max("spend").alias("any")
+    )
+    days = span.filter("first is not null").select(
+        "application",
+        F.explode(F.sequence("first", "last")).alias("day"),
+        (F.col("any") * 0).cast(daily.schema["spend"].dataType).alias("spend"),
+    )
+    return daily.unionByName(days)
+
+
 def budget_alerts(
     ledger: DataFrame,
     budgets: DataFrame,
@@ -107,6 +135,9 @@ def budget_alerts(
 
     ``rules`` maps a time unit to its thresholds: percentages of the limit, or amounts with
     ``threshold_type="ABSOLUTE_VALUE"``. A zero limit alerts only where something was spent.
+    Zero is below a threshold and may equal one: with ``LESS_THAN`` and ``EQUAL_TO`` the periods
+    without a ledger row count too, from an application's first day in the ledger to its last;
+    an application without any day has none.
     The rules are part of the plan and join nothing; limits join on application and time unit,
     and Spark broadcasts them if it finds them small.
     """
@@ -131,10 +162,13 @@ def budget_alerts(
             for unit, values in rules.items()
             for part in (F.lit(unit), F.array(*map(F.lit, values)).cast("array<bigint>"))
         )
-    )
+    ).cast("map<string,array<bigint>>")
     limits = budget_limits(budgets)
+    daily = _daily(ledger, amount)
+    if comparison in ("LESS_THAN", "EQUAL_TO"):
+        daily = _every_day(daily)
     return (
-        spend_by_period(ledger, amount)
+        _by_period(daily)
         .filter(F.col("time_unit").isin(*rules))
         .join(limits, ["application", "time_unit"])
         .withColumn("threshold", F.explode(thresholds[F.col("time_unit")]))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from millrace.functions.chat import DEFAULT_PARAMETERS, DEFAULT_ROLE, message, request_body
 
@@ -82,13 +84,22 @@ def chat_completions(
 
     Status 200 fills ``response`` with the body as received, any other status fills ``error``
     with it, and an exception leaves the status null, so a bad call fails only its own row.
-    Each partition makes one client. ``parallelism`` partitions with ``calls_per_task`` threads
-    each bound the calls in flight; with more than one thread they share the client. Every
+    Each partition makes one client. ``parallelism`` partitions (as many as the session has
+    cores, unless given) with ``calls_per_task`` threads each bound the calls in flight; with more than one thread they share the client. Every
     action on the result calls the service again: write it to a table and work from there.
     """
-    if parallelism is not None:
-        requests = requests.repartition(parallelism, id_column)
-    id_type = requests.schema[id_column].dataType.simpleString()
+    if parallelism is None:
+        parallelism = requests.sparkSession.sparkContext.defaultParallelism
+    # A given number of partitions is kept by adaptive execution, however small they are.
+    requests = requests.select(id_column, "request").repartition(parallelism)
+    schema = StructType(
+        [
+            requests.schema[id_column],
+            StructField("status", IntegerType()),
+            StructField("response", StringType()),
+            StructField("error", StringType()),
+        ]
+    )
 
     # Nested, so that the whole function travels to workers that lack this package.
     def outcome(client: Client, body: str) -> tuple[int | None, str | None, str | None]:
@@ -100,24 +111,31 @@ def chat_completions(
 
     def call(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
+
+        def answered(row: pa.RecordBatch, future: Future) -> pa.RecordBatch:
+            status, response, error = future.result()
+            return pa.RecordBatch.from_arrays(
+                [
+                    row.column(id_column),
+                    pa.array([status], pa.int32()),
+                    pa.array([response], pa.string()),
+                    pa.array([error], pa.string()),
+                ],
+                names=[id_column, "status", "response", "error"],
+            )
+
+        # A window of calls moves on as the oldest one ends; no more responses are held.
         with ThreadPoolExecutor(calls_per_task) as threads:
+            sent: deque = deque()
             for batch in batches:
-                bodies = batch.column("request").to_pylist()
-                outcomes = list(threads.map(lambda body: outcome(client, body), bodies))
-                status, response, error = zip(*outcomes) if outcomes else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(id_column),
-                        pa.array(status, pa.int32()),
-                        pa.array(response, pa.string()),
-                        pa.array(error, pa.string()),
-                    ],
-                    names=[id_column, "status", "response", "error"],
-                )
-
-    return requests.select(id_column, "request").mapInArrow(
-        call, f"`{id_column}` {id_type}, status int, response string, error string"
-    )
+                for k, body in enumerate(batch.column("request").to_pylist()):
+                    if len(sent) >= 2 * calls_per_task:
+                        yield answered(*sent.popleft())
+                    sent.append((batch.slice(k, 1), threads.submit(outcome, client, body)))
+            while sent:
+                yield answered(*sent.popleft())
+
+    return requests.mapInArrow(call, schema)
 
 
 def completed(outcomes: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """What an object log holds. The log has ``key, seq, op, content`` with op put or delete.
 
 The highest ``seq`` of a key counts, a delete beats a put of the same ``seq``, and rows of the
-same ``key, seq`` are replays of one operation.
+same ``key, seq`` are replays of one operation. Any other ``op``, or none, counts as a delete, and
+a row without ``seq`` comes before all others of its key.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ def object_state(log: DataFrame) -> DataFrame:
     One aggregation that also runs ahead of the shuffle: however often a key was written or
     replayed, each task sends on one row of it.
     """
-    deleted = (F.col("op") == "delete").alias("deleted")
+    deleted = (~F.col("op").eqNullSafe("put")).alias("deleted")
     last = F.max(F.struct("seq", deleted, "content")).alias("last")
     return (
         log.groupBy("key").agg(last).filter("not last.deleted").select("key", "last.content")
@@ -25,13 +26,9 @@ def object_state(log: DataFrame) -> DataFrame:
 
 def object_keys(log: DataFrame) -> DataFrame:
     """The keys of :func:`object_state`, found without reading any content."""
-    last_delete = F.max(F.when(F.col("op") == "delete", F.col("seq")))
-    return (
-        log.groupBy("key")
-        .agg(F.max("seq").alias("last"), last_delete.alias("last_delete"))
-        .filter("last_delete is null or last_delete < last")
-        .select("key")
-    )
+    deleted = (~F.col("op").eqNullSafe("put")).alias("deleted")
+    last = F.max(F.struct("seq", deleted)).alias("last")
+    return log.groupBy("key").agg(last).filter("not last.deleted").select("key")
 
 
 def objects_exist(keys: DataFrame, state: DataFrame) -> DataFrame:

@@ -73,8 +73,10 @@ def throttled_requests(
     Requests count in the order of ``ts``, then ``request_id``. Numbering a busy key's whole
     window in one task is avoided: windows are cut into slices, slices are counted with
     a combined aggregation, and a running sum gives each slice its offset. Only the requests
-    of slices that end beyond the limit are numbered, slice by slice. Any ``slice_length`` gives
-    the same result.
+    of slices that end beyond the limit are numbered. These are sorted over the cluster, which
+    splits a slice wherever a range ends, also among equal times; a second running sum, over
+    the ranges of a slice, gives each range its offset. Any ``slice_length`` gives the same
+    result.
 
     The call itself counts, and keeps the slices beyond the limit in the shared folder. Their
     size is then known when the rest is planned: if few keys exceed their limit, the slices
@@ -102,10 +104,28 @@ def throttled_requests(
         .filter(F.col("before") + F.col("requests") > limit_of("tier", tiers))
         .select(*group, "slice", "before")
     )
-    within = Window.partitionBy(*group, "slice").orderBy("ts", "request_id")
-    return (
+    ranges = materialize(
         limited.join(beyond, [*group, "slice"])
-        .withColumn("n", F.col("before") + F.row_number().over(within))
+        .repartitionByRange(*group, "slice", "ts", "request_id")
+        .withColumn("part", F.spark_partition_id())
+    )
+    range_of = [*group, "slice", "part"]
+    before = (
+        Window.partitionBy(*group, "slice")
+        .orderBy("part")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = (
+        ranges.groupBy(*range_of)
+        .agg(F.count("*").alias("requests"))
+        .withColumn("earlier", F.coalesce(F.sum("requests").over(before), F.lit(0)))
+        .drop("requests")
+    )
+    within = Window.partitionBy(*range_of).orderBy("ts", "request_id")
+    return (
+        ranges.withColumn("number", F.row_number().over(within))
+        .join(offsets, range_of)
+        .withColumn("n", F.col("before") + F.col("earlier") + F.col("number"))
         .filter(F.col("n") > limit_of("tier", tiers))
         .select("request_id", "n")
     )

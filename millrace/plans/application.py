@@ -84,18 +84,21 @@ class LakeTable:
     path: str | None = None
     fmt: str = "iceberg"
     mode: str = "append"
+    partition_by: Sequence[str] = ()
     trigger: Mapping[str, object] = field(default_factory=lambda: AVAILABLE_NOW)
 
     def write(self, df: DataFrame, config: AppConfig) -> StreamingQuery | None:
         path = self.path or f"{config.database_bucket.rstrip('/')}/{self.database}/{self.table}"
         if not df.isStreaming:
-            write_table(df, self.database, self.table, self.fmt, self.mode, path)
+            write_table(df, self.database, self.table, self.fmt, self.mode, path, self.partition_by)
             return None
         checkpoint = "/".join(
             [config.checkpoints_bucket.rstrip("/"), config.app_id, self.database, self.table]
         )
         name = f"`{self.database}`.`{self.table}`"
-        return write_stream(df, name, checkpoint, self.trigger, self.fmt, path)
+        return write_stream(
+            df, name, checkpoint, self.trigger, self.fmt, path, self.partition_by
+        )
 
 
 class Application:

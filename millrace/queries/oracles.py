@@ -9,7 +9,21 @@ ledger AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
 )"""
 
-_SPEND = f"""{_LEDGER},
+#: The ledger with an amount of zero on each day between an application's first and last.
+_EVERY_DAY = """
+spans AS (
+  SELECT application, CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi
+  FROM ledger GROUP BY application
+),
+every_day AS (
+  SELECT application, ts, amount FROM ledger
+  UNION ALL
+  SELECT application, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS TIMESTAMP),
+         CAST(0 AS DECIMAL(18,2))
+  FROM spans
+)"""
+
+_PERIODS = """
 periods AS (
   SELECT application, 'DAILY' AS time_unit, CAST(date_trunc('day', ts) AS DATE) AS period, amount
   FROM ledger
@@ -25,6 +39,9 @@ spend AS (
   FROM periods GROUP BY application, time_unit, period
 )"""
 
+_SPEND = f"{_LEDGER},{_PERIODS}"
+_SPEND_EVERY_DAY = f"{_LEDGER},{_EVERY_DAY},{_PERIODS.replace('FROM ledger', 'FROM every_day')}"
+
 _SEGMENT_BUDGETS = """
 budgets AS (
   SELECT c_mktsegment AS application,
@@ -110,10 +127,15 @@ ORACLES = {
     "read_topic": """
 SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY event_type""",
     "list_objects": """
-SELECT lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
+SELECT lang, 'lang=' || lang || '/part-' AS key_prefix,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
 FROM documents GROUP BY lang""",
-    "read_objects": "SELECT * FROM pages",
+    "read_objects": "SELECT *, 'part' AS kind FROM pages",
+    "read_named_objects": "SELECT page_id, url, 'part' AS kind FROM pages",
     "write_table": "SELECT * FROM orders",
+    "write_table_overwrite": """
+SELECT o_orderkey, o_totalprice, o_orderstatus, TRUE AS in_place
+FROM orders WHERE o_orderstatus = 'F'""",
     "write_stream": "SELECT * FROM events",
     "put_objects": """
 SELECT url AS key, CAST(1 AS BIGINT) AS seq, 'put' AS op, html AS content FROM pages
@@ -149,7 +171,7 @@ names(name) AS (
 forms AS (
   SELECT name, regexp_matches(name, '^[a-z0-9-]+\n?\z') AS ok,
          array_to_string(list_transform(
-           string_split(trim(regexp_replace(name, '[^a-zA-Z0-9]+', ' ', 'g')), ' '),
+           regexp_extract_all(name, '[a-zA-Z0-9]+'),
            lambda w: upper(w[1]) || lower(w[2:])), '') AS camel
   FROM names
 )
@@ -171,7 +193,7 @@ SELECT * FROM limits""",
     "spend_by_period": f"""WITH {_SPEND}
 SELECT application, time_unit, period, CAST(spend AS DOUBLE) AS spend FROM spend""",
     "budget_alerts": f"WITH {_ALERTS} SELECT * FROM alerts",
-    "low_spend_alerts": f"""WITH {_SPEND},{_SEGMENT_BUDGETS},{_LIMITS},
+    "low_spend_alerts": f"""WITH {_SPEND_EVERY_DAY},{_SEGMENT_BUDGETS},{_LIMITS},
 rules(time_unit, threshold) AS (
   VALUES ('DAILY', 100000), ('DAILY', 250000), ('MONTHLY', 8000000)
 )

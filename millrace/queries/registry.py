@@ -101,24 +101,43 @@ def _list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents.write.partitionBy("lang").text(root)
     return (
         list_objects(spark, root)
-        .groupBy(F.regexp_extract("key", "^lang=([^/]+)/part-[^/]+$", 1).alias("lang"))
+        .filter(F.rlike("key", F.lit("/part-[^/]+$")))
+        .groupBy(
+            F.regexp_extract("key", "^lang=([^/]+)/", 1).alias("lang"),
+            F.regexp_extract("key", "^(.*/part-)[^/]+$", 1).alias("key_prefix"),
+        )
         .agg(F.sum("length").alias("bytes"))
     )
 
 
+def _page_lines(objects_: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages in objects of JSON lines, and the kind of object, which its key begins with."""
+    lines = F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")
+    return (
+        objects_.filter("key like 'part-%'")
+        .select(F.split("key", "-")[0].alias("kind"), lines)
+        .filter("line != ''")
+        .select("kind", F.from_json("line", pages.schema).alias("page"))
+        .select("page.*", "kind")
+    )
+
+
 @query("read_objects")
 def _read_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
     pages = table(spark, sf_dir, "pages")
+    pages.write.option("maxRecordsPerFile", 1_000).json(root)
+    return _page_lines(read_objects(spark, root), pages)
+
+
+@query("read_named_objects")
+def _read_named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads the keys that a listing gives, without the marks of the writer."""
+    root = shared_folder(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     pages.write.option("maxRecordsPerFile", 10_000).json(root)
-    lines = F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")
-    return (
-        read_objects(spark, root)
-        .select(lines)
-        .filter("line != ''")
-        .select(F.from_json("line", pages.schema).alias("page"))
-        .select("page.*")
-    )
+    keys = list_objects(spark, root).filter("key like 'part-%'")
+    return _page_lines(read_objects(spark, root, keys), pages)
 
 
 # Sinks
@@ -134,6 +153,20 @@ def _write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, database, "orders_v1")
 
 
+@query("write_table_overwrite")
+def _write_table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned table at a path of its own, overwritten twice, and read for one value."""
+    database, path = inputs.new_database(spark), shared_folder(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    for _ in range(2):
+        write_table(
+            orders, database, "orders_v1", "parquet", "overwrite", path, ["o_orderstatus"]
+        )
+    written = read_table(spark, database, "orders_v1").filter("o_orderstatus = 'F'")
+    folder = F.input_file_name().contains(path.rsplit("/", 1)[1])
+    return written.withColumn("in_place", folder)
+
+
 @query("write_stream")
 def _write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run starts from the first one's checkpoint and finds nothing to add."""

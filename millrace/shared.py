@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Return the path of a new, unused folder that every executor can reach.
 
-    The base is the session's ``spark.checkpoint.dir``. Only a local session, where driver and
-    executors are one process, may go without that setting.
+    The base is the session's ``spark.checkpoint.dir``, and without that setting a folder in the
+    warehouse, which all executors reach as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="millrace-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

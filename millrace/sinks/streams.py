@@ -16,14 +16,18 @@ def write_stream(
     trigger: Mapping[str, object] = AVAILABLE_NOW,
     fmt: str = "iceberg",
     path: str | None = None,
+    partition_by: Sequence[str] = (),
 ) -> StreamingQuery:
     """Append a stream to a catalog table; a restart on ``checkpoint`` adds no row twice.
 
-    The default trigger takes what the source holds now and then ends.
+    The default trigger takes what the source holds now and then ends. ``partition_by`` cuts a
+    new table into folders by the values of columns.
     """
     writer = df.writeStream.format(fmt).option("checkpointLocation", checkpoint)
     if path is not None:
         writer = writer.option("path", path)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     return writer.trigger(**trigger).toTable(table)
 
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_table(
@@ -10,28 +13,48 @@ def write_table(
     fmt: str = "iceberg",
     mode: str = "append",
     path: str | None = None,
+    partition_by: Sequence[str] = (),
 ) -> None:
     """Write ``df`` to a catalog table, creating it on first use.
 
-    ``path`` places a new table outside the database's own location. Iceberg goes through the
-    v2 writer, whose appends commit atomically; any other format through ``saveAsTable``.
+    ``path`` places a new table outside the database's own location, and ``partition_by`` cuts
+    it into folders by the values of columns; a table that exists keeps its place, its partition
+    columns and its properties, also when it is overwritten. Iceberg goes through the v2 writer,
+    whose appends commit atomically; any other format through ``saveAsTable``.
     """
+    spark = df.sparkSession
     name = f"`{database}`.`{table}`"
-    exists = df.sparkSession.catalog.tableExists(name)
+    exists = spark.catalog.tableExists(name)
     if fmt == "iceberg":
-        writer = df.writeTo(name).using(fmt)
-        if path is not None:
-            writer = writer.tableProperty("location", path)
-        if mode == "append" and exists:
+        if mode not in ("append", "overwrite"):
+            raise ValueError(f"Unsupported write mode for iceberg: {mode}")
+        writer = df.writeTo(name)
+        if exists and mode == "append":
             writer.append()
-        elif mode == "append":
-            writer.create()
-        elif mode == "overwrite":
-            writer.createOrReplace()
+        elif exists:
+            writer.overwrite(F.lit(True))
         else:
-            raise ValueError(f"Unsupported write mode for iceberg: {mode}")
+            writer = writer.using(fmt)
+            if path is not None:
+                writer = writer.tableProperty("location", path)
+            if partition_by:
+                writer = writer.partitionedBy(*map(F.col, partition_by))
+            writer.create()
         return
+    columns = list(partition_by)
+    if exists:
+        columns = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
     writer = df.write.format(fmt).mode(mode)
-    if path is not None and not exists:
+    if columns:
+        writer = writer.partitionBy(*columns)
+    if exists and mode == "overwrite":
+        # saveAsTable drops the table and makes it anew: where it was, unless that is managed.
+        described = {
+            row["col_name"]: row["data_type"]
+            for row in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+        }
+        if described.get("Type") == "EXTERNAL":
+            writer = writer.option("path", described["Location"])
+    elif path is not None and not exists:
         writer = writer.option("path", path)
     writer.saveAsTable(name)

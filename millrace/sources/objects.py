@@ -1,65 +1,129 @@
 """Objects kept as files under a root: the key is the path below the root.
 
-Listing goes through Spark's file index, which holds one entry per file on the driver and skips
-names starting with ``_`` or ``.``. For stores too large for that, keep an object log and list it
-with :func:`millrace.operators.objects.object_keys`.
+Every file is an object, whatever its name. Folders are listed and objects are read by the
+executors, through the file system of ``pyarrow`` that serves the root; a root that none serves is
+an error. The driver learns of no key but those a caller names.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.shared import materialize
 
-def _key(path: Column, root: str) -> Column:
-    """The part of a qualified file path below ``root``, which may lack scheme and host."""
-    root = re.sub(r"^file:/+", "/", root.rstrip("/"))
-    has_scheme = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", root)
-    before = "" if has_scheme else r"(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?"
-    return F.regexp_extract(path, rf"(?s)^{before}\Q{root}\E/(.*)$", 1)
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root with its scheme and host, as the session's file systems complete it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/")
 
-def _literal_path(path: str) -> str:
-    """Escape the characters Spark would expand as a path pattern."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
+def _opener(root: str) -> Callable:
+    """A function that gives the file system of a qualified root and the root's path in it."""
 
-def _files(spark: SparkSession) -> DataFrameReader:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    # Nested, so that it travels to workers that lack this package.
+    def open_store():
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        scheme, rest = root.split(":", 1)
+        if scheme == "file":
+            return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+        store, path = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+        return store, path.rstrip("/")
+
+    return open_store
 
 
 def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """List every object below ``root`` as ``key, length, modified`` without reading content."""
-    return _files(spark).load(_literal_path(root)).select(
-        _key(F.col("path"), root).alias("key"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-    )
+    """List every object below ``root`` as ``key, length, modified`` without reading content.
+
+    One job per level of folders, whose folders are spread over the cluster; each level is kept
+    in the shared folder. A missing root fails the call.
+    """
+    open_store = _opener(_qualified(spark, root))
+
+    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = open_store()
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                for k in range(0, len(found), 10_000):
+                    some = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([x.path[len(base) + 1 :] for x in some], pa.string()),
+                            pa.array([x.type == fs.FileType.Directory for x in some], pa.bool_()),
+                            pa.array([x.size for x in some], pa.int64()),
+                            pa.array([x.mtime for x in some], pa.timestamp("us", "UTC")),
+                        ],
+                        names=["key", "folder", "length", "modified"],
+                    )
+
+    schema = "key string, folder boolean, length long, modified timestamp"
+    parts = spark.sparkContext.defaultParallelism
+    levels = []
+    folders = spark.createDataFrame([("",)], "key string")
+    while True:
+        level = materialize(folders.mapInArrow(entries, schema))
+        levels.append(level.filter("not folder").drop("folder"))
+        folders = level.filter("folder").select("key").repartition(parts)
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def _checked(key: str) -> str:
+    """A key that names one place below the root."""
+    if not key or any(part in ("", ".", "..") for part in key.split("/")):
+        raise ValueError(f"Not a key of an object: {key!r}")
+    return key
 
 
 def read_objects(
-    spark: SparkSession, root: str, keys: Sequence[str] | None = None
+    spark: SparkSession, root: str, keys: Sequence[str] | DataFrame | None = None
 ) -> DataFrame:
     """Read whole objects as ``key, content``: all below ``root``, or those named by ``keys``.
 
-    Named keys are opened directly, so nothing else is listed or read. A named key without an
-    object raises ``PATH_NOT_FOUND``; ask :func:`millrace.operators.objects.objects_exist` first
-    for a set that may have gaps. ``keys`` is for literals a caller types or configures; join
-    a table of keys with the object state instead.
+    ``keys`` are names, or a table with a column ``key`` for a large set, of which each distinct
+    one is read once. Named keys are opened directly, so nothing else is listed or read. A key
+    without an object, also one that is a folder, fails the job with ``PATH_NOT_FOUND``; ask
+    :func:`millrace.operators.objects.objects_exist` first for a set that may have gaps. An
+    empty key, or one with a segment that is empty, ``.`` or ``..``, is an error.
     """
+    open_store = _opener(_qualified(spark, root))
     if keys is None:
-        paths = [root]
+        wanted = list_objects(spark, root).select("key")
+    elif isinstance(keys, DataFrame):
+        bad = F.col("key").isNull() | F.rlike("key", F.lit(r"^$|(^|/)(\.{0,2})(/|$)"))
+        named = F.concat(F.lit("Not a key of an object: "), F.coalesce("key", F.lit("null")))
+        checked = F.when(bad, F.raise_error(named)).otherwise(F.col("key")).alias("key")
+        wanted = keys.select(checked).distinct()
     elif isinstance(keys, str):
         raise TypeError("keys must be a sequence of keys, not one string")
     else:
-        if skipped := [key for key in keys if key.rsplit("/", 1)[-1].startswith(("_", "."))]:
-            raise ValueError(f"Spark does not read files named like {skipped}")
-        paths = [f"{root.rstrip('/')}/{key}" for key in dict.fromkeys(keys)]
-    if not paths:
-        return spark.createDataFrame([], "key string, content binary")
-    return _files(spark).load([_literal_path(path) for path in paths]).select(
-        _key(F.col("path"), root).alias("key"), "content"
-    )
+        rows = [(_checked(key),) for key in dict.fromkeys(keys)]
+        wanted = spark.createDataFrame(rows, "key string")
+
+    def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store()
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                if not store.get_file_info(f"{base}/{key}").is_file:
+                    raise FileNotFoundError(f"PATH_NOT_FOUND: {key}")
+                with store.open_input_stream(f"{base}/{key}", compression=None) as file:
+                    content = file.read()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key], pa.string()), pa.array([content], pa.binary())],
+                    names=["key", "content"],
+                )
+
+    return wanted.mapInArrow(contents, "key string, content binary")

@@ -23,12 +23,12 @@ from millrace.shared import materialize
 
 def test_single_turn(spark):
     questions = spark.createDataFrame(
-        [(1, "What is the capital of France?", None), (2, "Hi", "system"), (3, None, "user")],
+        [(1, "How many rows has the table?", None), (2, "Hi", "system"), (3, None, "user")],
         "id int, question string, role string",
     )
     bodies = {r.id: json.loads(r.request) for r in single_turn_requests(questions).collect()}
     assert bodies[1] == {
-        "messages": [{"role": "user", "content": "What is the capital of France?"}],
+        "messages": [{"role": "user", "content": "How many rows has the table?"}],
         "parameters": {"max_new_tokens": 400},
         "stream": False,
     }

@@ -1,15 +1,13 @@
 from unittest.mock import MagicMock
 
-import pytest
 from pyspark.sql import functions as F
 
 from millrace.shared import materialize, shared_folder
 
 
-def session(setting, master):
+def session(settings):
     spark = MagicMock()
-    spark.conf.get.return_value = setting
-    spark.sparkContext.master = master
+    spark.conf.get.side_effect = lambda key, default=None: settings.get(key, default)
     return spark
 
 
@@ -20,14 +18,11 @@ def test_folders_are_new_and_below_the_setting(spark):
     assert all(folder.startswith(f"{base}/") for folder in folders)
 
 
-def test_a_cluster_needs_the_setting():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session(None, "yarn"))
-    assert shared_folder(session("hdfs:///shared/", "yarn")).startswith("hdfs:///shared/")
-
-
-def test_a_local_session_may_do_without():
-    assert "millrace-" in shared_folder(session(None, "local[8]"))
+def test_without_the_setting_the_warehouse_holds_it():
+    warehouse = {"spark.sql.warehouse.dir": "hdfs:///warehouse/"}
+    assert shared_folder(session(warehouse)).startswith("hdfs:///warehouse/_shared/")
+    both = warehouse | {"spark.checkpoint.dir": "hdfs:///shared/"}
+    assert shared_folder(session(both)).startswith("hdfs:///shared/")
 
 
 def test_materialized_rows_are_computed_once(spark):
