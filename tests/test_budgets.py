@@ -43,10 +43,37 @@ def test_large_limits_do_not_overflow(spark, rows):
 
 
 def test_negative_limit_is_rejected(spark):
-    with pytest.raises(PySparkException, match="Negative budget limit for application a"):
+    with pytest.raises(PySparkException, match="one whole number from 0 on, application a"):
         budget_limits(make_budgets(spark, ("a", -1, []))).collect()
 
 
+def test_doubled_and_fractional_limits_are_rejected(spark):
+    doubled = make_budgets(spark, ("a", 100, []), ("b", 1, []), ("a", 100, []))
+    with pytest.raises(PySparkException, match="one whole number from 0 on, application a"):
+        budget_limits(doubled).collect()
+    half = spark.createDataFrame([("a", 99.9)], "application string, monthly_limit double")
+    with pytest.raises(PySparkException, match="one whole number"):
+        budget_limits(half).collect()
+
+
+def test_no_rules_no_alerts(spark):
+    ledger = make_ledger(spark, ("a", "2024-01-01T00:00:00", "100"))
+    assert budget_alerts(ledger, make_budgets(spark, ("a", 1, [])), rules={}).collect() == []
+
+
+def test_days_without_spend_are_below(spark, rows):
+    ledger = make_ledger(
+        spark, ("a", "2024-01-01T00:00:00", "100"), ("a", "2024-01-03T00:00:00", "100")
+    )
+    budgets = make_budgets(spark, ("a", 100, []), ("b", 100, []))
+    below = budget_alerts(
+        ledger, budgets, {"DAILY": (1,)}, comparison="LESS_THAN", threshold_type="ABSOLUTE_VALUE"
+    )
+    assert [(r.application, str(r.period), r.spend) for r in below.collect()] == [
+        ("a", "2024-01-02", 0)
+    ]
+
+
 def test_spend_in_calendar_periods(spark, rows):
     ledger = make_ledger(
         spark,

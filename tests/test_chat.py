@@ -8,6 +8,7 @@ from unittest.mock import MagicMock
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millrace.operators import (
     chat_completions,
@@ -156,26 +157,42 @@ def test_calls_at_once(spark):
         return answer
 
     requests = requests_of(spark, [str(i) for i in range(20)]).coalesce(1)
-    outcomes = chat_completions(requests, connect, calls_per_task=4).collect()
-    assert [(r.conv_id, r.status, r.response) for r in outcomes] == [
+    outcomes = chat_completions(requests, connect, parallelism=1, calls_per_task=4).collect()
+    assert sorted((r.conv_id, r.status, r.response) for r in outcomes) == [
         (i, 200, str(i)) for i in range(20)
     ]
 
 
+def test_calls_are_spread_over_the_cores(spark):
+    """A thousand requests in one partition: every core of the session makes calls."""
+
+    def connect():
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        return lambda body: (200, str(part))
+
+    requests = requests_of(spark, [str(i) for i in range(1000)]).coalesce(1)
+    parts = chat_completions(requests, connect).groupBy("response").count().collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in parts) < 200
+
+
 def test_calls_run_on_workers_without_this_package(tmp_path):
     """The pickled function is run by another Python that cannot import the package."""
     requests = MagicMock()
-    requests.schema["conv_id"].dataType.simpleString.return_value = "int"
+    sent = requests.select.return_value.repartition.return_value
+    sent.schema = StructType([StructField("conv_id", IntegerType())])
     chat_completions(requests, picky_client())
-    function = requests.select.return_value.mapInArrow.call_args.args[0]
+    function = sent.mapInArrow.call_args.args[0]
     (tmp_path / "function").write_bytes(cloudpickle.dumps((function, http_client("u", "k"))))
     worker = f"""
 import pickle, sys
 import pyarrow as pa
 function, connect = pickle.loads(open({str(tmp_path / "function")!r}, "rb").read())
 batch = pa.RecordBatch.from_pydict({{"conv_id": [1, 2], "request": ["a", "raise"]}})
-(result,) = function([batch])
-assert result.column("status").to_pylist() == [200, None], result
+results = list(function([batch]))
+assert [r.column("status").to_pylist() for r in results] == [[200], [None]], results
 assert callable(connect())
 assert "millrace" not in sys.modules
 """

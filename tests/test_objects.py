@@ -118,9 +118,32 @@ def test_hot_key_is_reduced_before_the_shuffle(spark, rows):
     state = object_state(log)
     assert rows(state.filter("key in ('hot', 'copied')")) == [("copied", b"c"), ("hot", b"29997")]
     assert state.count() == 10_002
-    for result, aggregate in ((state, "partial_max(struct"), (object_keys(log), "partial_max(seq")):
+    for result in (state, object_keys(log)):
         plan = result._jdf.queryExecution().executedPlan().toString()
-        assert plan.index(aggregate) > plan.index("Exchange hashpartitioning")
+        assert plan.index("partial_max(struct") > plan.index("Exchange hashpartitioning")
+
+
+def test_keys_and_state_agree_on_odd_operations(spark, rows):
+    log = spark.createDataFrame(
+        [
+            ("no seq", None, "delete", None),
+            ("put without seq", None, "put", b"x"),
+            ("no op", 1, None, b"x"),
+            ("unknown op", 1, "PUT", b"x"),
+            ("put after", 1, "other", None),
+            ("put after", 2, "put", b"y"),
+        ],
+        SCHEMA,
+    )
+    assert rows(object_state(log)) == [("put after", b"y"), ("put without seq", b"x")]
+    assert rows(object_keys(log)) == [("put after",), ("put without seq",)]
+
+
+@pytest.mark.parametrize("row", [(None, 1, b"x"), ("a", None, b"x")])
+def test_puts_need_key_and_seq(spark, row):
+    puts = spark.createDataFrame([row], "key string, seq long, content binary")
+    with pytest.raises(Exception, match="object log needs"):
+        put_objects(puts, "default", "never", "parquet")
 
 
 def test_exist_on_a_log_reads_no_content(spark, tmp_path):

