@@ -9,9 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.shared import shared_folder
+
 #: Distinct words a worker keeps between documents; beyond it, it starts afresh.
 CACHED_WORDS = 500_000
 
@@ -42,6 +44,30 @@ class Memo(dict):
         return value
 
 
+class Scratch:
+    """Tables in the shared folder that an operator needs only until its result is written.
+
+    What is still to be computed when they are dropped must not come from them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Compute ``df`` once; as ``materialize``, but for a time."""
+        path = shared_folder(self.spark)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; the folders are new ones of this operator alone."""
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
 def hash_words(words: list[bytes], memo: Memo) -> np.ndarray:
     """The 64-bit hash of each word; ``memo`` is what ``word_memo`` returns."""
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import (
+    Scratch,
     batches_of,
     binaries,
     hash_words,
@@ -130,7 +131,9 @@ def document_sets(docs: DataFrame, size: int, bounds: Bounds) -> DataFrame:
     )
 
 
-def _repeated_tokens(sets: DataFrame, buckets: int, counted: bool) -> DataFrame:
+def _repeated_tokens(
+    sets: DataFrame, buckets: int, counted: bool, scratch: Scratch
+) -> DataFrame:
     """The tokens of prefixes that are in several of them.
 
     ``sets`` has ``doc_id, prefix``. Returns ``doc_id, tokens`` (how many), or if ``counted``
@@ -158,12 +161,12 @@ def _repeated_tokens(sets: DataFrame, buckets: int, counted: bool) -> DataFrame:
         if held:
             yield from send()
 
-    chunks = materialize(
+    chunks = scratch.keep(
         sets.select("doc_id", "prefix").mapInArrow(
             route, "bucket int, keys binary, owners binary, weights binary"
         )
     )
-    repeated = materialize(repeated_keys(chunks))
+    repeated = scratch.keep(repeated_keys(chunks))
 
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +195,9 @@ def _repeated_tokens(sets: DataFrame, buckets: int, counted: bool) -> DataFrame:
     )
 
 
-def _survivors(sets: DataFrame, buckets: int, bounds: Bounds) -> DataFrame:
+def _survivors(sets: DataFrame, buckets: int, bounds: Bounds, scratch: Scratch) -> DataFrame:
     """``doc_id`` of the sets with enough repeated tokens in their prefix to have a partner."""
-    found = _repeated_tokens(sets, buckets, False).groupBy("doc_id").agg(
+    found = _repeated_tokens(sets, buckets, False, scratch).groupBy("doc_id").agg(
         F.sum("tokens").alias("tokens")
     )
     least = F.greatest(
@@ -207,9 +210,9 @@ def _survivors(sets: DataFrame, buckets: int, bounds: Bounds) -> DataFrame:
     )
 
 
-def _index(sets: DataFrame, buckets: int, bounds: Bounds) -> DataFrame:
+def _index(sets: DataFrame, buckets: int, bounds: Bounds, scratch: Scratch) -> DataFrame:
     """``key, doc_id``: the index keys of the sets that may be similar to another."""
-    per_set = _repeated_tokens(sets, buckets, True).groupBy("doc_id").agg(
+    per_set = _repeated_tokens(sets, buckets, True, scratch).groupBy("doc_id").agg(
         F.collect_list("token").alias("tokens"), F.collect_list("count").alias("counts")
     )
 
@@ -284,24 +287,28 @@ def jaccard_components(
     """
     bounds, sharp = Bounds(percent, 5), Bounds(percent, 30)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    sets = materialize(document_sets(source, size, bounds))
+    scratch, early = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    prefixes = scratch.keep(document_sets(source, size, bounds))
+    sets = materialize(prefixes.select("doc_id", "n", "signature"))
     known = sets.filter("doc_id is not null and n > 0")
     classes = materialize(known.groupBy("signature").agg(F.min("doc_id").alias("head")))
-    heads = known.join(
+    heads = prefixes.join(
         classes.select("signature", F.col("head").alias("doc_id")), ["signature", "doc_id"]
     ).select("doc_id", "n", "prefix")
     buckets = bucket_count(text_bytes(source), BUCKET_BYTES)
-    survivors = materialize(_survivors(heads, buckets, bounds))
-    whole = materialize(_whole_sets(source, survivors, size))
+    survivors = scratch.keep(_survivors(heads, buckets, bounds, early))
+    early.drop()
+    whole = scratch.keep(_whole_sets(source, survivors, size))
     cut = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(
         F.lit(1), F.floor(F.col("n") * sharp.certain_percent / 100)
     )
     prefix = F.substring("tokens", F.lit(1), (cut * 8).cast("int"))
     lowest_tokens = whole.select("doc_id", "n", prefix.alias("prefix"))
-    index = materialize(_index(lowest_tokens, buckets, sharp))
+    index = scratch.keep(_index(lowest_tokens, buckets, sharp, early))
+    early.drop()
 
     lowest = index.groupBy("key").agg(F.min("doc_id").alias("a"))
-    tried = materialize(
+    tried = scratch.keep(
         index.join(lowest, "key").filter("doc_id != a").select("a", F.col("doc_id").alias("b"))
         .distinct()
     )
@@ -310,7 +317,7 @@ def jaccard_components(
     found = connected_components(links).select(
         F.col("node").alias("doc_id"), F.col("component_id").alias("group")
     )
-    grouped = materialize(
+    grouped = scratch.keep(
         index.join(found, "doc_id", "left").select(
             "key", "doc_id", F.coalesce("group", "doc_id").alias("group")
         )
@@ -320,7 +327,7 @@ def jaccard_components(
     )
     open_keys = per_key.filter("low != high").select("key", "a")
     apart = grouped.join(open_keys, "key").select("a", F.col("doc_id").alias("b"), "group")
-    apart = materialize(apart.distinct())
+    apart = scratch.keep(apart.distinct())
     pools = connected_components(apart.filter("a != b").select("a", "b"))
     pooled = apart.select(F.col("b").alias("doc_id"), "group").distinct()
     # The first of a pool's documents names it, and is the end of its links only.
@@ -328,7 +335,8 @@ def jaccard_components(
     pooled = pooled.join(pool_of, "doc_id", "left").select(
         "doc_id", "group", F.coalesce("pool", "doc_id").alias("pool")
     )
-    more = materialize(_between_groups(pooled.join(whole, "doc_id"), bounds))
+    more = materialize(_between_groups(pooled.join(whole, "doc_id"), bounds, scratch))
+    scratch.drop()
     component = connected_components(links.union(more)).withColumnRenamed("node", "head")
     of_row = (
         known.select("doc_id", "signature")
@@ -345,7 +353,9 @@ def jaccard_components(
     )
 
 
-def _between_groups(pooled: DataFrame, bounds: Bounds, rows: int = 128) -> DataFrame:
+def _between_groups(
+    pooled: DataFrame, bounds: Bounds, scratch: Scratch, rows: int = 128
+) -> DataFrame:
     """Links ``a, b`` that join the groups of a pool, found by comparing its sets in blocks.
 
     ``pooled`` has ``pool, group, doc_id, n, tokens``. A pool is sorted by size over the cluster
@@ -396,7 +406,7 @@ def _between_groups(pooled: DataFrame, bounds: Bounds, rows: int = 128) -> DataF
             "tokens binary",
         )
     )
-    blocks = materialize(blocks.withColumn("number", F.monotonically_increasing_id()))
+    blocks = scratch.keep(blocks.withColumn("number", F.monotonically_increasing_id()))
     other = blocks.select("pool", *(F.col(c).alias(f"o_{c}") for c in blocks.columns[1:]))
     can = (F.col("high") * 100 >= F.col("o_low") * bounds.percent) & (
         F.col("o_high") * 100 >= F.col("low") * bounds.percent

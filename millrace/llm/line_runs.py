@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import Scratch
 from millrace.shared import materialize
 
 #: A suffix is named by its document (id, hash of the text) and the number of its first line.
@@ -49,7 +50,7 @@ def _repeated(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy(*names).agg(*ends).filter(different).select(*names)
 
 
-def _ranked(rows: DataFrame, names: list[str]) -> DataFrame:
+def _ranked(rows: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
     """Sort the suffixes that share a name with another: ``doc_id, text_hash, line, rank``.
 
     The different names are sorted over the cluster, and a name's place in that order is its
@@ -62,8 +63,8 @@ def _ranked(rows: DataFrame, names: list[str]) -> DataFrame:
         .sortWithinPartitions(*names)
         .withColumn("rank", F.monotonically_increasing_id())
     )
-    order = materialize(order)
-    return materialize(rows.join(order, names).select(*SUFFIX, "rank").distinct())
+    order = scratch.keep(order)
+    return scratch.keep(rows.join(order, names).select(*SUFFIX, "rank").distinct())
 
 
 def _doubled(ranks: DataFrame, ahead: int) -> DataFrame:
@@ -74,7 +75,7 @@ def _doubled(ranks: DataFrame, ahead: int) -> DataFrame:
     return ranks.join(later, SUFFIX)
 
 
-def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
+def repeated_runs(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
     """The suffixes whose first ``min_lines`` lines start another suffix too, with their rank.
 
     Prefix doubling: ranks by one line give those by two, these those by four, and so on; two
@@ -82,11 +83,11 @@ def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
     an interval whose common prefix has ``min_lines`` lines at least. A suffix that is alone at
     some length stays alone, so each round sorts only what still repeats.
     """
-    ranks, length = _ranked(lines, ["name"]), 1
+    ranks, length = _ranked(lines, ["name"], scratch), 1
     while length < min_lines:
         ahead = min(length, min_lines - length)
         pairs = _doubled(ranks, ahead).withColumnRenamed("rank", "first")
-        ranks = _ranked(pairs, ["first", "next"])
+        ranks = _ranked(pairs, ["first", "next"], scratch)
         length += ahead
     return ranks
 
@@ -110,8 +111,9 @@ def line_dedup(
     documents. A row without an id is compared with none; a null text stays null, with no lines.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    lines = materialize(line_sequence(source))
-    runs = repeated_runs(lines.select(*SUFFIX, "name"), min_lines)
+    scratch = Scratch(docs.sparkSession)
+    lines = scratch.keep(line_sequence(source))
+    runs = repeated_runs(lines.select(*SUFFIX, "name"), min_lines, scratch)
     first = runs.groupBy("rank").agg(F.min(F.struct(*SUFFIX)).alias("first"))
     later = runs.join(first, "rank").filter(F.struct(*SUFFIX) != F.col("first"))
     covered = later.select(
@@ -124,6 +126,8 @@ def line_dedup(
     removed = places.groupBy("doc_id", "text_hash").agg(
         F.collect_set("place").alias("removed"), F.sort_array(F.collect_set("line")).alias("gone")
     )
+    removed = materialize(removed)
+    scratch.drop()
     out = source.withColumn("text_hash", F.xxhash64("text")).join(
         removed, ["doc_id", "text_hash"], "left"
     )

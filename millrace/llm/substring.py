@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import (
+    Scratch,
     batches_of,
     binaries,
     hash_words,
@@ -266,10 +267,11 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_column="doc_id", text_c
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     source = source.filter("doc_id is not null and text is not null")
     buckets = bucket_count(text_bytes(source), SHARD_BYTES)
-    chunks = materialize(_routed_runs(source, window, buckets))
-    repeated = materialize(repeated_keys(chunks))
+    scratch = Scratch(docs.sparkSession)
+    chunks = scratch.keep(_routed_runs(source, window, buckets))
+    repeated = scratch.keep(repeated_keys(chunks))
     runs = _repeated_runs(chunks, repeated)
-    segments = materialize(_segments(source, runs, window))
+    segments = scratch.keep(_segments(source, runs, window))
     found = _indexed(segments, window)
     met = segments.select("doc_id", "first", "number", "segment_id").join(found, "segment_id")
 
@@ -296,9 +298,13 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_column="doc_id", text_c
             )
 
     spans = met.mapInArrow(compare, "doc_id long, first int, length int")
-    return spans.groupBy("doc_id").agg(
-        F.collect_list("first").alias("firsts"), F.collect_list("length").alias("lengths")
+    spans = materialize(
+        spans.groupBy("doc_id").agg(
+            F.collect_list("first").alias("firsts"), F.collect_list("length").alias("lengths")
+        )
     )
+    scratch.drop()
+    return spans
 
 
 def substring_dedup(
