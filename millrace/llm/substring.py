@@ -277,23 +277,24 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_column="doc_id", text_c
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, first, documents, words in zip(
-                *(batch.column(c).to_pylist() for c in ("doc_id", "first", "documents", "words"))
-            ):
-                documents = np.frombuffer(documents, np.int64)
-                words = np.frombuffer(words, np.int64)
-                own = np.arange(first, first + len(words))
-                later = np.flatnonzero((documents != doc_id) | (words != own))
-                if not len(later):
-                    continue
-                breaks = np.flatnonzero(np.diff(later) > 1) + 1
-                for part in np.split(later, breaks):
-                    rows.append((doc_id, first + int(part[0]), len(part) + window - 1))
-            columns = list(zip(*rows)) if rows else [()] * 3
-            types = (pa.int64(), pa.int32(), pa.int32())
+            doc_id = np.asarray(batch.column("doc_id"), np.int64)
+            first = np.asarray(batch.column("first"), np.int64)
+            found = batch.column("documents").to_pylist()
+            windows = np.array([len(x) // 8 for x in found], np.int64)
+            documents = np.frombuffer(b"".join(found), np.int64)
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.int64)
+            row = np.repeat(np.arange(len(windows)), windows)
+            own = first[row] + np.arange(len(row)) - (np.cumsum(windows) - windows)[row]
+            later = np.flatnonzero((documents != doc_id[row]) | (words != own))
+            apart = (np.diff(later) > 1) | (np.diff(row[later]) > 0)
+            begins = later[np.concatenate([[True], apart])] if len(later) else later
+            ends = later[np.concatenate([apart, [True]])] if len(later) else later
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)],
+                [
+                    pa.array(doc_id[row[begins]]),
+                    pa.array(own[begins].astype(np.int32)),
+                    pa.array((ends - begins + window).astype(np.int32)),
+                ],
                 names=["doc_id", "first", "length"],
             )
 
