@@ -72,23 +72,29 @@ class StreamingViterbi:
     def push(self, text: str) -> list[int]:
         """Take more signs; return the ids that are now final."""
         out: list[int] = []
-        score, longest, foreign = self.pieces.score, self.pieces.longest, self.pieces.foreign
-        for sign in text:
-            self.text += sign
-            end = len(self.text)
-            highest, way = self.best[end - 1] + foreign, (end - 1, -1)
-            if sign in score:
-                highest, way = self.best[end - 1] + score[sign][0], (end - 1, score[sign][1])
-            for begin in range(end - 2, max(-1, end - 1 - longest), -1):
-                found = score.get(self.text[begin:end])
-                if found is not None and self.best[begin] + found[0] >= highest:
-                    highest, way = self.best[begin] + found[0], (begin, found[1])
-            self.best.append(highest)
-            self.back.append(way)
-            if end >= 2 * longest and end % longest == 0:
+        longest = self.pieces.longest
+        for k in range(0, len(text), longest):
+            self._extend(text[k : k + longest])
+            if len(self.text) >= 2 * longest:
                 out += self._commit()
         return out
 
+    def _extend(self, signs: str) -> None:
+        """Find the best way to the boundary after each of some signs."""
+        known, longest, foreign = self.pieces.score.get, self.pieces.longest, self.pieces.foreign
+        best, back, done = self.best, self.back, len(self.text)
+        text = self.text = self.text + signs
+        for end in range(done + 1, len(text) + 1):
+            found = known(text[end - 1])
+            score, piece = found if found is not None else (foreign, -1)
+            highest, way = best[end - 1] + score, (end - 1, piece)
+            for begin in range(end - 2, max(-1, end - 1 - longest), -1):
+                found = known(text[begin:end])
+                if found is not None and best[begin] + found[0] >= highest:
+                    highest, way = best[begin] + found[0], (begin, found[1])
+            best.append(highest)
+            back.append(way)
+
     def finish(self) -> list[int]:
         """The ids of the rest of the text."""
         out = self._ids(len(self.text))
