@@ -45,6 +45,9 @@ class Pieces:
             else:
                 self.text.append(" ⁇ ".encode() if piece.type == UNKNOWN else b"")
         self.longest = max(map(len, self.score))
+        # What a piece can end with; of these, what is no piece itself has a hopeless score.
+        ends = {piece[k:] for piece in self.score for k in range(1, len(piece))}
+        self.ending = dict.fromkeys(ends, (-np.inf, -1)) | self.score
         self.foreign = min(score for score, _ in self.score.values()) - 10.0
         # Where every segmentation has a boundary: before a space sign that follows another sign,
         # if no piece reaches over such a place; and around a line end, if no piece has one.
@@ -80,17 +83,22 @@ class StreamingViterbi:
         return out
 
     def _extend(self, signs: str) -> None:
-        """Find the best way to the boundary after each of some signs."""
-        known, longest, foreign = self.pieces.score.get, self.pieces.longest, self.pieces.foreign
+        """Find the best way to the boundary after each of some signs.
+
+        The last piece is looked for from its end; a stretch that no piece ends with ends the
+        search, as longer ones have no such piece either.
+        """
+        known, foreign, single = self.pieces.ending.get, self.pieces.foreign, self.pieces.score.get
         best, back, done = self.best, self.back, len(self.text)
         text = self.text = self.text + signs
         for end in range(done + 1, len(text) + 1):
-            found = known(text[end - 1])
-            score, piece = found if found is not None else (foreign, -1)
+            score, piece = single(text[end - 1], (foreign, -1))
             highest, way = best[end - 1] + score, (end - 1, piece)
-            for begin in range(end - 2, max(-1, end - 1 - longest), -1):
+            for begin in range(end - 2, -1, -1):
                 found = known(text[begin:end])
-                if found is not None and best[begin] + found[0] >= highest:
+                if found is None:
+                    break
+                if best[begin] + found[0] >= highest:
                     highest, way = best[begin] + found[0], (begin, found[1])
             best.append(highest)
             back.append(way)
