@@ -31,10 +31,11 @@ def test_iceberg_table_is_appended_to():
     assert df.writeTo.return_value.using.return_value.mock_calls == [call.append()]
 
 
-def test_iceberg_table_is_replaced():
+def test_iceberg_rows_are_replaced_and_the_table_stays(spark):
     df = frame(exists=True)
     write_table(df, "all_products", "products_v1", mode="overwrite")
-    assert df.writeTo.return_value.using.return_value.mock_calls == [call.createOrReplace()]
+    (made,) = df.writeTo.return_value.using.return_value.mock_calls
+    assert (made[0], str(made.args[0])) == ("overwrite", "Column<'true'>")
     with pytest.raises(ValueError, match="write mode"):
         write_table(df, "all_products", "products_v1", mode="ignore")
 
