@@ -7,20 +7,31 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import CACHED_WORDS, batches_of, binaries
+from millrace.llm.common import CACHED_WORDS, Scratch, batches_of, binaries, text_bytes
+from millrace.llm.routing import bucket_count
+from millrace.shared import materialize
 
 START, OTHER = 0, 1  # ids of the text's start and of words outside the vocabulary
+LAST = 0  # what follows the last word of a text
+#: Text whose rarer words fill one bucket, in bytes.
+BUCKET_BYTES = 12 << 20
+#: Words a task gathers before it sends them on.
+BUFFER = 250_000
+#: Columns of a chunk of words of one bucket.
+PACKED = ("words", "befores", "hashes", "nexts", "texts", "rows", "targets")
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def shared_vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` words that all documents use most, ties to the smaller word.
+def shared_vocabulary(docs: DataFrame, size: int) -> tuple[list[bytes], int]:
+    """The ``size`` words that all documents use most, ties to the smaller word, and how many
+    different words there are.
 
     Every word of every text is counted: first within a task, then by Spark.
     """
@@ -34,7 +45,7 @@ def shared_vocabulary(docs: DataFrame, size: int) -> list[bytes]:
                 names=["word", "n"],
             )
 
-        for batch in batches_of(batches, "text", 1 << 22):
+        for batch in batches_of(batches, "text", 1 << 20):
             for text in binaries(batch.column("text")):
                 total.update(_words(text))
             if len(total) > CACHED_WORDS:
@@ -43,37 +54,75 @@ def shared_vocabulary(docs: DataFrame, size: int) -> list[bytes]:
         yield rows()
 
     counts = docs.select("text").mapInArrow(count, "word binary, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.keep(counts.groupBy("word").agg(F.sum("n").alias("n")))
+    most = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    different = counts.count()
+    scratch.drop()
+    return [bytes(r["word"]) for r in most], different
 
 
-def _pairs(texts: list[bytes | None], ids: dict[bytes, int], size: int):
-    """The word pairs of texts, ``before * size + word``, and where each text's pairs begin."""
-    rows = [_words(text) for text in texts]
-    lengths = np.array([len(row) for row in rows], np.int64)
-    starts = np.cumsum(lengths) - lengths
+def _ids(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words of texts, one after the other, and each text's number of words."""
+    lengths = np.array([len(text) for text in texts], np.int64)
     other = OTHER
-    words = np.fromiter((ids.get(w, other) for row in rows for w in row), np.int64, lengths.sum())
+    words = (ids.get(w, other) for text in texts for w in text)
+    return np.fromiter(words, np.int64, lengths.sum()), lengths
+
+
+def _pairs(words: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """The word pairs of texts, ``before * size + word``."""
+    starts = np.cumsum(lengths) - lengths
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[starts[lengths > 0]] = START
-    return before * size + words, starts, lengths
+    return before * size + words
+
+
+def encoded(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
+    """``doc_id, words`` of ``doc_id, text``: the words' ids, less to shuffle than texts."""
+    ids = {word: k + 2 for k, word in enumerate(vocabulary)}
+    width = _width(vocabulary)
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, "text", 1 << 20):
+            texts = [_words(text) for text in binaries(batch.column("text"))]
+            words, lengths = _ids(texts, ids)
+            each = np.split(words.astype(width), np.cumsum(lengths)[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([x.tobytes() for x in each], pa.binary())],
+                names=["doc_id", "words"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, words binary")
+
+
+def _width(vocabulary: list[bytes]):
+    return np.uint16 if len(vocabulary) + 2 <= 1 << 16 else np.uint32
+
+
+def _joined(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of packed arrays, one after the other, and each one's number of values."""
+    rows = column.to_pylist()
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(rows), kind), np.array([len(x) // size for x in rows], np.int64)
 
 
 def pair_counts(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     """How often each pair of words occurs in the target texts and in all texts.
 
-    ``docs`` has ``text`` and ``target``. Two tables of ``size ** 2`` counts, as the vocabulary
+    ``docs`` has ``words`` and ``target``. Two tables of ``size ** 2`` counts, as the vocabulary
     has a fixed size: a task adds up its own, Spark adds up those of the tasks.
     """
-    size = len(vocabulary) + 2
-    ids = {word: k + 2 for k, word in enumerate(vocabulary)}
+    size, width = len(vocabulary) + 2, _width(vocabulary)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size * size), np.int32)
-        for batch in batches_of(batches, "text", 1 << 23):
+        for batch in batches_of(batches, "words", 1 << 20):
             targets = np.asarray(batch.column("target").to_pylist(), bool)
-            pairs, _, lengths = _pairs(binaries(batch.column("text")), ids, size)
+            words, lengths = _joined(batch.column("words"), width)
+            pairs = _pairs(words.astype(np.int64), lengths, size)
             total[1] += np.bincount(pairs, minlength=size * size).astype(np.int32)
             of_target = pairs[np.repeat(targets, lengths)]
             total[0] += np.bincount(of_target, minlength=size * size).astype(np.int32)
@@ -89,7 +138,7 @@ def pair_counts(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
                 names=["pair", "target", "background"],
             )
 
-    counts = docs.select("text", "target").mapInArrow(
+    counts = docs.select("words", "target").mapInArrow(
         count, "pair int, target long, background long"
     )
     counts = counts.groupBy("pair").agg(
@@ -103,37 +152,207 @@ def pair_counts(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     return out
 
 
-def losses(counts: np.ndarray, size: int, weight: float = 10.0) -> np.ndarray:
+def shares(counts: np.ndarray, size: int, rare: int) -> np.ndarray:
+    """The unigram model: each word's share, with a virtual word for each word there is.
+
+    ``rare`` words have counts of their own that are not in the table; OTHER then stands for
+    their sum in ``counts``, and for a word that is nowhere in the shares.
+    """
+    words = counts.reshape(size, size).sum(0) + 1.0
+    words[START] = 0.0
+    return words / (words.sum() + rare)
+
+
+def losses(counts: np.ndarray, size: int, weight: float = 10.0, rare: int = 0) -> np.ndarray:
     """The loss of each word after each other one, from a table of pair counts.
 
     A bigram model that leans on the unigram model with ``weight`` virtual words, which in turn
-    leans on equal shares with one virtual word each.
+    leans on equal shares with one virtual word each. With ``rare`` words beside the table, a
+    pair with one of them has only the part of its loss that the table's word decides; the other
+    part is that of ``rare_losses``.
     """
     pairs = counts.reshape(size, size).astype(np.float64)
-    words = pairs.sum(0) + 1.0
-    words[START] = 0.0
-    unigram = words / words.sum()
-    p = pairs + weight * unigram
+    p = pairs + weight * shares(counts, size, rare)
+    if rare:
+        p[:, OTHER] = 1.0
     p /= pairs.sum(1, keepdims=True) + weight
+    if rare:
+        p[OTHER] = 1.0
     p[:, START] = 1.0  # never asked for
     return -np.log(p).astype(np.float32).ravel()
 
 
+def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The number of each combination of keys, and how many there are."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        new[1:] |= np.diff(key[order]) != 0
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)
+    return number, int(new.sum()) + 1
+
+
+def rare_losses(
+    docs: DataFrame,
+    size_of_texts: int,
+    vocabulary: list[bytes],
+    counts: np.ndarray,
+    weight: float,
+    rare: int,
+) -> DataFrame:
+    """What the words outside the vocabulary add: ``row, n_rare, target_rare, background_rare``.
+
+    ``docs`` has ``row, text, target``. Each such word goes to its bucket with the word
+    before it and, if that is in the vocabulary, the one after it. A bucket so has all places of
+    its words, and with them the counts of the words and of all pairs that they begin or end: the
+    numerator of the pair that ends in the word, the denominator of the one that begins with it,
+    and the numerator of that too, if the word after it is in the vocabulary. A word outside the
+    vocabulary is no more frequent than any in it, so none makes a bucket large.
+    """
+    size, width = len(vocabulary) + 2, _width(vocabulary)
+    buckets = bucket_count(size_of_texts, BUCKET_BYTES)
+    ids = {word: k + 2 for k, word in enumerate(vocabulary)}
+    shares_of = [shares(table, size, rare) for table in counts]
+    totals = [float(table.sum()) + size - 1 + rare for table in counts]
+
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A row per bucket. A text, and a word before that is outside the vocabulary, stand in
+        lists of their own, so that the arrays of all words are small."""
+        words, befores, hashes, nexts, texts, rows, targets = zip(*held)
+        base = np.cumsum([0, *map(len, rows[:-1])])
+        text = np.concatenate([t + b for t, b in zip(texts, base)])
+        words, befores, hashes, nexts, rows, targets = map(
+            np.concatenate, (words, befores, hashes, nexts, rows, targets)
+        )
+        bucket = (words % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[order], return_index=True)
+        columns: list[list] = [[] for _ in range(7)]
+        for at in np.split(order, first[1:]):
+            own, number = np.unique(text[at], return_inverse=True)
+            for column, values in zip(
+                columns,
+                (
+                    words[at],
+                    befores[at],
+                    hashes[at][befores[at] == OTHER],
+                    nexts[at],
+                    number.astype(np.uint32),
+                    rows[own],
+                    targets[own],
+                ),
+            ):
+                column.append(values.tobytes())
+        if len(used):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used), *(pa.array(c, pa.binary()) for c in columns)],
+                names=["bucket", *PACKED],
+            )
+
+    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        number = 0
+        for batch in batches_of(batches, "text", 1 << 20):
+            words = [_words(text) for text in binaries(batch.column("text"))]
+            known, lengths = _ids(words, ids)
+            at = np.flatnonzero(known == OTHER)
+            if not len(at):
+                continue
+            known = known.astype(width)
+            words = [word for text in words for word in text]
+            # Not kept by word, as words outside the vocabulary seldom come again.
+            hashes = map(xxhash.xxh3_64_intdigest, (words[k] for k in at.tolist()))
+            names = np.zeros(len(known), np.uint64)
+            names[at] = hashes = np.fromiter(hashes, np.uint64, len(at))
+            before, name_before, after = np.roll(known, 1), np.roll(names, 1), np.roll(known, -1)
+            ends = np.cumsum(lengths)[lengths > 0]
+            before[ends - lengths[lengths > 0]] = START
+            after[ends - 1] = LAST
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            rows = np.asarray(batch.column("row"), np.int64)
+            targets = np.asarray(batch.column("target").to_pylist(), np.uint8)
+            held.append(
+                (hashes, before[at], name_before[at], after[at], text[at], rows, targets)
+            )
+            number += len(at)
+            if number >= BUFFER:
+                yield from send(held)
+                held, number = [], 0
+        if held:
+            yield from send(held)
+
+    def score(table: pa.Table) -> pa.Table:
+        def column(name: str, kind) -> np.ndarray:
+            return _joined(table[name], kind)[0]
+
+        after, numbers = column("nexts", width), column("texts", np.uint32)
+        of_chunk = _joined(table["nexts"], width)[1]
+        texts = _joined(table["rows"], np.int64)[1]
+        text = numbers + np.repeat(np.cumsum(texts) - texts, of_chunk)
+        rows = column("rows", np.int64)[text]
+        target = column("targets", np.uint8)[text].astype(np.float64)
+        before = column("befores", width).astype(np.uint64)
+        # A word of the vocabulary is named by its id, another one by its hash.
+        before[before == OTHER] = column("hashes", np.uint64)
+        word, words = _numbered(column("words", np.uint64))
+        ending, endings = _numbered(before, word)
+        beginning, beginnings = _numbered(after, word)
+        goes_on, into_table = after != LAST, after > OTHER
+        row, n_rows = _numbered(rows)
+        names = np.empty(n_rows, np.int64)
+        names[row] = rows
+        sums = []
+        for k, one in enumerate((target, np.ones(len(rows)))):
+            of_word = np.bincount(word, one, words)[word]
+            begun = np.bincount(word, one * goes_on, words)[word]
+            ended = np.bincount(ending, one, endings)[ending]
+            loss = -np.log(ended + weight * (of_word + 1.0) / totals[k])
+            loss += np.where(goes_on, np.log(begun + weight), 0.0)
+            pair = np.bincount(beginning, one, beginnings)[beginning]
+            share = shares_of[k][np.where(into_table, after, OTHER)]
+            loss -= np.where(into_table, np.log(pair + weight * share), 0.0)
+            sums.append(np.bincount(row, loss, n_rows))
+        return pa.table(
+            {
+                "row": names,
+                "n_rare": np.bincount(row, minlength=n_rows),
+                "target_rare": sums[0],
+                "background_rare": sums[1],
+            }
+        )
+
+    chunks = docs.select("row", "text", "target").mapInArrow(
+        route, ", ".join(["bucket int", *(f"{name} binary" for name in PACKED)])
+    )
+    found = chunks.groupBy("bucket").applyInArrow(
+        score, "row long, n_rare long, target_rare double, background_rare double"
+    )
+    return found.groupBy("row").agg(
+        *(F.sum(c).alias(c) for c in ("n_rare", "target_rare", "background_rare"))
+    )
+
+
 def cross_entropy_difference(
     docs: DataFrame,
     target: DataFrame,
-    vocabulary: int = 2_046,
+    vocabulary: int | None = None,
     weight: float = 10.0,
     id_column: str = "doc_id",
     text_column: str = "text",
+    table_words: int = 2_046,
 ) -> DataFrame:
     """Score every whole text: ``doc_id, n_words, target_loss, background_loss, difference``.
 
     ``target`` lists the ids of the texts that the target model learns from; the background
-    model learns from all texts. Both are bigram models over one vocabulary, the words used
-    most in all documents, so their losses per word can be subtracted: the lower the difference
-    the more a text is like the target. ``vocabulary`` fixes the size of the models, which are
-    broadcast (two tables of (vocabulary + 2) squared losses of 4 bytes, 34 MB).
+    model learns from all texts. Both are bigram models over one vocabulary, all words of all
+    documents, so their losses per word can be subtracted: the lower the difference the more a
+    text is like the target. With ``vocabulary`` only so many words, those used most, are told
+    apart, and all others are one.
+
+    Pairs of the ``table_words`` words used most are counted in a table of fixed size, which is
+    broadcast (two of (table_words + 2) squared losses of 4 bytes, 34 MB). All other pairs are
+    counted in buckets of their rarer words, whose number follows the input.
 
     A text without words, or null, has null losses. Repeated rows and null ids give a row each;
     a repeated target id counts once, a null one not at all. Without target texts the target
@@ -142,40 +361,55 @@ def cross_entropy_difference(
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    words = shared_vocabulary(source, vocabulary)
+    words, different = shared_vocabulary(source, table_words if vocabulary is None else vocabulary)
+    rare = different - len(words) if vocabulary is None else 0
     size = len(words) + 2
+    source = source.withColumn("row", F.xxhash64("doc_id", "text"))
     ids = target.select(F.col(id_column).alias("doc_id")).filter("doc_id is not null").distinct()
-    marked = source.join(ids.withColumn("target", F.lit(True)), "doc_id", "left")
-    marked = marked.withColumn("target", F.coalesce("target", F.lit(False)))
-    counts = pair_counts(marked, words)
+    ids = ids.withColumn("target", F.lit(True))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        joined = rows.join(ids, "doc_id", "left")
+        return joined.withColumn("target", F.coalesce("target", F.lit(False)))
+
+    counts = pair_counts(marked(encoded(source, words)), words)
     models = spark.sparkContext.broadcast(
-        np.stack([losses(table, size, weight) for table in counts])
+        np.stack([losses(table, size, weight, rare) for table in counts])
     )
 
     def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {word: k + 2 for k, word in enumerate(words)}
-        for batch in batches_of(batches, "text", 1 << 23):
-            pairs, starts, lengths = _pairs(binaries(batch.column("text")), known, size)
-            full = lengths > 0
+        for batch in batches_of(batches, "text", 1 << 20):
+            texts = [_words(text) for text in binaries(batch.column("text"))]
+            ids, lengths = _ids(texts, known)
+            pairs, starts, full = _pairs(ids, lengths, size), np.cumsum(lengths) - lengths, lengths > 0
             columns = []
-            for table in models.value:
-                loss = np.zeros(len(lengths))
+            for each in (ids == OTHER, *(table[pairs] for table in models.value)):
+                sums = np.zeros(len(lengths))
                 if full.any():
-                    sums = np.add.reduceat(table[pairs].astype(np.float64), starts[full])
-                    loss[full] = sums / lengths[full]
-                columns.append(loss)
-            columns.append(columns[0] - columns[1])
+                    sums[full] = np.add.reduceat(each.astype(np.float64), starts[full])
+                columns.append(sums)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(lengths),
-                    *(pa.array(c, mask=~full) for c in columns),
-                ],
-                names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(lengths)]
+                + [pa.array(c) for c in columns],
+                names=["doc_id", "row", "n_words", "others", "target_sum", "background_sum"],
             )
 
-    return source.mapInArrow(
+    rated = source.mapInArrow(
         rate,
-        f"doc_id {kind}, n_words long, target_loss double, background_loss double, "
-        "difference double",
+        f"doc_id {kind}, row long, n_words long, others double, target_sum double, "
+        "background_sum double",
     )
+    sums = {name: F.col(f"{name}_sum") for name in ("target", "background")}
+    if rare:
+        rest = rare_losses(marked(source), text_bytes(source), words, counts, weight, rare)
+        rated = rated.join(materialize(rest), "row", "left")
+        # Repeated rows are added up; each has as much of the sum as of the words.
+        part = F.col("others") / F.col("n_rare")
+        sums = {n: c + F.coalesce(F.col(f"{n}_rare") * part, F.lit(0.0)) for n, c in sums.items()}
+    full = F.col("n_words") > 0
+    return rated.select(
+        "doc_id",
+        "n_words",
+        *(F.when(full, c / F.col("n_words")).alias(f"{n}_loss") for n, c in sums.items()),
+    ).withColumn("difference", F.col("target_loss") - F.col("background_loss"))

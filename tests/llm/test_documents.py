@@ -341,6 +341,26 @@ def test_cross_entropy_difference(spark, no_documents):
     assert cross_entropy_difference(docs, target.filter("false"), 20).count() == len(rows)
 
 
+@pytest.mark.parametrize("table_words", [2, 300, 2_046])
+def test_words_beyond_the_table_are_told_apart(spark, table_words):
+    from .conftest import words
+
+    rows = [(k, " ".join(words(k, 30 + k, 40 + 200 * (k % 40)))) for k in range(200)]
+    rows += [(200, "rare1 w1"), (201, "rare2 w1"), (202, "w1 rare1"), (203, "rare2"), (203, "rare2")]
+    assert len({w for _, t in rows for w in t.split()}) > 3_000
+    docs = spark.createDataFrame([*rows, (204, None)], "doc_id long, text string").repartition(3)
+    target = docs.filter("doc_id % 3 = 0").select("doc_id")
+    expected = plain_difference(rows, {k for k in range(300) if k % 3 == 0}, 10**9)
+    found = cross_entropy_difference(docs, target, table_words=table_words).collect()
+    assert len(found) == len(rows) + 1
+    for r in found:
+        mine = (r.target_loss, r.background_loss)
+        if r.doc_id == 204:
+            assert mine == (None, None)
+        else:
+            assert np.allclose(mine, expected[r.doc_id], rtol=1e-5)
+
+
 def test_language_model_query(spark, small_texts):
     found = queries()["op8_lm_scoring"](spark, SMALL)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
