@@ -30,6 +30,8 @@ ANCHOR = 6
 LONGEST = 48
 #: Text that fills one index, in bytes, if it is all repeated.
 SHARD_BYTES = 8 << 20
+#: Distinct segments of one anchor, in bytes, beyond which its windows are dealt one by one.
+HOT_BYTES = 1 << 20
 #: Runs a task gathers before it sends them on.
 BUFFER = 500_000
 
@@ -104,7 +106,7 @@ def _routed_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def _repeated_runs(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The runs whose key repeats: ``doc_id, bucket, first, number``.
+    """The runs whose key repeats: ``doc_id, bucket, key, first, number``.
 
     Each row of chunks meets the one row of its bucket; a bucket with more chunks than others
     can be split, as only the other side has a row per bucket.
@@ -121,26 +123,28 @@ def _repeated_runs(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
                     [
                         pa.array(np.frombuffer(row["owners"], np.int64)[kept]),
                         pa.array(np.full(len(kept), row["bucket"], np.int32)),
+                        pa.array(keys[kept].astype(np.int32)),
                         pa.array(np.frombuffer(row["firsts"], np.int32)[kept]),
                         pa.array(np.frombuffer(row["numbers"], np.uint8)[kept].astype(np.int32)),
                     ],
-                    names=["doc_id", "bucket", "first", "number"],
+                    names=["doc_id", "bucket", "key", "first", "number"],
                 )
 
     met = chunks.select("bucket", "keys", "owners", "firsts", "numbers").join(
         repeated.select("bucket", "repeated"), "bucket"
     )
-    return met.mapInArrow(select, "doc_id long, bucket int, first int, number int")
+    return met.mapInArrow(select, "doc_id long, bucket int, key int, first int, number int")
 
 
 def _segments(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """The words of repeated runs: ``bucket, doc_id, first, number, segment_id, segment``.
+    """The words of repeated runs: ``bucket, key, doc_id, first, number, segment_id, segment``.
 
     A task gives a segment's words once, with the first of its places that it has met; the other
     places name the segment by a 128-bit hash.
     """
     places = runs.groupBy("doc_id").agg(
         F.collect_list("bucket").alias("buckets"),
+        F.collect_list("key").alias("keys"),
         F.collect_list("first").alias("firsts"),
         F.collect_list("number").alias("numbers"),
     )
@@ -149,36 +153,37 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
         met: dict[bytes, tuple[int, int]] = {}
         for batch in batches_of(batches, "text", 1 << 21):
             rows: list[tuple] = []
-            for doc_id, text, buckets, firsts, numbers in zip(
+            for doc_id, text, buckets, keys, firsts, numbers in zip(
                 batch.column("doc_id").to_pylist(),
                 binaries(batch.column("text")),
-                *(batch.column(c).to_pylist() for c in ("buckets", "firsts", "numbers")),
+                *(batch.column(c).to_pylist() for c in ("buckets", "keys", "firsts", "numbers")),
             ):
                 words = text.split()
-                for bucket, first, number in set(zip(buckets, firsts, numbers)):
+                for bucket, key, first, number in set(zip(buckets, keys, firsts, numbers)):
                     segment = b" ".join(words[first : first + number + window - 1])
                     name = xxhash.xxh3_128_digest(segment)
                     before = met.get(name)
                     if before is None or (doc_id, first) < before:
                         met[name] = (doc_id, first)
-                        rows.append((bucket, doc_id, first, number, name, segment))
+                        rows.append((bucket, key, doc_id, first, number, name, segment))
                     else:
-                        rows.append((bucket, doc_id, first, number, name, None))
+                        rows.append((bucket, key, doc_id, first, number, name, None))
             if len(met) > BUFFER:
                 met.clear()
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            columns = list(zip(*rows)) if rows else [()] * 6
+            types = (*[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 2, *[pa.binary()] * 2)
+            columns = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types)],
-                names=["bucket", "doc_id", "first", "number", "segment_id", "segment"],
+                names=["bucket", "key", "doc_id", "first", "number", "segment_id", "segment"],
             )
 
     return (
         docs.join(places, "doc_id")
-        .select("doc_id", "text", "buckets", "firsts", "numbers")
+        .select("doc_id", "text", "buckets", "keys", "firsts", "numbers")
         .mapInArrow(
             cut,
-            "bucket int, doc_id long, first int, number int, segment_id binary, segment binary",
+            "bucket int, key int, doc_id long, first int, number int, segment_id binary, "
+            "segment binary",
         )
     )
 
@@ -253,7 +258,67 @@ def _indexed(segments: DataFrame, window: int) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, id_column="doc_id", text_column="text"):
+def hot_anchors(segments: DataFrame, size: int) -> DataFrame:
+    """``bucket, key`` of the anchors whose distinct segments have more than ``size`` bytes."""
+    distinct = segments.filter("segment is not null").groupBy("bucket", "key", "segment_id").agg(
+        F.first(F.octet_length("segment")).alias("bytes")
+    )
+    sizes = distinct.groupBy("bucket", "key").agg(F.sum("bytes").alias("bytes"))
+    return sizes.filter(F.col("bytes") > size).select("bucket", "key")
+
+
+def _dealt(segments: DataFrame, window: int) -> DataFrame:
+    """As ``_indexed``, for anchors that are too frequent for one index.
+
+    Each window is dealt by a 128-bit hash of its own words, so that an anchor with a segment in
+    every document is spread over all tasks; the first place of a window is found by a minimum
+    that is taken before the shuffle too.
+    """
+
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, "segment", 1 << 20):
+            rows = []
+            for doc_id, first, name, segment in zip(*(c.to_pylist() for c in batch.columns)):
+                words = segment.split()
+                for k in range(len(words) - window + 1):
+                    own = xxhash.xxh3_128_digest(b" ".join(words[k : k + window]))
+                    rows.append((name, k, own, doc_id, first + k))
+            types = (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)],
+                names=["segment_id", "k", "window_id", "doc_id", "word"],
+            )
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        return pa.table(
+            {
+                "segment_id": table["segment_id"][:1],
+                "documents": pa.array([np.asarray(table["document"]).tobytes()], pa.binary()),
+                "words": pa.array([np.asarray(table["word"]).tobytes()], pa.binary()),
+            }
+        )
+
+    each = segments.select("doc_id", "first", "segment_id", "segment").mapInArrow(
+        windows, "segment_id binary, k int, window_id binary, doc_id long, word long"
+    )
+    earliest = each.groupBy("window_id").agg(F.min(F.struct("doc_id", "word")).alias("at"))
+    of_segment = each.select("segment_id", "k", "window_id").distinct().join(earliest, "window_id")
+    return (
+        of_segment.select("segment_id", "k", F.col("at.doc_id").alias("document"), "at.word")
+        .groupBy("segment_id")
+        .applyInArrow(packed, "segment_id binary, documents binary, words binary")
+    )
+
+
+def repeated_spans(
+    docs: DataFrame,
+    window: int = 20,
+    id_column="doc_id",
+    text_column="text",
+    hot_bytes: int = HOT_BYTES,
+):
     """The words of each document that are in a window of words that starts earlier too.
 
     Returns ``doc_id, firsts, lengths`` (arrays of spans of words, which may overlap) of the
@@ -262,7 +327,9 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_column="doc_id", text_c
     Every window is routed by its smallest anchor, a hash of a few consecutive words; runs of
     windows with one anchor stay together. Anchors that stand at one place only are counted out,
     copies of a run within a task count once, and what repeats is indexed bucket by bucket: each
-    distinct run once, whatever its copies, which then look up what was found for it.
+    distinct run once, whatever its copies, which then look up what was found for it. An anchor
+    with more than ``hot_bytes`` of distinct runs is not indexed in one place: its windows are
+    dealt by all their words.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     source = source.filter("doc_id is not null and text is not null")
@@ -272,7 +339,14 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_column="doc_id", text_c
     repeated = scratch.keep(repeated_keys(chunks))
     runs = _repeated_runs(chunks, repeated)
     segments = scratch.keep(_segments(source, runs, window))
-    found = _indexed(segments, window)
+    hot = scratch.keep(hot_anchors(segments, hot_bytes))
+    if hot.isEmpty():
+        found = _indexed(segments, window)
+    else:
+        kept = segments.filter("segment is not null")
+        found = _indexed(kept.join(hot, ["bucket", "key"], "left_anti"), window).unionByName(
+            _dealt(kept.join(hot, ["bucket", "key"], "left_semi"), window)
+        )
     met = segments.select("doc_id", "first", "number", "segment_id").join(found, "segment_id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +383,11 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_column="doc_id", text_c
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    window: int = 20,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """Remove the words covered by a window that also starts earlier; one row per row.
 
@@ -321,7 +399,7 @@ def substring_dedup(
     name one text, and where they don't, a place found in one counts for all texts of the id.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    spans = repeated_spans(source, window)
+    spans = repeated_spans(source, window, hot_bytes=hot_bytes)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", 1 << 22):

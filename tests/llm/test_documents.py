@@ -47,6 +47,31 @@ def test_substring_dedup(odd, no_documents, rows):
     assert substring_dedup(no_documents, 20).collect() == []
 
 
+def test_substring_dedup_deals_out_a_frequent_phrase(spark, rows):
+    from millrace.llm.substring import hot_anchors
+
+    from .conftest import words
+
+    phrase, copied = " ".join(words(70, 10)), " ".join(words(71, 60))
+    texts = []
+    for k in range(150):  # one phrase, each time between other words
+        around = [" ".join(words(1000 + 2 * k + j, 25, 10**6)) for j in (0, 1)]
+        texts.append((k, f"{around[0]} {phrase} {around[1]}" + (f" {copied}" if k % 9 == 0 else "")))
+    texts += [(200 + k, texts[k][1]) for k in range(0, 150, 10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    expected = plain_substring(texts, 20)
+    assert any(n for _, _, n, _ in expected)
+    for hot_bytes in (0, 2_000, 1 << 20):
+        found = substring_dedup(docs, 20, hot_bytes=hot_bytes)
+        assert rows(found, "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    segments = [(0, 7, bytes([k]), bytes(100)) for k in range(30)] + [(0, 8, b"x", bytes(100))] * 50
+    segments += [(0, 7, b"a", None)]
+    segments = spark.createDataFrame(
+        segments, "bucket int, key int, segment_id binary, segment binary"
+    )
+    assert [tuple(r) for r in hot_anchors(segments, 2_000).collect()] == [(0, 7)]
+
+
 def test_substring_query(spark, rows, small_texts):
     assert rows(queries()["op1_substring_dedup"](spark, SMALL)) == plain_substring(small_texts, 20)
 
