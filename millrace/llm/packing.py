@@ -105,8 +105,8 @@ def completions(
     """Undominated fillings around the length ``first``, those with the least waste first.
 
     A filling is maximal: no length that is left fits into its room. Of two fillings with as
-    many lengths, one that is nowhere shorter dominates; exact fillings are found first, since
-    longer lengths are tried first. ``limit`` bounds the nodes of the search.
+    many lengths, one that is nowhere shorter dominates, and a single length that fills the room
+    exactly dominates all others of that room. ``limit`` bounds the nodes of the search.
     """
     lengths = sorted((x for x in counts if x <= capacity - first), reverse=True)
     found: list[tuple[int, tuple[int, ...]]] = []
@@ -123,7 +123,7 @@ def completions(
             if length <= room and counts[length] - (length == first) > taken.count(length):
                 fits = True
                 extend(j, room - length, taken + (length,))
-                if found and found[-1][0] == 0:
+                if length == room:
                     return
         smallest = next(
             (x for x in reversed(lengths) if counts[x] - (x == first) > taken.count(x)), None
@@ -161,7 +161,7 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 200) -> list[Filling]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[Filling]:
     """Fill as few sequences as a bounded search finds.
 
     The best-fit packing is the first incumbent; the search ends at once where it meets the
@@ -175,23 +175,31 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 200) -> l
         return []
     best = best_fit(counts, capacity)
     fewest, bound, visited = sum(n for _, n in best), lower_bound(counts, capacity), 0
-    stack: list[tuple[list[Filling], dict[int, int], int]] = [([], counts, 0)]
+
+    def branches(done: list[Filling], left: dict[int, int], used: int):
+        first = max(left)
+        for taken in completions(first, left, capacity, limit=500):
+            need = Counter((first, *taken))
+            times = min(left[length] // n for length, n in need.items())
+            after = {x: n - times * need.get(x, 0) for x, n in left.items()}
+            after = {x: n for x, n in after.items() if n}
+            yield done + [((first, *taken), times)], after, used + times
+
+    # Of a branch the next filling is made when it is asked for, so few histograms are held.
+    stack = [iter([([], counts, 0)])]
     while stack and fewest > bound and visited < nodes:
-        done, left, used = stack.pop()
+        branch = next(stack[-1], None)
+        if branch is None:
+            stack.pop()
+            continue
+        done, left, used = branch
         visited += 1
         rest = best_fit(left, capacity)
         total = used + sum(n for _, n in rest)
         if total < fewest:
             best, fewest = done + rest, total
-        if not left or used + lower_bound(left, capacity) >= fewest:
-            continue
-        first = max(left)
-        for taken in reversed(completions(first, left, capacity, limit=500)[:4]):
-            need = Counter((first, *taken))
-            times = min(left[length] // n for length, n in need.items())
-            after = {x: n - times * need.get(x, 0) for x, n in left.items()}
-            after = {x: n for x, n in after.items() if n}
-            stack.append((done + [((first, *taken), times)], after, used + times))
+        if left and used + lower_bound(left, capacity) < fewest:
+            stack.append(branches(done, left, used))
     return best
 
 

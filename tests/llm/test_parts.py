@@ -1,6 +1,7 @@
 """The parts of the operators against plain searches."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,3 +153,21 @@ def test_pairs_of_equal_tokens_do_not_depend_on_their_order():
     counts = np.full(59, 100)
     keys = token_keys(tokens, counts, 100, bounds)
     assert (keys == token_keys(tokens[::-1].copy(), counts, 100, bounds)).all()
+
+
+@pytest.mark.parametrize(
+    "capacity, counts, least",
+    [
+        (100, {12: 2, 20: 1, 24: 1, 27: 2, 31: 1, 33: 1, 40: 3, 44: 1, 49: 3}, 5),
+        (60, {9: 2, 11: 2, 12: 3, 14: 1, 16: 3, 17: 1, 23: 1, 27: 3, 29: 1, 34: 2}, 6),
+    ],
+)
+def test_bin_completion_goes_on_after_an_exact_filling(capacity, counts, least):
+    fillings = bin_completion(counts, capacity)
+    assert sum(n for _, n in fillings) == lower_bound(counts, capacity) == least
+    assert all(sum(lengths) <= capacity for lengths, _ in fillings)
+    used = Counter()
+    for lengths, n in fillings:
+        for length in lengths:
+            used[length] += n
+    assert used == counts
