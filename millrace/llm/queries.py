@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.collocations import collocations
 from millrace.llm.jaccard import jaccard_components
 from millrace.llm.language_model import cross_entropy_difference
 from millrace.llm.licenses import license_scan
 from millrace.llm.line_runs import line_dedup
 from millrace.llm.near_vectors import near_vectors
 from millrace.llm.packing import pack_documents
+from millrace.llm.prefix_trie import conversation_trie
+from millrace.llm.quality_rules import judge, learn
 from millrace.llm.sentencepiece import encode_documents
 from millrace.llm.substring import substring_dedup
 from millrace.llm.topk import top_k, usable
@@ -96,6 +99,24 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("id % 50 = 0"))
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labelled texts and judges all of them."""
+    documents = table(spark, sf_dir, "documents")
+    rules = learn(documents, table(spark, sf_dir, "labels"))
+    return judge(documents, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "rule",
+    )
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": substring,
     "op2_sentencepiece": sentencepiece,
@@ -107,6 +128,9 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": language_model,
     "op9_exact_top_k": exact_top_k,
     "op10_ngram_jaccard_join": jaccard_join,
+    "op11_quality_rules": quality_rules,
+    "op12_phrase_collocations": phrase_collocations,
+    "op13_conversation_prefix_trie": prefix_trie,
 }
 
 #: The SQL whose rows a query must give, where SQL can express it.
