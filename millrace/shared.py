@@ -1,4 +1,4 @@
-"""Results that have to outlive an executor are written to the cluster's shared folder."""
+"""What has to outlive an executor is kept in folders that the whole cluster shares."""
 
 from __future__ import annotations
 
@@ -28,3 +28,67 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """A folder that every executor reaches, for a driver that keeps a few small files in it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def below(self, name: str) -> Folder:
+        return Folder(self.spark, f"{self.path}/{name}")
+
+    def _store(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def make(self) -> None:
+        """Make the folder, if there is none."""
+        store, path = self._store()
+        store.mkdirs(path)
+
+    def names(self) -> list[str]:
+        """The names of what is in the folder; none if there is no such folder."""
+        store, path = self._store()
+        if not store.exists(path):
+            return []
+        return [entry.getPath().getName() for entry in store.listStatus(path)]
+
+    def read(self, name: str) -> str | None:
+        """The text of a small file, null if there is none."""
+        store, path = self._store(name)
+        if not store.exists(path):
+            return None
+        stream = store.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write a small file, in the place of one that is there."""
+        store, path = self._store(name)
+        _, draft = self._store(f"_draft-{uuid.uuid4().hex}")
+        stream = store.create(draft, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if store.exists(path):
+            store.delete(path, False)
+        store.rename(draft, path)
+
+    def delete(self, name: str) -> None:
+        """Delete a file or a folder with all that is in it."""
+        store, path = self._store(name)
+        store.delete(path, True)
+
+    def move_all(self, target: str) -> None:
+        """Move what is in the folder to another one, which is made if need be; the folder goes."""
+        store, path = self._store()
+        end = self.spark._jvm.org.apache.hadoop.fs.Path(target)
+        store.mkdirs(end)
+        for entry in store.listStatus(path):
+            moved = self.spark._jvm.org.apache.hadoop.fs.Path(end, entry.getPath().getName())
+            if not store.rename(entry.getPath(), moved):
+                raise OSError(f"{entry.getPath()} could not be moved to {target}")
+        store.delete(path, True)
