@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from millrace.shared import materialize
+from millrace.shared import Folder, materialize
 from millrace.sinks.streams import AVAILABLE_NOW, write_stream
 from millrace.sinks.tables import write_table
 from millrace.sources.tables import read_table
@@ -116,6 +116,31 @@ class Application:
         return df
 
 
+def _staged(df: DataFrame, app: Application) -> tuple[DataFrame, list[StreamingQuery]]:
+    """A stream of what ``df`` gives, from a folder to which a query of its own writes it.
+
+    The folder is kept beside the application's checkpoints. Its query and those of the tables
+    each know how far they have come, so one that broke off goes on where it was: every row is
+    computed once, and each table gets it once.
+    """
+    folder = f"{app.config.checkpoints_bucket.rstrip('/')}/{app.config.app_id}/_staged"
+    triggers = [dict(writer.trigger) for writer in app.writers if isinstance(writer, LakeTable)]
+    trigger = triggers[0] if triggers else AVAILABLE_NOW
+    query = (
+        df.writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .option("path", f"{folder}/rows")
+        .trigger(**trigger)
+        .start()
+    )
+    running = [query]
+    if "availableNow" in trigger or "once" in trigger:
+        query.awaitTermination()  # the tables take what is there then
+        running = []
+    Folder(df.sparkSession, f"{folder}/rows").make()
+    return df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/rows"), running
+
+
 def run_application(
     spark: SparkSession,
     apps: Sequence[Application],
@@ -124,9 +149,11 @@ def run_application(
 ) -> None:
     """Run the application with the given id and write its result to all its tables.
 
-    A batch result for several tables is computed once and kept in the shared folder while
-    they are written. Of a stream, each table is its own query; the call returns when all have
-    ended, and if one fails it stops the others and raises.
+    A result for several tables is computed once. A batch is kept in the shared folder while they
+    are written. A stream is staged in a folder beside the application's checkpoints, and each
+    table is filled from there by its own query, also after a restart: whatever was running when
+    a job broke off, no table misses a row or has one twice. The call returns when all queries
+    have ended, and if one fails it stops the others and raises.
     """
     matches = [app for app in apps if app.config.app_id == app_id]
     if not matches:
@@ -136,10 +163,13 @@ def run_application(
     (app,) = matches
 
     df = app.process({name: source.read(spark, job_type) for name, source in app.inputs.items()})
-    if len(app.writers) > 1 and not df.isStreaming:
-        df = materialize(df)
     running: list[StreamingQuery] = []
     try:
+        if len(app.writers) > 1:
+            if df.isStreaming:
+                df, running = _staged(df, app)
+            else:
+                df = materialize(df)
         for writer in app.writers:
             query = writer.write(df, app.config)
             if query is not None:

@@ -144,6 +144,59 @@ def test_failing_stream_stops_the_others(spark, lake, tmp_path):
     assert not spark.streams.active
 
 
+def counted(calls):
+    """An application that counts the rows it is given, on the executors."""
+
+    def count(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    class Counted(Application):
+        def process(self, inputs):
+            return inputs["products"].mapInPandas(count, SCHEMA)
+
+    return Counted
+
+
+def test_a_stream_for_several_tables_is_read_once(spark, lake, tmp_path):
+    products(spark, lake)
+    calls = spark.sparkContext.accumulator(0)
+    plain = copy_app(lake, tmp_path, "first", "second", "third")
+    app = counted(calls)(plain.config, plain.inputs, plain.writers)
+    run_application(spark, [app], "products-app", JobType.STREAMING)
+    products(spark, lake, 10, 14)
+    run_application(spark, [app], "products-app", JobType.STREAMING)
+    run_application(spark, [app], "products-app", JobType.STREAMING)
+    assert calls.value == 14
+    for table in ("first", "second", "third"):
+        assert sorted(r.id for r in read_table(spark, lake, table).collect()) == [*range(14)]
+
+
+def test_a_crash_between_two_tables(spark, lake, tmp_path):
+    """The second table fails midway; after a restart both have every row once."""
+    products(spark, lake)
+
+    class Broken(LakeTable):
+        def write(self, df, config):
+            fails = F.when(F.col("id") > 5, F.raise_error(F.lit("broken"))).otherwise(F.col("name"))
+            return super().write(df.withColumn("name", fails), config)
+
+    calls = spark.sparkContext.accumulator(0)
+    plain = copy_app(lake, tmp_path, "first", "second")
+    broken = counted(calls)(
+        plain.config, plain.inputs, [plain.writers[0], Broken(lake, "second", fmt="parquet")]
+    )
+    with pytest.raises(Exception, match="broken"):
+        run_application(spark, [broken], "products-app", JobType.STREAMING)
+    products(spark, lake, 10, 12)
+    whole = counted(calls)(plain.config, plain.inputs, plain.writers)
+    run_application(spark, [whole], "products-app", JobType.STREAMING)
+    for table in ("first", "second"):
+        assert sorted(r.id for r in read_table(spark, lake, table).collect()) == [*range(12)]
+    assert calls.value == 12
+
+
 def test_topic_as_batch_and_as_stream(spark, lake, tmp_path):
     products(spark, lake)
     read_table(spark, lake, "source").write.parquet(f"{tmp_path}/topic")
@@ -215,3 +268,50 @@ def test_a_stream_stopped_midway_goes_on(spark, lake, tmp_path):
     assert 0 < read_table(spark, lake, "out").count()
     start({"availableNow": True}).awaitTermination()
     assert sorted(r.id for r in read_table(spark, lake, "out").collect()) == [*range(10)]
+
+
+def test_a_failed_overwrite_keeps_the_old_rows(spark, lake, tmp_path, rows):
+    old = spark.range(5).withColumn("name", F.lit("old"))
+    fails = spark.range(3).withColumn(
+        "name", F.when(F.col("id") == 2, F.raise_error(F.lit("broken"))).otherwise(F.lit("x"))
+    )
+    for table, path in (("managed", None), ("external", f"{tmp_path}/placed")):
+        write_table(old, lake, table, "parquet", path=path)
+        with pytest.raises(Exception, match="broken"):
+            write_table(fails, lake, table, "parquet", "overwrite")
+        assert rows(read_table(spark, lake, table)) == [(k, "old") for k in range(5)]
+
+
+@pytest.mark.parametrize("external", [False, True])
+@pytest.mark.parametrize("partitioned", [False, True])
+def test_a_table_is_overwritten_by_its_own_rows(spark, lake, tmp_path, rows, external, partitioned):
+    path = f"{tmp_path}/placed" if external else None
+    by = ["part"] if partitioned else []
+    first = spark.range(10).withColumn("part", F.concat(F.lit("it's "), F.col("id") % 3))
+    write_table(first, lake, "own", "parquet", "overwrite", path, by)
+    spark.sql(f"ALTER TABLE {lake}.own SET TBLPROPERTIES ('owner team' = 'x''y')")
+    expected = rows(first)
+    for least in (2, 4, 7):
+        own = read_table(spark, lake, "own").filter(F.col("id") >= least).select("id", "part")
+        write_table(own, lake, "own", "parquet", "overwrite")
+        expected = [r for r in expected if r[0] >= least]
+        assert rows(read_table(spark, lake, "own"), "id", "part") == expected
+    assert [c.name for c in spark.catalog.listColumns(f"{lake}.own") if c.isPartition] == by
+    kept = spark.sql(f"SHOW TBLPROPERTIES {lake}.own ('owner team')").first().value
+    assert kept == "x'y"
+    write_table(first, lake, "own", "parquet")  # and it can still be appended to
+    assert read_table(spark, lake, "own").count() == len(expected) + 10
+    if external:
+        versions = [p.name for p in (tmp_path / "placed").iterdir()]
+        assert len(versions) == 1 and versions[0].startswith("_version-")
+        files = read_table(spark, lake, "own").inputFiles()
+        assert all(f"{tmp_path}/placed/" in f for f in files)
+
+
+def test_an_overwrite_may_change_the_columns(spark, lake, rows):
+    write_table(spark.range(3), lake, "changed", "parquet")
+    other = spark.createDataFrame([("a", 1.5)], "name string, price double")
+    write_table(other, lake, "changed", "parquet", "overwrite")
+    assert rows(read_table(spark, lake, "changed")) == [("a", 1.5)]
+    write_table(other.limit(0), lake, "changed", "parquet", "overwrite")
+    assert rows(read_table(spark, lake, "changed")) == []
