@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from millrace.functions.chat import DEFAULT_PARAMETERS, DEFAULT_ROLE, message, request_body
+from millrace.shared import Folder, materialize
+from millrace.sources.stores import opener, session_place
 
 #: Sends one request body and returns the HTTP status and the response body.
 Client = Callable[[str], tuple[int, str]]
@@ -73,34 +75,175 @@ def http_client(url: str, api_key: str, timeout: float = 300.0) -> Callable[[],
     return connect
 
 
-def chat_completions(
+def keep_alive_client(
+    url: str, api_key: Callable[[], str], timeout: float = 300.0
+) -> Callable[[], Client]:
+    """As :func:`http_client`, with one connection per thread that is used again.
+
+    ``api_key`` gives the key where the calls are made, for example from the worker's environment,
+    so that the key is no part of the job. A connection that the service has closed meanwhile is
+    opened anew, once per call.
+    """
+
+    def connect() -> Client:
+        import http.client
+        import threading
+        from urllib.parse import urlsplit
+
+        parts = urlsplit(url)
+        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+        target = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        headers = {"Content-Type": "application/json", "x-api-key": api_key()}
+        own = threading.local()
+
+        def post(body: str) -> tuple[int, str]:
+            known = hasattr(own, "connection")
+            for last in (False, True) if known else (True,):
+                if not hasattr(own, "connection"):
+                    own.connection = kind(parts.netloc, timeout=timeout)
+                try:
+                    own.connection.request("POST", target, body.encode(), headers)
+                    answer = own.connection.getresponse()
+                    return answer.status, answer.read().decode(errors="replace")
+                except (http.client.RemoteDisconnected, ConnectionError):
+                    own.connection.close()
+                    del own.connection
+                    if last:
+                        raise
+                except BaseException:
+                    own.connection.close()
+                    del own.connection
+                    raise
+
+        return post
+
+    return connect
+
+
+def with_back_off(
+    client_factory: Callable[[], Client], retries: int = 5, first_wait: float = 1.0
+) -> Callable[[], Client]:
+    """A client that calls again after status 429 or 5xx, each time after twice the wait."""
+
+    def connect() -> Client:
+        import random
+        import time
+
+        client = client_factory()
+
+        def post(body: str) -> tuple[int, str]:
+            for turn in range(retries + 1):
+                status, answer = client(body)
+                if turn == retries or not (status == 429 or 500 <= status < 600):
+                    return status, answer
+                # Spread, so that callers that were refused together don't come back together.
+                time.sleep(first_wait * 2**turn * (0.5 + random.random() / 2))
+            raise AssertionError("unreachable")
+
+        return post
+
+    return connect
+
+
+def journaled_completions(
     requests: DataFrame,
     client_factory: Callable[[], Client],
+    journal: str,
     parallelism: int | None = None,
     calls_per_task: int = 1,
+    commit_every: int = 100,
     id_column: str = "conv_id",
 ) -> DataFrame:
-    """Send every request and return ``id, status, response, error``, one row per request.
+    """:func:`chat_completions`, with a journal that a job which broke off goes on from.
 
-    Status 200 fills ``response`` with the body as received, any other status fills ``error``
-    with it, and an exception leaves the status null, so a bad call fails only its own row.
-    Each partition makes one client. ``parallelism`` partitions (as many as the session has
-    cores, unless given) with ``calls_per_task`` threads each bound the calls in flight; with more than one thread they share the client. Every
-    action on the result calls the service again: write it to a table and work from there.
+    ``journal`` is a folder that all workers reach. A task adds the outcomes of its calls there,
+    ``commit_every`` at a time, each in a file of its own; the next job sends only requests
+    whose id has no outcome with an answer of the service yet. So after a job that was killed, calls are
+    repeated that were in flight or had not been added: ``commit_every`` and
+    ``2 * calls_per_task`` per task at most. Requests are told apart by their id, which is not null.
+
+    The calls are made when this is called. Returns the outcomes of the given requests, one per id, from the
+    journal; where a lost executor's task ran twice, one of its outcomes that has a status.
     """
+    spark = requests.sparkSession
+    place = session_place(spark, journal)
+    if place is None or place["scheme"] != "file":
+        add = _arrow_adder(place)
+    else:
+        add = _file_adder(place["base"])
+    Folder(spark, journal).make()
+    id_type = requests.schema[id_column].dataType.simpleString()
+    schema = f"{id_column} {id_type}, status int, response string, error string"
+
+    def held() -> DataFrame:
+        return spark.read.schema(schema).json(journal)
+
+    wanted = requests.select(id_column, "request")
+    open_ = wanted.join(held().filter("status is not null").select(id_column), id_column, "left_anti")
     if parallelism is None:
-        parallelism = requests.sparkSession.sparkContext.defaultParallelism
-    # A given number of partitions is kept by adaptive execution, however small they are.
-    requests = requests.select(id_column, "request").repartition(parallelism)
-    schema = StructType(
-        [
-            requests.schema[id_column],
-            StructField("status", IntegerType()),
-            StructField("response", StringType()),
-            StructField("error", StringType()),
-        ]
+        parallelism = spark.sparkContext.defaultParallelism
+    call = _caller(client_factory, calls_per_task, id_column)
+
+    # Calls and journal in one function: between two of them Spark would gather outcomes first.
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        rows: list[str] = []
+        for batch in call(batches):
+            for row in batch.to_pylist():
+                rows.append(json.dumps(row))
+                if len(rows) >= commit_every:
+                    add("\n".join(rows) + "\n")
+                    rows = []
+        if rows:
+            add("\n".join(rows) + "\n")
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
+
+    sent = materialize(open_).repartition(parallelism)
+    sent.mapInArrow(keep, "n long").write.format("noop").mode("overwrite").save()
+    best = F.max(F.struct(F.col("status").isNotNull().alias("known"), "status", "response", "error"))
+    found = held().groupBy(id_column).agg(best.alias("best"))
+    return found.join(wanted.select(id_column).distinct(), id_column, "left_semi").select(
+        id_column, "best.status", "best.response", "best.error"
     )
 
+
+def _file_adder(base: str) -> Callable[[str], None]:
+    """Adds a file at once: it is written under a name that readers leave out, then renamed."""
+
+    def add(text: str) -> None:
+        import os
+        import uuid
+
+        name = uuid.uuid4().hex
+        with open(f"{base}/_{name}", "w", encoding="utf-8") as file:
+            file.write(text)
+            file.flush()
+            os.fsync(file.fileno())
+        os.rename(f"{base}/_{name}", f"{base}/{name}.json")
+
+    return add
+
+
+def _arrow_adder(place: dict | None) -> Callable[[str], None]:
+    """Adds an object, which is there when it is whole."""
+    if place is None:
+        raise ValueError("No file system here writes the journal")
+    open_store = opener(place)
+
+    def add(text: str) -> None:
+        import uuid
+
+        store = open_store()
+        with store.store.open_output_stream(f"{store.base}/{uuid.uuid4().hex}.json") as file:
+            file.write(text.encode())
+
+    return add
+
+
+def _caller(client_factory: Callable[[], Client], calls_per_task: int, id_column: str) -> Callable:
+    """A function from batches of requests to those of their outcomes, in the order of requests."""
+
     # Nested, so that the whole function travels to workers that lack this package.
     def outcome(client: Client, body: str) -> tuple[int | None, str | None, str | None]:
         try:
@@ -135,7 +278,38 @@ def chat_completions(
             while sent:
                 yield answered(*sent.popleft())
 
-    return requests.mapInArrow(call, schema)
+    return call
+
+
+def chat_completions(
+    requests: DataFrame,
+    client_factory: Callable[[], Client],
+    parallelism: int | None = None,
+    calls_per_task: int = 1,
+    id_column: str = "conv_id",
+) -> DataFrame:
+    """Send every request and return ``id, status, response, error``, one row per request.
+
+    Status 200 fills ``response`` with the body as received, any other status fills ``error``
+    with it, and an exception leaves the status null, so a bad call fails only its own row.
+    Each partition makes one client. ``parallelism`` partitions (as many as the session has
+    cores, unless given) with ``calls_per_task`` threads each bound the calls in flight; with more than one thread they share the client. Every
+    action on the result calls the service again: write it to a table and work from there.
+    """
+    if parallelism is None:
+        parallelism = requests.sparkSession.sparkContext.defaultParallelism
+    # A given number of partitions is kept by adaptive execution, however small they are.
+    requests = requests.select(id_column, "request").repartition(parallelism)
+    schema = StructType(
+        [
+            requests.schema[id_column],
+            StructField("status", IntegerType()),
+            StructField("response", StringType()),
+            StructField("error", StringType()),
+        ]
+    )
+
+    return requests.mapInArrow(_caller(client_factory, calls_per_task, id_column), schema)
 
 
 def completed(outcomes: DataFrame) -> DataFrame:

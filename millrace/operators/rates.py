@@ -21,13 +21,14 @@ DEFAULT_TIERS = {"default": None, "tier-1": 500, "tier-2": 5000, "tier-3": 10000
 Tiers = Mapping[str, int | None]
 
 
-def _limited(tiers: Tiers) -> dict[str, int]:
+def limited_tiers(tiers: Tiers) -> dict[str, int]:
+    """The tiers that have a limit."""
     return {tier: limit for tier, limit in tiers.items() if limit is not None}
 
 
 def limit_of(tier: str, tiers: Tiers) -> Column:
     """The limit of the tier in a column, null where it has none."""
-    limits = [F.lit(part) for entry in _limited(tiers).items() for part in entry]
+    limits = [F.lit(part) for entry in limited_tiers(tiers).items() for part in entry]
     if not limits:
         return F.lit(None).cast("int")
     return F.try_element_at(F.create_map(*limits), F.col(tier)).cast("int")
@@ -84,7 +85,7 @@ def throttled_requests(
     """
     group = ["key", "tier", "window_start"]
     limited = (
-        requests.filter(F.col("tier").isin(list(_limited(tiers))))
+        requests.filter(F.col("tier").isin(list(limited_tiers(tiers))))
         .select(
             "request_id",
             F.struct("api_key").alias("key"),  # never null, so that a missing key joins too
@@ -107,8 +108,12 @@ def throttled_requests(
     ranges = materialize(
         limited.join(beyond, [*group, "slice"])
         .repartitionByRange(*group, "slice", "ts", "request_id")
+        .sortWithinPartitions(*group, "slice", "ts", "request_id")
+        .withColumn("at", F.monotonically_increasing_id())
         .withColumn("part", F.spark_partition_id())
     )
+    # Numbers of a partition follow each other, so a request's number in its range is the way
+    # from the first one there: the requests are not shuffled or sorted a second time.
     range_of = [*group, "slice", "part"]
     before = (
         Window.partitionBy(*group, "slice")
@@ -117,15 +122,14 @@ def throttled_requests(
     )
     offsets = (
         ranges.groupBy(*range_of)
-        .agg(F.count("*").alias("requests"))
+        .agg(F.count("*").alias("requests"), F.min("at").alias("first"))
         .withColumn("earlier", F.coalesce(F.sum("requests").over(before), F.lit(0)))
         .drop("requests")
     )
-    within = Window.partitionBy(*range_of).orderBy("ts", "request_id")
+    number = F.col("before") + F.col("earlier") + F.col("at") - F.col("first") + 1
     return (
-        ranges.withColumn("number", F.row_number().over(within))
-        .join(offsets, range_of)
-        .withColumn("n", F.col("before") + F.col("earlier") + F.col("number"))
+        ranges.join(offsets, range_of)
+        .withColumn("n", number)
         .filter(F.col("n") > limit_of("tier", tiers))
         .select("request_id", "n")
     )

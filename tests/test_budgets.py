@@ -5,7 +5,14 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from millrace.operators import alert_recipients, budget_alerts, budget_limits, spend_by_period
+from millrace.operators import (
+    add_to_days,
+    alert_recipients,
+    budget_alerts,
+    budget_limits,
+    spend_by_period,
+    spend_from_days,
+)
 
 
 def make_ledger(spark, *entries):
@@ -223,3 +230,53 @@ def test_hot_application_is_summed_before_the_shuffle(spark):
     assert {r.spend for r in spend.filter("application = 'hot'").collect()} == {Decimal(100_000)}
     plan = spend._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("partial_sum(") > plan.rindex("Exchange hashpartitioning")
+
+
+def test_day_sums_equal_the_ledger(spark, rows, tmp_path):
+    """Rows that come in any order, late and negative, by application and day."""
+    import random
+
+    rng, path, held = random.Random(3), f"{tmp_path}/days", []
+    schema = "application string, ts timestamp_ntz, amount decimal(18,2)"
+    for turn in range(4):
+        new = [
+            (
+                rng.choice(["a", "b", None]),
+                dt.datetime(2023, 12, 25) + dt.timedelta(hours=rng.randrange(24 * 20)),
+                Decimal(rng.randrange(-500, 1000)) / 4,
+            )
+            for _ in range(30)
+        ]
+        if turn == 2:
+            new.append(("a", None, Decimal(7)))
+        held += new
+        add_to_days(spark.createDataFrame(new, schema), path)
+        expected = spend_by_period(spark.createDataFrame(held, schema))
+        assert rows(spend_from_days(spark, path)) == rows(expected)
+    add_to_days(spark.createDataFrame([], schema), path)
+    assert rows(spend_from_days(spark, path)) == rows(expected)
+
+
+def test_only_touched_days_are_written(spark, tmp_path):
+    path = tmp_path / "days"
+    schema = "application string, ts timestamp_ntz, amount decimal(18,2)"
+
+    def on(*days):
+        rows_ = [("a", dt.datetime(2024, 1, d), Decimal(1)) for d in days]
+        return spark.createDataFrame(rows_, schema)
+
+    def files():
+        return {p.parent.name: p.name for p in path.glob("day=*/*.parquet")}
+
+    add_to_days(on(*range(1, 20)), str(path))
+    before = files()
+    add_to_days(on(3, 3, 25), str(path))
+    after = files()
+    assert set(after) - set(before) == {"day=2024-01-25"}
+    changed = {day for day in before if before[day] != after[day]}
+    assert changed == {"day=2024-01-03"}
+    # A job that fails while it computes changes nothing.
+    broken = on(4).withColumn("amount", F.raise_error(F.lit("broken")).cast("decimal(18,2)"))
+    with pytest.raises(Exception, match="broken"):
+        add_to_days(broken, str(path))
+    assert files() == after

@@ -2,10 +2,13 @@ import io
 import json
 import subprocess
 import sys
+import threading
 import urllib.error
 import urllib.request
+from collections import Counter
 from unittest.mock import MagicMock
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -17,8 +20,11 @@ from millrace.operators import (
     conversation_requests,
     failed,
     http_client,
+    journaled_completions,
+    keep_alive_client,
     single_turn_requests,
 )
+from millrace.operators.chat import with_back_off
 from millrace.shared import materialize
 
 
@@ -146,8 +152,6 @@ def test_calls_at_once(spark):
     """Four threads of one task meet at a barrier that none could pass alone."""
 
     def connect():
-        import threading
-
         barrier = threading.Barrier(4)
 
         def answer(body):
@@ -227,3 +231,115 @@ def test_http_client(monkeypatch):
         "content-type": "application/json",
         "x-api-key": "secret",
     }
+
+
+def counting_client(log, fail_at=None):
+    """Writes each call to a file of its own; breaks off at one request, as a killed task does."""
+
+    def connect():
+        def answer(body):
+            import os
+            import uuid
+
+            if body == fail_at and not os.path.exists(f"{log}/failed"):
+                open(f"{log}/failed", "w").close()
+                os._exit(1)
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as file:
+                file.write(body)
+            if body.endswith("7"):
+                raise TimeoutError("no answer")
+            return (200, f"re {body}") if int(body) % 5 else (422, "no")
+
+        return answer
+
+    return connect
+
+
+def calls_in(log):
+    return Counter(p.read_text() for p in log.iterdir() if p.name != "failed")
+
+
+def test_a_journal_is_gone_on_from(spark, rows, tmp_path):
+    """The job is killed midway; the next one repeats only what was in flight or not yet added."""
+    log, journal = tmp_path / "log", tmp_path / "journal"
+    log.mkdir()
+    requests = requests_of(spark, [str(i) for i in range(60)])
+    with pytest.raises(Exception):
+        journaled_completions(
+            requests, counting_client(log, "31"), str(journal), parallelism=2, commit_every=4
+        )
+    before = calls_in(log)
+    assert len(before) > 8
+    outcomes = journaled_completions(
+        requests, counting_client(log), str(journal), parallelism=2, commit_every=4
+    )
+    found = {r.conv_id: (r.status, r.response, r.error) for r in outcomes.collect()}
+    assert found == {
+        i: (None, None, "TimeoutError: no answer") if i % 10 == 7
+        else (200, f"re {i}", None) if i % 5 else (422, None, "no")
+        for i in range(60)
+    }
+    # A call without an answer is made again; of the others few are repeated.
+    again = {b: n for b, n in calls_in(log).items() if n > 1 and not b.endswith("7")}
+    assert len(again) <= 2 * (4 + 2)
+    calls = sum(calls_in(log).values())
+    journaled_completions(requests, counting_client(log), str(journal))
+    assert sum(calls_in(log).values()) - calls == 6
+    some = journaled_completions(requests.filter("conv_id < 3"), counting_client(log), str(journal))
+    assert sorted(r.conv_id for r in some.collect()) == [0, 1, 2]
+
+
+def test_back_off():
+    waits, answers = [], [(429, "slow"), (503, "busy"), (200, "ok"), (400, "bad"), *[(500, "x")] * 9]
+    import time
+
+    def connect():
+        return lambda body: answers.pop(0)
+
+    own, time.sleep = time.sleep, waits.append
+    try:
+        post = with_back_off(connect, retries=3, first_wait=2.0)()
+        assert post("a") == (200, "ok")
+        assert [1 <= waits[0] <= 2, 2 <= waits[1] <= 4] == [True, True]
+        assert post("b") == (400, "bad") and len(waits) == 2
+        assert post("c") == (500, "x") and len(waits) == 5 and len(answers) == 5
+    finally:
+        time.sleep = own
+
+
+def test_a_connection_is_kept(monkeypatch):
+    """One connection per thread; one that the service closed is opened anew."""
+    import http.client
+
+    made = []
+
+    class Connection:
+        def __init__(self, host, timeout):
+            self.host, self.sent, self.closed = host, [], False
+            made.append(self)
+
+        def request(self, method, target, body, headers):
+            assert (method, target) == ("POST", "/v1/chat?x=1")
+            assert headers == {"Content-Type": "application/json", "x-api-key": "not in the job"}
+            self.sent.append(body)
+
+        def getresponse(self):
+            if len(made) == 1 and len(self.sent) == 3:
+                raise http.client.RemoteDisconnected("closed")
+            return type("R", (), {"status": 200, "read": lambda s: "ü".encode()})()
+
+        def close(self):
+            self.closed = True
+
+    monkeypatch.setattr(http.client, "HTTPSConnection", Connection)
+    monkeypatch.setenv("OWN_KEY", "not in the job")
+    url = "https://chat.example.com/v1/chat?x=1"
+    connect = keep_alive_client(url, lambda: __import__("os").environ["OWN_KEY"])
+    assert b"not in the job" not in cloudpickle.dumps(connect)
+    post = connect()
+    assert [post("{}") for _ in range(4)] == [(200, "ü")] * 4
+    assert len(made) == 2 and made[0].closed and [len(c.sent) for c in made] == [3, 2]
+    thread = threading.Thread(target=post, args=("{}",))
+    thread.start()
+    thread.join()
+    assert len(made) == 3
