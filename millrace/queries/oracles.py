@@ -91,6 +91,16 @@ FROM requests JOIN tiers USING (tier)
 GROUP BY api_key, tier, date_trunc('{unit}', ts), limit_per_minute"""
 
 
+_THROTTLED = f"""WITH {_REQUESTS},{_TIGHT_TIERS},
+numbered AS (
+  SELECT request_id, limit_per_minute,
+         row_number() OVER (PARTITION BY event_type, tier, date_trunc('hour', ts)
+                            ORDER BY ts, request_id) AS n
+  FROM requests JOIN tiers USING (tier)
+)
+SELECT request_id, n FROM numbered WHERE n > limit_per_minute"""
+
+
 _LOG = """
 log AS (
   SELECT url AS key, 1 AS seq, 'put' AS op, html AS content FROM pages
@@ -132,7 +142,13 @@ SELECT lang, 'lang=' || lang || '/part-' AS key_prefix,
 FROM documents GROUP BY lang""",
     "read_objects": "SELECT *, 'part' AS kind FROM pages",
     "read_named_objects": "SELECT page_id, url, 'part' AS kind FROM pages",
+    "objects_at": """
+SELECT lang, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes,
+       CAST(1 AS BIGINT) AS found, CAST(1 AS BIGINT) AS absent
+FROM documents GROUP BY lang""",
+    "read_object_ranges": "SELECT *, 'part' AS kind FROM pages",
     "write_table": "SELECT * FROM orders",
+    "write_table_own_rows": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
     "write_table_overwrite": """
 SELECT o_orderkey, o_totalprice, o_orderstatus, TRUE AS in_place
 FROM orders WHERE o_orderstatus = 'F'""",
@@ -143,6 +159,7 @@ UNION ALL
 SELECT url, 2, 'put', html || '<!-- again -->' FROM pages WHERE url LIKE 'https:%'""",
     "delete_objects": "SELECT url AS key, html AS content FROM pages WHERE url NOT LIKE '%#%'",
     "object_state": f"WITH {_LOG} SELECT key, content FROM state",
+    "compacted_state": f"WITH {_LOG} SELECT key, content FROM state",
     "object_keys": f"WITH {_LOG} SELECT key FROM state",
     "objects_exist": f"""WITH {_LOG},
 keys AS (
@@ -153,6 +170,9 @@ SELECT key, key IN (SELECT key FROM state) AS exists FROM keys""",
     "run_application": f"""WITH {_SPEND}
 SELECT application, time_unit, period, CAST(spend AS DOUBLE) AS spend FROM spend""",
     "run_application_streaming": "SELECT * FROM events",
+    "run_application_streaming_tables": """
+SELECT event_id, event_type, value, copy
+FROM events CROSS JOIN (VALUES ('first'), ('second')) AS t(copy)""",
     "merge_tags": """
 SELECT c_custkey, 'application' AS key, c_name AS value FROM customer
 UNION ALL
@@ -191,6 +211,8 @@ budgets AS (
 ),{_LIMITS}
 SELECT * FROM limits""",
     "spend_by_period": f"""WITH {_SPEND}
+SELECT application, time_unit, period, CAST(spend AS DOUBLE) AS spend FROM spend""",
+    "spend_from_days": f"""WITH {_SPEND}
 SELECT application, time_unit, period, CAST(spend AS DOUBLE) AS spend FROM spend""",
     "budget_alerts": f"WITH {_ALERTS} SELECT * FROM alerts",
     "low_spend_alerts": f"""WITH {_SPEND_EVERY_DAY},{_SEGMENT_BUDGETS},{_LIMITS},
@@ -217,14 +239,8 @@ tiers(tier, limit_per_minute) AS (
     ),
     "rate_limit_audit_daily": _audit(_TIGHT_TIERS, "day"),
     "rate_limit_stream": _audit(_TIGHT_TIERS, "day"),
-    "throttled_requests": f"""WITH {_REQUESTS},{_TIGHT_TIERS},
-numbered AS (
-  SELECT request_id, limit_per_minute,
-         row_number() OVER (PARTITION BY event_type, tier, date_trunc('hour', ts)
-                            ORDER BY ts, request_id) AS n
-  FROM requests JOIN tiers USING (tier)
-)
-SELECT request_id, n FROM numbered WHERE n > limit_per_minute""",
+    "throttled_requests": _THROTTLED,
+    "throttle_stream": _THROTTLED,
     "conversation_requests": """
 SELECT conv_id,
        CAST(to_json({'messages': list({'role': role, 'content': text} ORDER BY turn, role, text),
@@ -232,6 +248,7 @@ SELECT conv_id,
                 'stream': false}) AS VARCHAR) AS request
 FROM conversations GROUP BY conv_id""",
     "chat_completions": f"WITH {_OUTCOMES} SELECT * FROM outcomes",
+    "journaled_completions": f"WITH {_OUTCOMES} SELECT * FROM outcomes",
     "chat_completed": f"WITH {_OUTCOMES} SELECT conv_id, response FROM outcomes WHERE status = 200",
     "chat_failed": f"""WITH {_OUTCOMES}
 SELECT conv_id, status, error FROM outcomes WHERE status IS DISTINCT FROM 200""",

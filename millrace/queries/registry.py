@@ -29,8 +29,15 @@ from millrace.sinks import (
     write_table,
     write_updates,
 )
-from millrace.sources import list_objects, read_objects, read_table, read_topic
-from millrace.streaming import rate_limit_stream
+from millrace.sources import (
+    list_objects,
+    objects_at,
+    read_object_ranges,
+    read_objects,
+    read_table,
+    read_topic,
+)
+from millrace.streaming import rate_limit_stream, throttle_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +147,39 @@ def _read_named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_lines(read_objects(spark, root, keys), pages)
 
 
+@query("objects_at")
+def _objects_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asks a store for every key that it has, and for one beside each that it hasn't."""
+    root = shared_folder(spark)
+    documents = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value"))
+    documents.repartition("lang").write.partitionBy("lang").text(root)
+    keys = list_objects(spark, root).filter(F.rlike("key", F.lit("/part-[^/]+$"))).select("key")
+    asked = keys.union(keys.select(F.concat("key", F.lit(".gone"))))
+    return (
+        objects_at(spark, root, asked)
+        .groupBy(F.regexp_extract("key", "^lang=([^/]+)/", 1).alias("lang"))
+        .agg(
+            F.sum("length").alias("bytes"),
+            F.count_if(F.col("exists")).alias("found"),
+            F.count_if(~F.col("exists")).alias("absent"),
+        )
+    )
+
+
+@query("read_object_ranges")
+def _read_object_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in objects of JSON lines, read in parts of 64 KiB and put together again."""
+    root = shared_folder(spark)
+    pages = table(spark, sf_dir, "pages")
+    pages.write.option("maxRecordsPerFile", 1_000).json(root)
+    parts = read_object_ranges(spark, root, part_bytes=1 << 16)
+    ordered = F.array_sort(F.collect_list(F.struct("offset", "content")))
+    content = F.aggregate(
+        ordered, F.lit("").cast("binary"), lambda whole, part: F.concat(whole, part["content"])
+    )
+    return _page_lines(parts.groupBy("key").agg(content.alias("content")), pages)
+
+
 # Sinks
 
 
@@ -167,6 +207,16 @@ def _write_table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.withColumn("in_place", folder)
 
 
+@query("write_table_own_rows")
+def _write_table_own_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose rows are replaced by some of its own, and of which a failed job keeps all."""
+    database = inputs.new_database(spark)
+    write_table(table(spark, sf_dir, "orders"), database, "orders_v1", "parquet")
+    finished = read_table(spark, database, "orders_v1").filter("o_orderstatus = 'F'")
+    write_table(finished, database, "orders_v1", "parquet", "overwrite")
+    return read_table(spark, database, "orders_v1")
+
+
 @query("write_stream")
 def _write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run starts from the first one's checkpoint and finds nothing to add."""
@@ -206,6 +256,20 @@ def _object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(objects.object_state(inputs.object_log(spark, sf_dir)))
 
 
+@query("compacted_state")
+def _compacted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in three writes: one in a snapshot, one in the next one, and one after it."""
+    database, pointer = inputs.new_database(spark), shared_folder(spark)
+    pages = table(spark, sf_dir, "pages")
+    put_objects(inputs.second_puts(pages), database, "log", "parquet")
+    objects.compact_log(spark, database, "log", pointer, 8)
+    put_objects(inputs.first_puts(pages), database, "log", "parquet")
+    delete_objects(inputs.deletes(pages), database, "log", "parquet")
+    objects.compact_log(spark, database, "log", pointer, 8)
+    put_objects(inputs.third_puts(pages), database, "log", "parquet")
+    return _text(objects.compacted_state(spark, database, "log", pointer))
+
+
 @query("object_keys")
 def _object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.object_keys(inputs.object_log(spark, sf_dir))
@@ -257,6 +321,23 @@ def _run_application_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, database, "events_v1")
 
 
+@query("run_application_streaming_tables")
+def _run_application_streaming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables from one stream, read once; the rows of both."""
+    database, folder = inputs.new_database(spark), shared_folder(spark)
+    app = Application(
+        AppConfig("events", "events-app", "0.0.1", f"{folder}/data", f"{folder}/checkpoints"),
+        {"events": _events(spark, sf_dir)},
+        [LakeTable(database, name, fmt="parquet") for name in ("first", "second")],
+    )
+    run_application(spark, [app], "events-app", JobType.STREAMING)
+    names_ = ("first", "second")
+    first, second = (
+        read_table(spark, database, name).withColumn("copy", F.lit(name)) for name in names_
+    )
+    return first.unionByName(second).select("event_id", "event_type", "value", "copy")
+
+
 # Tags, names and single requests
 
 
@@ -309,6 +390,17 @@ def _spend_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(budgets.spend_by_period(inputs.ledger(spark, sf_dir)))
 
 
+@query("spend_from_days")
+def _spend_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sums kept in four steps: finished orders, late ones, and some twice, once negative."""
+    path, ledger = shared_folder(spark), inputs.ledger(spark, sf_dir)
+    early = F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz")
+    back = ledger.filter(early).withColumn("amount", -F.col("amount"))
+    for rows in (ledger.filter(~early), ledger.filter(early), ledger.filter(early), back):
+        budgets.add_to_days(rows, path)
+    return _amounts(budgets.spend_from_days(spark, path))
+
+
 @query("budget_alerts")
 def _budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
@@ -375,6 +467,22 @@ def _rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.withColumn("window_start", _utc("window_start"))
 
 
+@query("throttle_stream")
+def _throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests beyond their limit as they come, written to a table."""
+    folder = shared_folder(spark)
+    requests = inputs.to_requests(_events_topic(spark, sf_dir), api_key="event_type")
+    beyond = throttle_stream(requests, TIGHT_TIERS, "1 hour", watermark="40 days")
+    query_ = (
+        beyond.writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{folder}/out")
+    )
+    query_.awaitTermination()
+    return spark.read.schema(beyond.schema).parquet(f"{folder}/out")
+
+
 # Chat
 
 
@@ -392,6 +500,15 @@ def _chat_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(_completions(spark, sf_dir))
 
 
+@query("journaled_completions")
+def _journaled_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some requests first, then all: those with an answer aren't sent again."""
+    journal, requests = shared_folder(spark), inputs.chat_requests(spark, sf_dir)
+    client = inputs.offline_client()
+    chat.journaled_completions(requests.filter("conv_id % 3 = 0"), client, journal)
+    return chat.journaled_completions(requests, client, journal)
+
+
 @query("chat_outcomes")
 def _chat_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_outcomes(materialize(_completions(spark, sf_dir)))
