@@ -2,48 +2,79 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyspark
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.shared import shared_folder
+from millrace import shared
 
-#: Distinct words a worker keeps between documents; beyond it, it starts afresh.
-CACHED_WORDS = 500_000
+#: What a task's memo of results may take, in bytes.
+MEMO_BYTES = 16 << 20
+#: Rows that travel to Python and back at once, in bytes; a task holds several such batches.
+BATCH_BYTES = "8m"
 
 
 def kept_by_worker(key: str, make: Callable):
-    """An object that lives as long as the Python worker, not only as long as the task.
+    """An object of bounded size, such as a vocabulary, that lives as long as the Python worker.
 
-    It is kept on a module that every worker has loaded, as functions sent with their code have
-    new globals in each task.
+    It is kept in a module of its own, as functions sent with their code have new globals in
+    each task.
     """
-    kept = vars(pyspark).setdefault("_millrace_kept", {})
+    kept = sys.modules.setdefault("_millrace_worker", ModuleType("_millrace_worker")).__dict__
     if key not in kept:
         kept[key] = make()
     return kept[key]
 
 
 class Memo(dict):
-    """Results of a function by argument; emptied when it holds ``CACHED_WORDS`` of them."""
+    """Results of a function by argument; emptied when they take ``most`` bytes, about."""
 
-    def __init__(self, function):
+    def __init__(self, function, most: int = MEMO_BYTES):
         super().__init__()
-        self.function = function
+        self.function, self.most, self.held = function, most, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHED_WORDS:
+        value = self.function(key)
+        self.held += 100 + sys.getsizeof(key) + sys.getsizeof(value)
+        if isinstance(value, tuple):
+            self.held += sum(map(sys.getsizeof, value))
+        if self.held > self.most:
             self.clear()
-        value = self[key] = self.function(key)
+            self.held = 0
+        self[key] = value
         return value
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed meanwhile goes to Python workers in batches of ``BATCH_BYTES``.
+
+    Rows with packed arrays are large, and a batch is held several times over: by Spark, as it
+    arrives and as Python's own values.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``millrace.shared.materialize`` with small batches."""
+    with small_batches(df.sparkSession):
+        return shared.materialize(df)
+
+
 class Scratch:
     """Tables in the shared folder that an operator needs only until its result is written.
 
@@ -55,9 +86,10 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Compute ``df`` once; as ``materialize``, but for a time."""
-        path = shared_folder(self.spark)
+        path = shared.shared_folder(self.spark)
         self.paths.append(path)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -68,14 +100,9 @@ class Scratch:
         self.paths = []
 
 
-def hash_words(words: list[bytes], memo: Memo) -> np.ndarray:
-    """The 64-bit hash of each word; ``memo`` is what ``word_memo`` returns."""
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
-def word_memo() -> Memo:
-    """The worker's word hashes."""
-    return kept_by_worker("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """The 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,12 +146,40 @@ def batches_of(
             start = end
 
 
-def identified(docs: DataFrame, id_column: str, *columns: str) -> DataFrame:
-    """One row per id and content: rows without an id are left out, repeated rows count once."""
-    return docs.filter(F.col(id_column).isNotNull()).select(id_column, *columns)
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches one by one, for rows so large that only one is made at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """The bytes of all texts, by which operators choose how many parts they make."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).collect()[0]["b"]
     return int(total or 0)
+
+
+def numbered(
+    docs: DataFrame, name: str, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Documents with a whole number each, in the column ``name``, in the order of their ids.
+
+    For operators that take an id to name one text: where ids are whole numbers and do so, they
+    are the numbers. Otherwise each different text of an id gets its own, by a sort over the
+    cluster; a row without an id has none.
+    """
+    text_hash = F.xxhash64(text_column)
+    texts = docs.filter(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id"))
+    several = texts.agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high"))
+    whole = docs.schema[id_column].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and several.filter("low != high").isEmpty():
+        return docs.withColumn(name, F.col(id_column).cast("long"))
+    order = docs.filter(F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias(f"{name}_id"), text_hash.alias(f"{name}_text")
+    )
+    order = order.distinct().repartitionByRange(*order.columns).sortWithinPartitions(*order.columns)
+    order = materialize(order.withColumn(name, F.monotonically_increasing_id()))
+    same = (docs[id_column] == order[f"{name}_id"]) & (
+        F.xxhash64(docs[text_column]) == order[f"{name}_text"]
+    )
+    return docs.join(order, same, "left").drop(f"{name}_id", f"{name}_text")

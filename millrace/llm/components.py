@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:

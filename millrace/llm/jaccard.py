@@ -19,25 +19,24 @@ from millrace.llm.common import (
     mix,
     shingle_hashes,
     text_bytes,
-    word_memo,
 )
 from millrace.llm.components import connected_components
 from millrace.llm.routing import bucket_count, repeated_keys, routed
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 #: A token in at most so many different sets is rare, and indexed alone.
 RARE = 3
 #: Text whose prefix tokens fill a bucket, in bytes.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 
-def shingle_set(text: bytes | None, size: int, memo) -> np.ndarray:
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """The distinct shingles of a text, as sorted 64-bit hashes.
 
     A-Z count as a-z. With fewer words than ``size`` all words are one shingle; without words
     there is none.
     """
-    hashes = hash_words((text or b"").lower().split(), memo)
+    hashes = hash_words((text or b"").lower().split())
     if 0 < len(hashes) < size:
         return shingle_hashes(hashes, len(hashes)) ^ np.uint64(len(hashes))
     return np.unique(shingle_hashes(hashes, size))
@@ -110,9 +109,8 @@ def document_sets(docs: DataFrame, size: int, bounds: Bounds) -> DataFrame:
     """``doc_id, n, signature, prefix``: a set's size, its 128-bit name and its lowest tokens."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches_of(batches, "text", 1 << 22):
-            sets = [shingle_set(t, size, memo) for t in binaries(batch.column("text"))]
+            sets = [shingle_set(t, size) for t in binaries(batch.column("text"))]
             rows = [
                 (len(s), xxhash.xxh3_128_digest(s.tobytes()),
                  s[: bounds.prefix(len(s))].tobytes()) if len(s) else (0, None, None)
@@ -155,7 +153,7 @@ def _repeated_tokens(
                 tokens = mix(np.frombuffer(prefix, np.uint64))
                 held.append((tokens, np.full(len(tokens), doc_id, np.int64)))
                 size += len(tokens)
-                if size >= 1_000_000:
+                if size >= 500_000:
                     yield from send()
                     held, size = [], 0
         if held:
@@ -388,7 +386,7 @@ def _between_groups(
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (row[0] != held[0][0] or len(held) == rows or size > 1 << 23):
+                if held and (row[0] != held[0][0] or len(held) == rows or size > 1 << 21):
                     yield block()
                     held, size = [], 0
                 held.append(row)
@@ -479,9 +477,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, tokens`` of the wanted documents."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches_of(batches, "text", 1 << 22):
-            sets = [shingle_set(t, size, memo) for t in binaries(batch.column("text"))]
+            sets = [shingle_set(t, size) for t in binaries(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 
 def shortest_vectors() -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 #: Two 64-bit hashes name a turn, a block or a prefix.
 LANES = ("x", "y")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.common import (
     Scratch,
@@ -18,11 +19,10 @@ from millrace.llm.common import (
     hash_words,
     shingle_hashes,
     text_bytes,
-    word_memo,
 )
 from millrace.llm.fm_index import FMIndex
 from millrace.llm.routing import bucket_count, repeated_keys, routed
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 #: Words of the part of a window that decides where the window goes.
 ANCHOR = 6
@@ -76,7 +76,6 @@ def window_runs(hashes: np.ndarray, window: int):
 
 def _routed_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         held: list[tuple] = []
         size = 0
 
@@ -88,7 +87,7 @@ def _routed_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         for batch in batches_of(batches, "text", 1 << 22):
             ids = batch.column("doc_id").to_pylist()
             for doc_id, text in zip(ids, binaries(batch.column("text"))):
-                keys, first, number, weight = window_runs(hash_words(text.split(), memo), window)
+                keys, first, number, weight = window_runs(hash_words(text.split()), window)
                 if len(keys):
                     owner = np.full(len(keys), doc_id, np.int64)
                     held.append((keys, first.astype(np.int32), number.astype(np.uint8), weight, owner))
@@ -388,18 +387,26 @@ def substring_dedup(
     id_column: str = "doc_id",
     text_column: str = "text",
     hot_bytes: int = HOT_BYTES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Remove the words covered by a window that also starts earlier; one row per row.
 
     Words are runs of other than ASCII white space, unchanged. Returns ``doc_id, n_words,
-    n_removed, kept_sha256, kept_text, changed``; the kept words are joined by one space.
-    Windows are judged on the input, so the first copy of a sequence stays whole. A null text
+    n_removed, kept_sha256, kept_text, changed``, and the columns named by ``keep`` as fields of
+    ``row``. The kept words are joined by one space; a text that loses none is left as it is in
+    ``kept_text``. Ids are whole numbers. Windows are judged on the input, so the first copy of a sequence stays whole. A null text
     has no words; a document of fewer words than the window keeps them all. A row without an id
     is compared with none. Repeated rows are one document and are cut alike; ids are taken to
     name one text, and where they don't, a place found in one counts for all texts of the id.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     spans = repeated_spans(source, window, hot_bytes=hot_bytes)
+    row = ["row"] if keep else []
+    if keep:
+        others = F.struct(*(docs[name] for name in keep)).alias("row")
+        source = docs.select(
+            F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), others
+        )
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", 1 << 22):
@@ -421,21 +428,31 @@ def substring_dedup(
                 else:
                     left = b" ".join(words)
                 rows.append(
-                    (len(words), removed, hashlib.sha256(left).hexdigest(), left, removed > 0)
+                    (
+                        len(words),
+                        removed,
+                        hashlib.sha256(left).hexdigest(),
+                        left if removed else text,
+                        removed > 0,
+                    )
                 )
             columns = list(zip(*rows)) if rows else [()] * 5
             types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_())
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             arrays[3] = arrays[3].cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *arrays],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "changed"],
+                [batch.column("doc_id"), *arrays, *(batch.column(name) for name in row)],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "changed", *row],
             )
 
-    joined = source.join(spans, "doc_id", "left").select("doc_id", "text", "firsts", "lengths")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(
-        remove,
-        f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string, "
-        "changed boolean",
+    joined = source.join(spans, "doc_id", "left")
+    joined = joined.select("doc_id", "text", "firsts", "lengths", *row)
+    schema = (
+        StructType([source.schema["doc_id"]])
+        .add("n_words", "long")
+        .add("n_removed", "long")
+        .add("kept_sha256", "string")
+        .add("kept_text", "string")
+        .add("changed", "boolean")
     )
+    return joined.mapInArrow(remove, StructType(schema.fields + [source.schema[n] for n in row]))

@@ -39,7 +39,8 @@ def word_encoder(path: str) -> Callable[[list[bytes | None]], list[np.ndarray]]:
     def of_word(word: str) -> bytes:
         return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    runs = kept_by_worker(f"{path} runs", lambda: Memo(of_run))
+    # Kept from task to task, as cutting runs is nearly all the work.
+    runs = kept_by_worker(f"{path} runs", lambda: Memo(of_run, 48 << 20))
     words = kept_by_worker(f"{path} words", lambda: Memo(of_word))
     find, run_ids = _RUNS.findall, runs.__getitem__
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Memo, batches_of, binaries
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 #: Identity terms; the terms of one line take each other's place in counterfactual texts.
 IDENTITY_TERMS = (
