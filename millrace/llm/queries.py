@@ -13,6 +13,7 @@ from millrace.llm.language_model import cross_entropy_difference
 from millrace.llm.licenses import license_scan
 from millrace.llm.line_runs import line_dedup
 from millrace.llm.near_vectors import near_vectors
+from millrace.llm.oracles import ORACLES
 from millrace.llm.packing import pack_documents
 from millrace.llm.prefix_trie import conversation_trie
 from millrace.llm.quality_rules import judge, learn
@@ -21,6 +22,8 @@ from millrace.llm.substring import substring_dedup
 from millrace.llm.topk import top_k, usable
 from millrace.llm.toxicity import score, train
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -55,8 +58,8 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts without later copies of runs of three lines or more."""
-    found = line_dedup(table(spark, sf_dir, "documents"), min_lines=3)
+    """The texts without later copies of runs of three lines, or of twenty words in fewer."""
+    found = line_dedup(table(spark, sf_dir, "documents"), min_lines=3, min_words=20)
     return found.select(
         "doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("kept_sha256")
     )
@@ -132,25 +135,3 @@ QUERIES: dict[str, Query] = {
     "op12_phrase_collocations": phrase_collocations,
     "op13_conversation_prefix_trie": prefix_trie,
 }
-
-#: The SQL whose rows a query must give, where SQL can express it.
-ORACLES: dict[str, str] = {}
-
-ORACLES["op9_exact_top_k"] = """
-WITH usable AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS terms
-    FROM embeddings
-    WHERE embedding IS NOT NULL
-      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(list_sum(list_transform(list_zip(q.terms, c.terms), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
-    WHERE q.vec_id % 50 = 0
-), ranked AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
-           vec_id, score
-    FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-"""

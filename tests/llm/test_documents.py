@@ -76,19 +76,29 @@ def test_substring_query(spark, rows, small_texts):
     assert rows(queries()["op1_substring_dedup"](spark, SMALL)) == plain_substring(small_texts, 20)
 
 
-def plain_lines(rows, least):
+def plain_lines(rows, least, least_words=None):
+    """Every run of ``least`` lines, or of fewer with so many words, that starts earlier too."""
     first, out = {}, []
     split = {}
+    sizes = range(1 if least_words else least, least + 1)
+
+    def runs(kept):
+        for size in sizes:
+            for k in range(len(kept) - size + 1):
+                run = tuple(x for _, x in kept[k : k + size])
+                if size == least or len(WORD.findall("\n".join(run))) >= least_words:
+                    yield k, run
+
     for i, t in sorted({(i, t) for i, t in rows if i is not None and t is not None}):
         kept = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\f\v")]
         split[i, t] = kept
-        for k in range(len(kept) - least + 1):
-            first.setdefault(tuple(x for _, x in kept[k : k + least]), (i, k))
+        for k, run in runs(kept):
+            first.setdefault(run, (i, t, k))
     for i, t in rows:
         kept, gone = split.get((i, t), []), set()
-        for k in range(len(kept) - least + 1):
-            if first[tuple(x for _, x in kept[k : k + least])] != (i, k):
-                gone.update(p for p, _ in kept[k : k + least])
+        for k, run in runs(kept):
+            if first[run] != (i, t, k):
+                gone.update(p for p, _ in kept[k : k + len(run)])
         if t is not None and gone:
             t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
         out.append((i, t, len(gone)))
@@ -102,10 +112,76 @@ def test_line_dedup(odd, no_documents, rows, least):
     assert line_dedup(no_documents, least).collect() == []
 
 
+def lines_of(seed, n, stock=12):
+    """Texts of few different lines, short and long ones, with shared runs of any length."""
+    import random
+
+    rng = random.Random(seed)
+    known = [" ".join(f"w{seed}{k}" for k in range(rng.choice((1, 3, 9, 25)))) + f" {j}" for j in range(stock)]
+    runs = [[rng.choice(known) + f" r{j}" for _ in range(rng.randrange(1, 40))] for j in range(6)]
+    rows = []
+    for i in range(n):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            run = rng.choice(runs)
+            start = rng.randrange(len(run))
+            lines += run[start : rng.randrange(start, len(run)) + 1]
+            lines += [f"own {i} {k}" for k in range(rng.randrange(3))] + [""] * rng.randrange(2)
+        rows.append((i, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("least, least_words", [(1, None), (2, 4), (3, 20), (5, None), (6, 30)])
+def test_line_dedup_by_lines_or_words(spark, rows, least, least_words):
+    texts = [*lines_of(least, 60), *odd_rows()]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(texts)], "doc_id long, text string, line int")
+    found = line_dedup(docs.repartition(4), least, min_words=least_words, keep=["line", "doc_id"])
+    assert rows(found, "doc_id", "text", "n_removed") == plain_lines(texts, least, least_words)
+    assert sorted(r.row.line for r in found.select("row").collect()) == list(range(len(texts)))
+    strings = docs.withColumn("doc_id", F.format_string("%08d", "doc_id"))
+    cut = line_dedup(strings.filter("doc_id >= '0'"), least, min_words=least_words)
+    known = [(f"{i:08d}", t) for i, t in texts if i is not None and i >= 0]
+    assert rows(cut, "doc_id", "text", "n_removed") == plain_lines(known, least, least_words)
+
+
+def test_repeated_runs(spark):
+    """Each run found stands at both places and ends where they differ; none of them is short
+    of the longest run by half."""
+    from millrace.llm import line_runs
+    from millrace.llm.common import Scratch
+
+    texts = lines_of(5, 40)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark)
+    lines = scratch.keep(line_runs.line_sequence(docs, scratch))
+    text = {r.id: r.name for r in lines.collect()}
+    owner = {r.id: r.doc_id for r in lines.collect()}
+    runs = line_runs.repeated_runs(line_runs.suffix_ranks(lines, scratch), scratch).collect()
+
+    def common(i, j):
+        n = 0
+        while i + n in text and text[i + n] == text.get(j + n):
+            n += 1
+        return n
+
+    longest, found = Counter(), Counter()
+    for i in text:
+        longest[owner[i]] = max(longest[owner[i]], *(common(i, j) for j in text if j <= i and j != i), 0)
+    for r in runs:
+        assert r.earlier < r.id and common(r.id, r.earlier) == r.lines
+        found[owner[r.id]] = max(found[owner[r.id]], r.lines)
+    assert max(found.values()) > 16
+    for doc, n in longest.items():
+        assert n >= found[doc] and 2 * found[doc] > n or n == found[doc] == 0
+    dedup = {r.doc_id: r for r in line_runs.line_dedup(docs, 1).collect()}
+    assert all(dedup[d].longest_run == found[d] for d in found)
+
+
 def test_line_query(spark, rows, small_texts):
     got = rows(queries()["op5_line_dedup"](spark, SMALL), "doc_id", "n_removed", "kept_sha256")
     expected = [
-        (i, n, hashlib.sha256(t.encode()).hexdigest()) for i, t, n in plain_lines(small_texts, 3)
+        (i, n, hashlib.sha256(t.encode()).hexdigest())
+        for i, t, n in plain_lines(small_texts, 3, 20)
     ]
     assert got == sorted(expected, key=repr)
 
@@ -240,6 +316,46 @@ def test_license_notices(spark):
     assert [found[k].labels for k in (len(texts) - 2, len(texts) - 1)] == ["", ""]
 
 
+def test_full_notices_with_changes(spark):
+    """Words put in, left out and changed; a file with two notices; one without a key phrase."""
+    mit, bsd = (text for label, text, _ in licenses.FULL_NOTICES if label in ("mit", "bsd"))
+    changed = mit.replace("free of charge", "free of any charge").replace("publish, ", "")
+    changed = "Copyright 2020 Some One\n" + changed.replace("AUTHORS", "SOME ONE")
+    without = mit.replace("without restriction", "with some restriction")
+    both = "# " + "\n# ".join((mit + "\n and, for a part of it,\n" + bsd).split("\n"))
+    filler = " ".join(f"word{k}" for k in range(3_000))
+    texts = [changed, without, both, filler + mit + filler, mit.replace(" ", " x ")]
+    others = [f"some other text of the kind {k}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    full = len(licenses.license_words(mit.encode()))
+    long_ones = {
+        k: [p.label for p in r.places if p.share > 0.9 and p.label in ("mit", "bsd")]
+        for k, r in found.items()
+    }
+    assert "mit" in found[0].labels.split(",") and found[0].score > 0.9
+    starts = {p.start for p in found[2].places if p.label == "bsd"}
+    assert found[2].labels == "bsd,mit" and starts == {full + 6}
+    assert found[3].labels == "mit" and {p.start for p in found[3].places} == {2_999 + 1}
+    assert long_ones[0].count("mit") == 2 and long_ones[1].count("mit") == 1  # the short one stays
+    assert found[4].labels == ""
+
+
+def test_rarest_words_of_the_file_choose():
+    templates = licenses.NOTICES
+    vocabulary = {w for t in templates for w in t.words.split()}
+    common = {"the", "of", "and", "to", "in", "software", "or", "is", "a", "this"}
+    idf = {w: 0.1 if w in common else 5.0 for w in vocabulary}
+    index = licenses.Index(templates, idf)
+    tried = []
+    plain = index.aligned
+    index.aligned = lambda k, places: tried.append(k) or plain(k, places)
+    found, _ = index.scan(b"x all rights reserved of the software".split())
+    assert [(templates[k].label, start) for k, start, _ in found] == [("reserved", 1)]
+    # "reserved" is the rarest word and explains all that is left but common words.
+    assert templates[tried[0]].label == "reserved"
+
+
 def test_license_query(spark, rows, small_texts):
     found = queries()["op4_license_scans"](spark, SMALL)
     assert rows(found, *BASE_COLUMNS) == plain_licenses(small_texts)
@@ -315,6 +431,12 @@ def test_sentencepiece_round_trip(odd, no_documents, rows):
 def test_sentencepiece_query(spark, small_texts):
     found = queries()["op2_sentencepiece"](spark, SMALL)
     assert found.filter("round_trip").count() == len(small_texts)
+    # No segmentation of a whole text, searched at once, has a higher score.
+    pieces, ids = sentencepiece.Pieces(MODEL), {r.doc_id: r.ids for r in found.collect()}
+    assert sorted(ids) == sorted(i for i, _ in small_texts)
+    for i, text in small_texts:
+        signs = "▁" * pieces.prefix + text.replace(" ", "▁")
+        assert np.isclose(score_of(pieces, ids[i]), plain_viterbi(pieces, signs), rtol=1e-9)
 
 
 def plain_difference(rows, target, vocabulary, weight=10.0):
@@ -425,6 +547,45 @@ def test_identity_terms_do_not_count(spark):
     assert gaps[1] < 0.25 * gaps[0] and gaps[1] < 0.1
 
 
+def test_toxicity_scores_are_plain(spark, documents, small_texts):
+    """The scores of a fitted model are those of its weights, added up one by one."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.train(documents, labels)
+    assert model.weights
+    for r in toxicity.score(documents, model).collect():
+        text = dict(small_texts)[r.doc_id]
+        features = {f for w in text.encode().split() for f in toxicity.word_features(w)}
+        odds = model.bias + sum(model.weights.get(f, 0.0) for f in features)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-odds)))
+
+
+def test_toxicity_fit_is_a_minimum():
+    """Plain descent on the whole loss, from the fitted weights or from zero, gets no lower."""
+    rng = np.random.default_rng(3)
+    rows = [sorted(set(rng.integers(0, 12, 5).tolist())) for _ in range(200)]
+    labels = np.array([int(3 in r) ^ int(rng.random() < 0.2) for r in rows])
+    pairs = [([int(a), int(b)], [1.0, -1.0]) for a, b in rng.integers(0, 12, (30, 2)) if a != b]
+    weights, bias = toxicity.fit(rows, labels, pairs, 12, penalty=1.0)
+    x = np.zeros((200, 12))
+    for k, r in enumerate(rows):
+        x[k, r] = 1.0
+    d = np.zeros((len(pairs), 12))
+    for k, (columns, signs) in enumerate(pairs):
+        d[k, columns] = signs
+
+    def loss(w, b):
+        z = x @ w + b
+        log_loss = np.mean(np.log1p(np.exp(z)) - labels * z)
+        return log_loss + 0.5e-4 * w @ w + np.mean((d @ w) ** 2)
+
+    w, b = np.zeros(12), 0.0
+    for _ in range(20_000):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - labels
+        w = w - 0.1 * (x.T @ error / 200 + 1e-4 * w + 2 * d.T @ (d @ w) / len(pairs))
+        b -= 0.1 * error.mean()
+    assert loss(weights, bias) < loss(w, b) + 1e-3 < loss(np.zeros(12), 0.0)
+
+
 def test_toxicity_of_odd_rows(spark, odd, no_documents):
     labels = spark.createDataFrame(
         [(1, 1), (2, 0), (2, 0), (7, 1), (7, 0), (None, 1), (8, None), (9, 3)],

@@ -21,7 +21,7 @@ def test_stages(spark, documents):
         if name == "toxicity":
             assert set(after) <= set(held[name]) and len(after) > 0.8 * len(held[name])
         if name == "line_dedup":
-            plain = [(i, t) for i, t, n in plain_lines(held[name], 3) if not n or t.strip()]
+            plain = [(i, t) for i, t, n in plain_lines(held[name], 3, 20) if not n or t.strip()]
             assert sorted(after) == sorted(plain)
         if name == "ngram_jaccard_join":
             kept = {i for i, _, c in plain_components(held[name], 5, 80) if i == c}
@@ -46,6 +46,45 @@ def test_stages_on_odd_rows(spark, odd, no_documents):
             assert stage(spark, no_documents, SMALL).collect() == []
 
 
+def test_stages_keep_every_text(spark):
+    """Two texts under one id are two documents, and no column name is in the way."""
+    from .conftest import words
+
+    five = [" ".join(words(200 + k, 9)) for k in range(5)]
+    run, other = " ".join(words(300, 30)), " ".join(words(301, 60))
+    texts = [
+        (1, "\n".join(five)),
+        (2, "\n".join(["first", *five, "last"])),
+        (2, "another text"),
+        (2, "another text"),
+        (3, f"{run} a b c"),
+        (4, f"x {run}"),
+        (4, f"{other} y"),
+        (5, other),
+        (5, "z"),
+        (None, run),
+    ]
+    names = "_id", "_new", "row", "left", "changed", "hit", "text_hash", "removed", "n_chars"
+    docs = spark.createDataFrame(
+        [(i, t, *[f"{k}"] * 8, len(t)) for k, (i, t) in enumerate(texts)],
+        "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[:-1]) + ", n_chars int",
+    ).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(name):
+        out = stages[name](spark, docs, SMALL)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        found = out.collect()
+        assert all(r.n_chars == len(r.text) for r in found)
+        return {int(r._id): r.text for r in found}
+
+    whole = {k: t for k, (_, t) in enumerate(texts)}
+    assert left("line_dedup") == whole | {1: "first\nlast"}
+    shorter = whole | {1: "first last", 5: "x"}
+    assert left("substring_dedup") == {k: t for k, t in shorter.items() if k != 7}
+    assert left("ngram_jaccard_join") == {k: whole[k] for k in (0, 2, 3, 4, 6, 8, 9)}
+
+
 def test_run_is_a_query():
     assert queries()["pipeline"] is corpus_pipeline.run
 

@@ -69,6 +69,15 @@ def test_near_vectors_query(spark, folder):
     assert found.n_links.sum() >= 0.9 * true.sum()
     assert (found.kept == (found.vec_id == found.component_id)).all()
     assert (found.component_id <= found.vec_id).all()
+    ids, lowest = found.vec_id.to_numpy(), found.vec_id.to_numpy().copy()
+    while True:  # the smallest id that links reach
+        lower = np.array([min(lowest[row].min(initial=i), i) for row, i in zip(linked, lowest)])
+        if (lower == lowest).all():
+            break
+        lowest = lower
+    if (found.n_links.to_numpy() == true).all():  # as on these tables
+        assert (found.component_id.to_numpy() == lowest).all()
+    assert (found.component_id.to_numpy() >= lowest).all() and len(ids) == len(given)
 
 
 def plain_top(rows, k):
@@ -107,6 +116,55 @@ def test_top_k_ties(spark):
     assert got == [(0, 1, 1, 1), (0, 2, 2, 1), (0, 3, 3, 1), (1, 1, 3, 2), (1, 2, 5, 2), (1, 3, 7, 2)]
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond 2**53 are told apart; beyond 64 bits there is an error, not a wrong score."""
+    vectors = [(1, [2**19, 1]), (2, [2**19, 0]), (3, [2**19 - 1, 2**18])]
+    queries = [(100, [2**40, 1]), (200, [-(2**43), 2**20])]
+    schema = "id long, terms array<long>"
+    found = top_k(spark.createDataFrame(vectors, schema), spark.createDataFrame(queries, schema), 3, 2)
+    expected = []
+    for q, v in queries:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors)
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    huge = spark.createDataFrame([(5, [2**62, 2**62])], schema)
+    with pytest.raises(Exception, match="more than 64 bits"):
+        top_k(huge, spark.createDataFrame([(100, [3, 3])], schema)).collect()
+
+
+@pytest.mark.parametrize("signs", [1, -1])
+def test_essential_terms_follow_the_best_score(signs):
+    """Whatever the floor, nothing that reaches it is left out."""
+    from millrace.llm.topk import Shard
+
+    rng = np.random.default_rng(7)
+    terms = signs * rng.integers(0 if signs == 1 else -50, 100, (300, 12))
+    shard = Shard(np.arange(300), terms)
+    for _ in range(40):
+        query = rng.integers(-30, 100, 12)
+        scores = terms @ query
+        for floor in (None, int(np.sort(scores)[-3]), int(scores.max()), int(scores.max()) + 1, int(scores.min())):
+            ids, found = shard.search(query, 7, 5, floor)
+            assert (scores[ids] == found).all()
+            others = np.delete(np.arange(300), 7)
+            fifth = np.sort(scores[others])[-5]
+            least = fifth if floor is None else max(floor, fifth)
+            assert set(others[scores[others] >= least]) <= set(ids.tolist())
+
+
+@pytest.mark.parametrize("query_rows, shards_per_task", [(1, 1), (3, 2), (100, 100)])
+def test_top_k_in_tiles(spark, query_rows, shards_per_task):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.integers(-9, 9, 5).tolist()) for k in range(150)]
+    vectors = spark.createDataFrame(rows, "id long, terms array<long>").repartition(3)
+    found = top_k(vectors, vectors.filter("id % 10 = 0"), 4, 16, query_rows, shards_per_task)
+    expected = []
+    for q, v in rows[::10]:
+        scored = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:4], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_top_k_query(spark):
     found = queries()["op9_exact_top_k"](spark, SMALL)
     given = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
