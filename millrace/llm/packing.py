@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import batches_of, binaries
 from millrace.llm.tokens import word_encoder
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 #: A filling and how many sequences are filled so: (lengths in order, count).
 Filling = tuple[tuple[int, ...], int]
@@ -148,17 +148,19 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     Besides the sum of lengths: for a threshold t, lengths over ``capacity - t`` are alone, and
     those over half the capacity are in different sequences, whose room the middle ones share.
     """
-    lengths = np.array(sorted(counts), np.int64)
-    number = np.array([counts[x] for x in lengths.tolist()], np.int64)
-    best = -(-int((lengths * number).sum()) // capacity)
-    for t in [0, *lengths[lengths <= capacity // 2].tolist()]:
-        alone = lengths > capacity - t
-        large = (lengths > capacity // 2) & ~alone
-        middle = (lengths >= t) & (lengths <= capacity // 2)
-        room = int(number[large].sum()) * capacity - int((lengths * number)[large].sum())
-        over = int((lengths * number)[middle].sum()) - room
-        best = max(best, int(number[alone | large].sum()) + max(0, -(-over // capacity)))
-    return best
+    number = np.zeros(capacity + 1, np.int64)
+    number[list(counts)] = list(counts.values())
+    upto = np.cumsum(number)  # documents up to a length, and their ids
+    ids = np.cumsum(number * np.arange(capacity + 1))
+    half = capacity // 2
+    t = np.append(0, np.flatnonzero(number[: half + 1]))
+    large = upto[capacity - t] - upto[half]
+    room = large * capacity - (ids[capacity - t] - ids[half])
+    below = np.maximum(t - 1, 0)
+    over = ids[half] - ids[below] - room
+    apart = int(upto[-1] - upto[half])
+    shared = -(-int(max(0, over.max())) // capacity)
+    return max(-(-int(ids[-1]) // capacity), apart + shared)
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[Filling]:
@@ -245,7 +247,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     )
     within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
     ranked = numbered.withColumn("_rank", F.row_number().over(within) - 1).join(
-        first, ["length", "_part"]
+        first.hint("merge"), ["length", "_part"]  # it grows with the parts, so it isn't broadcast
     )
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_first")).drop("_first", "_part")
 
