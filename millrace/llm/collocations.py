@@ -8,17 +8,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, batches_of, binaries, text_bytes
+from millrace.llm.common import Scratch, batches_of, binaries, materialize, rows_of, text_bytes
 from millrace.llm.quotient_filter import CountingQuotientFilter, permute, restore, shards
 from millrace.llm.routing import bucket_count
-from millrace.shared import materialize
 
 #: Words of one language that a task gathers before they are counted.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 #: Text whose words, and later phrases, are counted in one group, in bytes.
 BUCKET_BYTES = 16 << 20
 #: What parts pieces becomes a word of its own, as no other word can hold a full stop.
@@ -64,7 +64,8 @@ def word_chunks(docs: DataFrame) -> DataFrame:
             numbering, parts = held.pop(lang)
             del sizes[lang]
             chunk += 1
-            values = (chunk, lang, b" ".join(list(numbering)[1:]), np.concatenate(parts).tobytes())
+            tokens = zstandard.compress(np.concatenate(parts).tobytes(), 1)
+            values = (chunk, lang, b" ".join(list(numbering)[1:]), tokens)
             types = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(values, types)],
@@ -110,30 +111,30 @@ def counted_words(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
     """
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = row["words"].split(b" ") if row["words"] else []
-                if not words:
-                    continue
-                counts = np.bincount(_numbers(row["tokens"], np.uint32), minlength=len(words) + 1)
-                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                used, first = np.unique(bucket[order], return_index=True)
-                parts = np.split(order, first[1:])
-                columns = (
-                    used,
-                    [row["chunk"]] * len(used),
-                    [row["lang"]] * len(used),
-                    [b" ".join([words[k] for k in p.tolist()]) for p in parts],
-                    [(p + 1).astype(np.uint32).tobytes() for p in parts],
-                    [counts[p + 1].astype(np.uint32).tobytes() for p in parts],
-                )
-                types = (pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 3)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)],
-                    names=["bucket", "chunk", "lang", "words", "locals", "counts"],
-                )
+        for row in rows_of(batches):
+            words = row["words"].split(b" ") if row["words"] else []
+            if not words:
+                continue
+            tokens = _numbers(zstandard.decompress(row["tokens"]), np.uint32)
+            counts = np.bincount(tokens, minlength=len(words) + 1)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[order], return_index=True)
+            parts = np.split(order, first[1:])
+            columns = (
+                used,
+                [row["chunk"]] * len(used),
+                [row["lang"]] * len(used),
+                [b" ".join([words[k] for k in p.tolist()]) for p in parts],
+                [(p + 1).astype(np.uint32).tobytes() for p in parts],
+                [counts[p + 1].astype(np.uint32).tobytes() for p in parts],
+            )
+            types = (pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)],
+                names=["bucket", "chunk", "lang", "words", "locals", "counts"],
+            )
 
     def merge(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -210,14 +211,23 @@ def _squeezed(words: np.ndarray, grams: np.ndarray, size: int) -> tuple[np.ndarr
     return words[inside], grams[inside]
 
 
-def _state(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [()] * 3
+def _state(chunk: int, words: np.ndarray, grams: np.ndarray | None) -> pa.RecordBatch:
+    """A row of a chunk; without ``grams`` the words stand for them."""
+    values = [
+        zstandard.compress(x.tobytes(), 1) if x is not None else b"" for x in (words, grams)
+    ]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))],
+        [pa.array([chunk]), *(pa.array([v], pa.binary()) for v in values)],
         names=["chunk", "words", "grams"],
     )
 
 
+def _read_state(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    words = _numbers(zstandard.decompress(row["words"]), np.uint64)
+    grams = row["grams"]
+    return words, _numbers(zstandard.decompress(grams), np.uint64) if grams else words
+
+
 _STATE = "chunk long, words binary, grams binary"
 
 
@@ -226,24 +236,24 @@ def _with_replies(rows: DataFrame, found: DataFrame) -> DataFrame:
     replies = found.filter("kind = 'reply'").groupBy("chunk").agg(
         F.collect_list(F.struct("bucket", "locals", "indexes")).alias("replies")
     )
-    return rows.join(replies, "chunk")
+    # Never broadcast: what a chunk is answered grows with it.
+    return rows.join(replies.hint("merge"), "chunk")
 
 
 def frequent_word_ids(chunks: DataFrame, found: DataFrame, bits: int) -> DataFrame:
     """Chunks as the numbers of frequent words, 0 for breaks and all others."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens = _numbers(row["tokens"], np.uint32)
-                ids = np.zeros(int(tokens.max()) + 1, np.uint64)
-                for reply in row["replies"]:
-                    index = _numbers(reply["indexes"], np.uint32)
-                    bucket = np.full(len(index), reply["bucket"], np.uint64)
-                    ids[_numbers(reply["locals"], np.uint32)] = _ids(bucket, index, bits)
-                words = ids[tokens]
-                words, _ = _squeezed(words, words, 1)
-                yield _state([(row["chunk"], words.tobytes(), words.tobytes())])
+        for row in rows_of(batches):
+            tokens = _numbers(zstandard.decompress(row["tokens"]), np.uint32)
+            ids = np.zeros(int(tokens.max()) + 1, np.uint64)
+            for reply in row["replies"]:
+                index = _numbers(reply["indexes"], np.uint32)
+                bucket = np.full(len(index), reply["bucket"], np.uint64)
+                ids[_numbers(reply["locals"], np.uint32)] = _ids(bucket, index, bits)
+            words = ids[tokens]
+            words, _ = _squeezed(words, words, 1)
+            yield _state(row["chunk"], words, None)
 
     return _with_replies(chunks.select("chunk", "tokens"), found).mapInArrow(encode, _STATE)
 
@@ -274,18 +284,17 @@ def counted_phrases(
     """
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, grams = _numbers(row["words"], np.uint64), _numbers(row["grams"], np.uint64)
-                parts = shards(_phrase_keys(words, grams, size, word_bits)[1], shard_bits)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([shard for shard, _ in parts], pa.int64()),
-                        pa.array([row["chunk"]] * len(parts), pa.int64()),
-                        pa.array([f.pack() for _, f in parts], pa.binary()),
-                    ],
-                    names=["bucket", "chunk", "filter"],
-                )
+        for row in rows_of(batches):
+            words, grams = _read_state(row)
+            parts = shards(_phrase_keys(words, grams, size, word_bits)[1], shard_bits)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([shard for shard, _ in parts], pa.int64()),
+                    pa.array([row["chunk"]] * len(parts), pa.int64()),
+                    pa.array([f.pack() for _, f in parts], pa.binary()),
+                ],
+                names=["bucket", "chunk", "filter"],
+            )
 
     def merge(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -321,25 +330,24 @@ def longer_state(
     """Chunks with the numbers of their frequent phrases of ``size`` words."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, grams = _numbers(row["words"], np.uint64), _numbers(row["grams"], np.uint64)
-                at, keys = _phrase_keys(words, grams, size, word_bits)
-                values = [_numbers(r["locals"], np.uint64) for r in row["replies"]]
-                ids = [
-                    _ids(np.full(len(v), r["bucket"], np.uint64), _numbers(r["indexes"], np.uint32), bits)
-                    for v, r in zip(values, row["replies"])
-                ]
-                values, ids = np.concatenate(values), np.concatenate(ids)
-                order = np.argsort(values)
-                values, ids = values[order], ids[order]
-                asked = permute(keys)
-                place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
-                known = values[place] == asked
-                grams = np.zeros(len(words), np.uint64)
-                grams[at[known]] = ids[place[known]]
-                words, grams = _squeezed(words, grams, size)
-                yield _state([(row["chunk"], words.tobytes(), grams.tobytes())])
+        for row in rows_of(batches):
+            words, grams = _read_state(row)
+            at, keys = _phrase_keys(words, grams, size, word_bits)
+            values, ids = [], []
+            for reply in row["replies"]:
+                index = _numbers(reply["indexes"], np.uint32)
+                bucket = np.full(len(index), reply["bucket"], np.uint64)
+                values.append(_numbers(reply["locals"], np.uint64))
+                ids.append(_ids(bucket, index, bits))
+            values, ids = np.concatenate(values), np.concatenate(ids)
+            order = np.argsort(values)
+            values, ids = values[order], ids[order]
+            asked = permute(keys)
+            place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+            known = values[place] == asked
+            grams = np.zeros(len(words), np.uint64)
+            grams[at[known]] = ids[place[known]]
+            yield _state(row["chunk"], *_squeezed(words, grams, size))
 
     return _with_replies(state, found).mapInArrow(encode, _STATE)
 
