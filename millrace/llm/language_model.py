@@ -4,25 +4,38 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import CACHED_WORDS, Scratch, batches_of, binaries, text_bytes
+from millrace.llm.common import (
+    Scratch,
+    batches_of,
+    binaries,
+    materialize,
+    mix,
+    rows_of,
+    text_bytes,
+)
+from millrace.llm.quotient_filter import CountingQuotientFilter
 from millrace.llm.routing import bucket_count
-from millrace.shared import materialize
 
 START, OTHER = 0, 1  # ids of the text's start and of words outside the vocabulary
 LAST = 0  # what follows the last word of a text
-#: Text whose rarer words fill one bucket, in bytes.
-BUCKET_BYTES = 12 << 20
-#: Words a task gathers before it sends them on.
-BUFFER = 250_000
-#: Columns of a chunk of words of one bucket.
-PACKED = ("words", "befores", "hashes", "nexts", "texts", "rows", "targets")
+#: Text whose pairs of words beyond the table fill one bucket, in bytes.
+BUCKET_BYTES = 6 << 20
+#: Words that a task gathers before they are counted.
+CHUNK_WORDS = 500_000
+#: Different words that a task counts before it sends them on.
+COUNTED_WORDS = 200_000
+#: Columns of a chunk of texts.
+PACKED = ("known", "numbers", "hashes", "lengths", "rows", "targets")
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -48,7 +61,7 @@ def shared_vocabulary(docs: DataFrame, size: int) -> tuple[list[bytes], int]:
         for batch in batches_of(batches, "text", 1 << 20):
             for text in binaries(batch.column("text")):
                 total.update(_words(text))
-            if len(total) > CACHED_WORDS:
+            if len(total) > COUNTED_WORDS:
                 yield rows()
                 total.clear()
         yield rows()
@@ -79,25 +92,6 @@ def _pairs(words: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     return before * size + words
 
 
-def encoded(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """``doc_id, words`` of ``doc_id, text``: the words' ids, less to shuffle than texts."""
-    ids = {word: k + 2 for k, word in enumerate(vocabulary)}
-    width = _width(vocabulary)
-
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, "text", 1 << 20):
-            texts = [_words(text) for text in binaries(batch.column("text"))]
-            words, lengths = _ids(texts, ids)
-            each = np.split(words.astype(width), np.cumsum(lengths)[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x.tobytes() for x in each], pa.binary())],
-                names=["doc_id", "words"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, words binary")
-
-
 def _width(vocabulary: list[bytes]):
     return np.uint16 if len(vocabulary) + 2 <= 1 << 16 else np.uint32
 
@@ -109,23 +103,21 @@ def _joined(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), kind), np.array([len(x) // size for x in rows], np.int64)
 
 
-def pair_counts(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
+def pair_counts(chunks: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     """How often each pair of words occurs in the target texts and in all texts.
 
-    ``docs`` has ``words`` and ``target``. Two tables of ``size ** 2`` counts, as the vocabulary
-    has a fixed size: a task adds up its own, Spark adds up those of the tasks.
+    Two tables of ``size ** 2`` counts, as the vocabulary has a fixed size: a task adds up its
+    own, Spark adds up those of the tasks.
     """
     size, width = len(vocabulary) + 2, _width(vocabulary)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size * size), np.int32)
-        for batch in batches_of(batches, "words", 1 << 20):
-            targets = np.asarray(batch.column("target").to_pylist(), bool)
-            words, lengths = _joined(batch.column("words"), width)
-            pairs = _pairs(words.astype(np.int64), lengths, size)
-            total[1] += np.bincount(pairs, minlength=size * size).astype(np.int32)
-            of_target = pairs[np.repeat(targets, lengths)]
-            total[0] += np.bincount(of_target, minlength=size * size).astype(np.int32)
+        for row in rows_of(batches):
+            chunk = Chunk.of(row, width)
+            pairs = _pairs(chunk.known, chunk.lengths, size)
+            np.add.at(total[1], pairs, 1)
+            np.add.at(total[0], pairs[np.repeat(chunk.targets, chunk.lengths) > 0], 1)
         used = np.flatnonzero(total[1])
         for k in range(0, len(used), 100_000):
             some = used[k : k + 100_000]
@@ -138,7 +130,7 @@ def pair_counts(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
                 names=["pair", "target", "background"],
             )
 
-    counts = docs.select("words", "target").mapInArrow(
+    counts = chunks.mapInArrow(
         count, "pair int, target long, background long"
     )
     counts = counts.groupBy("pair").agg(
@@ -182,150 +174,253 @@ def losses(counts: np.ndarray, size: int, weight: float = 10.0, rare: int = 0) -
     return -np.log(p).astype(np.float32).ravel()
 
 
-def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """The number of each combination of keys, and how many there are."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        new[1:] |= np.diff(key[order]) != 0
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new)
-    return number, int(new.sum()) + 1
+class Keys(NamedTuple):
+    """Different keys of a chunk in order, sums for each, and the places of words that have it."""
+
+    keys: np.ndarray
+    sums: list[np.ndarray]
+    number: np.ndarray  # of the key of each place
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, weighed: list[tuple], places: np.ndarray) -> Keys:
+        """``weighed`` has for each sum the numbers of keys that count, and their weights."""
+        keys, number = np.unique(keys, return_inverse=True)
+        sums = [
+            np.bincount(number[some], weights, len(keys)).astype(np.int64) for some, weights in weighed
+        ]
+        return cls(keys, sums, number, places)
+
+    def shards(self, bits: int) -> dict[int, tuple[bytes, bytes]]:
+        """For each shard by the first bits of keys: a quotient filter of them with the first sum,
+        and the other sums."""
+        shard = self.keys >> np.uint64(64 - bits)
+        used, first = np.unique(shard, return_index=True)
+        ends = np.append(first[1:], len(shard))
+        out = {}
+        for k, a, b in zip(used.tolist(), first.tolist(), ends.tolist()):
+            found = CountingQuotientFilter(
+                k << (64 - bits), 64 - bits, self.keys[a:b], self.sums[0][a:b].astype(np.uint64)
+            )
+            out[k] = found.pack(), _squeezed([x[a:b] for x in self.sums[1:]])
+        return out
+
+
+def _squeezed(sums: list[np.ndarray]) -> bytes:
+    return zstandard.compress(np.concatenate(sums).astype(np.int64).tobytes(), 1)
+
+
+def _sums(data: bytes, n: int) -> list[np.ndarray]:
+    return np.split(np.frombuffer(zstandard.decompress(data), np.int64), n)
+
+
+def _added(filters: list[bytes], others: list[bytes], n: int) -> list[bytes]:
+    """The sums of the keys of filters over all of them, for each filter in the order of its own.
+
+    ``others`` has the ``n`` - 1 sums beside that in the filter.
+    """
+    found = [CountingQuotientFilter.unpack(f) for f in filters]
+    keys, number = np.unique(np.concatenate([f.values for f in found]), return_inverse=True)
+    ends = np.cumsum([len(f.values) for f in found])[:-1]
+    each = [[f.counts.astype(np.int64), *_sums(o, n - 1)] for f, o in zip(found, others)]
+    total = []
+    for sums in zip(*each):
+        whole = np.bincount(number, np.concatenate(sums), len(keys)).astype(np.int64)
+        total.append(np.split(whole[number], ends))
+    return [_squeezed(list(sums)) for sums in zip(*total)]
+
+
+class Chunk(NamedTuple):
+    """Some whole texts: their words, those beyond the table by their hashes."""
+
+    known: np.ndarray  # the id of each word, OTHER beyond the table
+    names: np.ndarray  # the id of each word, or its hash beyond the table
+    lengths: np.ndarray  # words of each text
+    rows: np.ndarray
+    targets: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict, width) -> Chunk:
+        known = np.frombuffer(zstandard.decompress(row["known"]), width).astype(np.int64)
+        names = known.astype(np.uint64)
+        numbers = np.frombuffer(zstandard.decompress(row["numbers"]), np.uint32)
+        names[known == OTHER] = np.frombuffer(row["hashes"], np.uint64)[numbers]
+        lengths, rows = (np.frombuffer(row[c], np.int64) for c in ("lengths", "rows"))
+        return cls(known, names, lengths, rows, np.frombuffer(row["targets"], np.uint8))
+
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """The id and the name of the word before each one."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        known, names = np.roll(self.known, 1), np.roll(self.names, 1)
+        known[starts], names[starts] = START, START
+        return known, names
+
+    def counted(self) -> tuple[Keys, Keys]:
+        """What is counted beyond the table: pairs with a word beyond it, and these words.
+
+        A word counts twice over, as a word and as one before another.
+        """
+        known, names = self.before()
+        word, first = self.known == OTHER, known == OTHER
+        target = np.repeat(self.targets, self.lengths).astype(np.float64)
+        pair = np.flatnonzero(word | first)
+        key = mix(mix(names[pair] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + self.names[pair])
+        pairs = Keys.of(key, [(np.arange(len(pair)), None), (np.arange(len(pair)), target[pair])], pair)
+        own, first = np.flatnonzero(word), np.flatnonzero(first)
+        key = mix(np.concatenate([self.names[own], names[first]]))
+        a, b = np.arange(len(own)), np.arange(len(own), len(key))
+        sums = [(a, None), (a, target[own]), (b, None), (b, target[first])]
+        return pairs, Keys.of(key, sums, np.concatenate([own, first]))
+
+    def text(self) -> np.ndarray:
+        """The text that each word is in."""
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+
+def word_chunks(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
+    """Chunks of ``row, text, target``; a task holds ``CHUNK_WORDS`` words or its longest text."""
+    ids = {word: k + 2 for k, word in enumerate(vocabulary)}
+    width = _width(vocabulary)
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        known, rows, targets, lengths = [], [], [], []
+        number: dict[bytes, int] = {}
+        numbers: list[np.ndarray] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+            values = (
+                chunk,
+                zstandard.compress(np.concatenate(known).astype(width).tobytes(), 1),
+                zstandard.compress(np.concatenate(numbers).astype(np.uint32).tobytes(), 1),
+                hashes.tobytes(),
+                np.array(lengths, np.int64).tobytes(),
+                np.array(rows, np.int64).tobytes(),
+                np.array(targets, np.uint8).tobytes(),
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(values, (pa.int64(), *[pa.binary()] * 6))],
+                names=["chunk", *PACKED],
+            )
+
+        for batch in batches_of(batches, "text", 1 << 20):
+            texts = [_words(text) for text in binaries(batch.column("text"))]
+            found, counts = _ids(texts, ids)
+            rare = [w for text in texts for w in text if w not in ids]
+            known.append(found)
+            numbers.append(np.array([number.setdefault(w, len(number)) for w in rare], np.int64))
+            lengths += counts.tolist()
+            rows += batch.column("row").to_pylist()
+            targets += batch.column("target").to_pylist()
+            size += len(found)
+            if size >= CHUNK_WORDS:
+                yield send()
+                chunk += 1
+                known, rows, targets, lengths, number, numbers, size = [], [], [], [], {}, [], 0
+        if size:
+            yield send()
+
+    return docs.filter("text is not null").mapInArrow(
+        gather, ", ".join(["chunk long", *(f"{name} binary" for name in PACKED)])
+    )
 
 
 def rare_losses(
-    docs: DataFrame,
+    chunks: DataFrame,
     size_of_texts: int,
     vocabulary: list[bytes],
     counts: np.ndarray,
     weight: float,
     rare: int,
+    scratch: Scratch,
 ) -> DataFrame:
     """What the words outside the vocabulary add: ``row, n_rare, target_rare, background_rare``.
 
-    ``docs`` has ``row, text, target``. Each such word goes to its bucket with the word
-    before it and, if that is in the vocabulary, the one after it. A bucket so has all places of
-    its words, and with them the counts of the words and of all pairs that they begin or end: the
-    numerator of the pair that ends in the word, the denominator of the one that begins with it,
-    and the numerator of that too, if the word after it is in the vocabulary. A word outside the
-    vocabulary is no more frequent than any in it, so none makes a bucket large.
+    A chunk counts its pairs with such a word, these words, and those that go before another;
+    it sends each different one once, with its counts, to the bucket of its 64-bit hash, packed as
+    a quotient filter. A bucket
+    adds up what chunks have sent and answers each of them with the sums of its own, in the order
+    they came, so a frequent word is a few numbers of each chunk and no bucket's size depends on
+    it. With the sums the chunk scores its texts.
     """
     size, width = len(vocabulary) + 2, _width(vocabulary)
-    buckets = bucket_count(size_of_texts, BUCKET_BYTES)
-    ids = {word: k + 2 for k, word in enumerate(vocabulary)}
+    bits = (bucket_count(size_of_texts, BUCKET_BYTES) - 1).bit_length()
     shares_of = [shares(table, size, rare) for table in counts]
     totals = [float(table.sum()) + size - 1 + rare for table in counts]
-
-    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """A row per bucket. A text, and a word before that is outside the vocabulary, stand in
-        lists of their own, so that the arrays of all words are small."""
-        words, befores, hashes, nexts, texts, rows, targets = zip(*held)
-        base = np.cumsum([0, *map(len, rows[:-1])])
-        text = np.concatenate([t + b for t, b in zip(texts, base)])
-        words, befores, hashes, nexts, rows, targets = map(
-            np.concatenate, (words, befores, hashes, nexts, rows, targets)
-        )
-        bucket = (words % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        used, first = np.unique(bucket[order], return_index=True)
-        columns: list[list] = [[] for _ in range(7)]
-        for at in np.split(order, first[1:]):
-            own, number = np.unique(text[at], return_inverse=True)
-            for column, values in zip(
-                columns,
-                (
-                    words[at],
-                    befores[at],
-                    hashes[at][befores[at] == OTHER],
-                    nexts[at],
-                    number.astype(np.uint32),
-                    rows[own],
-                    targets[own],
-                ),
-            ):
-                column.append(values.tobytes())
-        if len(used):
+    none = CountingQuotientFilter.of(np.empty(0, np.uint64)).pack()
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            pairs, words = (keys.shards(bits) for keys in Chunk.of(row, width).counted())
+            used = sorted({*pairs, *words})
+            columns = [
+                *zip(*(pairs.get(k, (none, _squeezed([np.empty(0)]))) for k in used)),
+                *zip(*(words.get(k, (none, _squeezed([np.empty(0)] * 3))) for k in used)),
+            ] or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used), *(pa.array(c, pa.binary()) for c in columns)],
-                names=["bucket", *PACKED],
+                [
+                    pa.array(used, pa.int64()),
+                    pa.array([row["chunk"]] * len(used), pa.int64()),
+                    *(pa.array(c, pa.binary()) for c in columns),
+                ],
+                names=["bucket", "chunk", "pairs", "pair_sums", "words", "word_sums"],
             )
 
-    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        number = 0
-        for batch in batches_of(batches, "text", 1 << 20):
-            words = [_words(text) for text in binaries(batch.column("text"))]
-            known, lengths = _ids(words, ids)
-            at = np.flatnonzero(known == OTHER)
-            if not len(at):
-                continue
-            known = known.astype(width)
-            words = [word for text in words for word in text]
-            # Not kept by word, as words outside the vocabulary seldom come again.
-            hashes = map(xxhash.xxh3_64_intdigest, (words[k] for k in at.tolist()))
-            names = np.zeros(len(known), np.uint64)
-            names[at] = hashes = np.fromiter(hashes, np.uint64, len(at))
-            before, name_before, after = np.roll(known, 1), np.roll(names, 1), np.roll(known, -1)
-            ends = np.cumsum(lengths)[lengths > 0]
-            before[ends - lengths[lengths > 0]] = START
-            after[ends - 1] = LAST
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            rows = np.asarray(batch.column("row"), np.int64)
-            targets = np.asarray(batch.column("target").to_pylist(), np.uint8)
-            held.append(
-                (hashes, before[at], name_before[at], after[at], text[at], rows, targets)
-            )
-            number += len(at)
-            if number >= BUFFER:
-                yield from send(held)
-                held, number = [], 0
-        if held:
-            yield from send(held)
-
-    def score(table: pa.Table) -> pa.Table:
-        def column(name: str, kind) -> np.ndarray:
-            return _joined(table[name], kind)[0]
-
-        after, numbers = column("nexts", width), column("texts", np.uint32)
-        of_chunk = _joined(table["nexts"], width)[1]
-        texts = _joined(table["rows"], np.int64)[1]
-        text = numbers + np.repeat(np.cumsum(texts) - texts, of_chunk)
-        rows = column("rows", np.int64)[text]
-        target = column("targets", np.uint8)[text].astype(np.float64)
-        before = column("befores", width).astype(np.uint64)
-        # A word of the vocabulary is named by its id, another one by its hash.
-        before[before == OTHER] = column("hashes", np.uint64)
-        word, words = _numbered(column("words", np.uint64))
-        ending, endings = _numbered(before, word)
-        beginning, beginnings = _numbered(after, word)
-        goes_on, into_table = after != LAST, after > OTHER
-        row, n_rows = _numbered(rows)
-        names = np.empty(n_rows, np.int64)
-        names[row] = rows
-        sums = []
-        for k, one in enumerate((target, np.ones(len(rows)))):
-            of_word = np.bincount(word, one, words)[word]
-            begun = np.bincount(word, one * goes_on, words)[word]
-            ended = np.bincount(ending, one, endings)[ending]
-            loss = -np.log(ended + weight * (of_word + 1.0) / totals[k])
-            loss += np.where(goes_on, np.log(begun + weight), 0.0)
-            pair = np.bincount(beginning, one, beginnings)[beginning]
-            share = shares_of[k][np.where(into_table, after, OTHER)]
-            loss -= np.where(into_table, np.log(pair + weight * share), 0.0)
-            sums.append(np.bincount(row, loss, n_rows))
+    def add(table: pa.Table) -> pa.Table:
+        columns = {name: table[name].to_pylist() for name in table.column_names[2:]}
         return pa.table(
             {
-                "row": names,
-                "n_rare": np.bincount(row, minlength=n_rows),
-                "target_rare": sums[0],
-                "background_rare": sums[1],
+                "bucket": table["bucket"],
+                "chunk": table["chunk"],
+                "pairs": pa.array(_added(columns["pairs"], columns["pair_sums"], 2), pa.binary()),
+                "words": pa.array(_added(columns["words"], columns["word_sums"], 4), pa.binary()),
             }
         )
 
-    chunks = docs.select("row", "text", "target").mapInArrow(
-        route, ", ".join(["bucket int", *(f"{name} binary" for name in PACKED)])
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            chunk = Chunk.of(row, width)
+            pairs, words = chunk.counted()
+            # Buckets are ranges of keys, so their answers follow each other as the keys do.
+            answers = sorted(row["answers"], key=lambda answer: answer["bucket"])
+            of_pair, of_word = (
+                [np.concatenate(x)[keys.number] for x in zip(*(_sums(a[c], n) for a in answers))]
+                for c, n, keys in (("pairs", 2, pairs), ("words", 4, words))
+            )
+            rare_word = chunk.known == OTHER
+            n_own = int(rare_word.sum())
+            own, first = words.places[:n_own], words.places[n_own:]
+            text, n = chunk.text(), len(chunk.lengths)
+            sums = []
+            for k in (1, 0):  # of the target's texts, of all texts
+                # A word beyond the table has its own share, others that of the table.
+                share = shares_of[1 - k][chunk.known]
+                share[own] = (of_word[k][:n_own] + 1.0) / totals[1 - k]
+                loss = np.zeros(len(chunk.known))
+                loss[pairs.places] = -np.log(of_pair[k] + weight * share[pairs.places])
+                loss[first] += np.log(of_word[2 + k][n_own:] + weight)
+                sums.append(np.bincount(text, loss, n))
+            n_rare = np.bincount(text, rare_word, n).astype(np.int64)
+            some = n_rare > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[some]) for x in (chunk.rows, n_rare, *sums)],
+                names=["row", "n_rare", "target_rare", "background_rare"],
+            )
+
+    sent = chunks.mapInArrow(
+        send,
+        "bucket long, chunk long, pairs binary, pair_sums binary, words binary, word_sums binary",
+    )
+    answers = sent.groupBy("bucket").applyInArrow(
+        add, "bucket long, chunk long, pairs binary, words binary"
     )
-    found = chunks.groupBy("bucket").applyInArrow(
+    answers = scratch.keep(answers).groupBy("chunk").agg(
+        F.collect_list(F.struct("bucket", "pairs", "words")).alias("answers")
+    )
+    # Never broadcast: what a chunk is answered grows with it.
+    found = chunks.join(answers.hint("merge"), "chunk").mapInArrow(
         score, "row long, n_rare long, target_rare double, background_rare double"
     )
     return found.groupBy("row").agg(
@@ -352,7 +447,7 @@ def cross_entropy_difference(
 
     Pairs of the ``table_words`` words used most are counted in a table of fixed size, which is
     broadcast (two of (table_words + 2) squared losses of 4 bytes, 34 MB). All other pairs are
-    counted in buckets of their rarer words, whose number follows the input.
+    counted in buckets, whose number follows the input; they are named by 64-bit hashes.
 
     A text without words, or null, has null losses. Repeated rows and null ids give a row each;
     a repeated target id counts once, a null one not at all. Without target texts the target
@@ -372,7 +467,9 @@ def cross_entropy_difference(
         joined = rows.join(ids, "doc_id", "left")
         return joined.withColumn("target", F.coalesce("target", F.lit(False)))
 
-    counts = pair_counts(marked(encoded(source, words)), words)
+    scratch = Scratch(spark)
+    chunks = scratch.keep(word_chunks(marked(source), words))
+    counts = pair_counts(chunks, words)
     models = spark.sparkContext.broadcast(
         np.stack([losses(table, size, weight, rare) for table in counts])
     )
@@ -402,11 +499,12 @@ def cross_entropy_difference(
     )
     sums = {name: F.col(f"{name}_sum") for name in ("target", "background")}
     if rare:
-        rest = rare_losses(marked(source), text_bytes(source), words, counts, weight, rare)
+        rest = rare_losses(chunks, text_bytes(source), words, counts, weight, rare, scratch)
         rated = rated.join(materialize(rest), "row", "left")
         # Repeated rows are added up; each has as much of the sum as of the words.
         part = F.col("others") / F.col("n_rare")
         sums = {n: c + F.coalesce(F.col(f"{n}_rare") * part, F.lit(0.0)) for n, c in sums.items()}
+    scratch.drop()
     full = F.col("n_words") > 0
     return rated.select(
         "doc_id",
