@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.shared import materialize
+from millrace.llm.common import materialize
 
 
 def usable(embedding: Column | str) -> Column:
@@ -63,32 +63,50 @@ class Shard:
     """A block of vectors with the bounds of each term's postings."""
 
     def __init__(self, ids: np.ndarray, terms: np.ndarray):
-        self.ids = ids
-        # Sums of whole numbers below 2**53 are exact in double precision, and faster.
-        small = float(np.abs(terms).max(initial=0)) < 2**20
-        self.terms = terms.astype(np.float64) if small else terms
+        self.ids, self.terms = ids, terms
+        self.doubles = terms.astype(np.float64)
         self.high, self.low = terms.max(0), terms.min(0)
+        self.size = np.maximum(np.abs(self.high.astype(float)), np.abs(self.low.astype(float)))
+
+    def exact(self, query: np.ndarray) -> np.ndarray:
+        """The terms in the fastest form in which no sum with this query can be rounded.
+
+        Sums of whole numbers below 2**53 are exact in double precision; larger ones are made
+        of whole numbers, and beyond 64 bits there is no score.
+        """
+        most = float((np.abs(query.astype(float)) * self.size[: len(query)]).sum())
+        if most < 2**53:
+            return self.doubles
+        if most < 2**63 * (1 - 1e-9):
+            return self.terms
+        raise OverflowError("A score has more than 64 bits")
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None):
         """The ids and scores that may be among the best k, given that k others reach ``floor``.
 
-        Terms go by how much their postings can change a score. The essential ones are those
-        with half of the whole change: their postings are traversed for all vectors. Of the
-        others, postings are probed only for vectors whose bound still reaches the k-th best
-        score that is certain.
+        Terms go by how much their postings can change a score. The non-essential ones are
+        the longest tail that cannot lift a vector to the k-th best score, if it has the least
+        of each essential term; without such a score yet, those with half of the whole change.
+        The postings of essential terms are traversed for all vectors; of the others, postings
+        are probed only for vectors whose bound still reaches the k-th best score.
         """
         width = min(len(query), self.terms.shape[1])
         q = query[:width]
+        terms = self.exact(q)
         high = np.maximum(q * self.high[:width], q * self.low[:width])
         low = np.minimum(q * self.high[:width], q * self.low[:width])
         order = np.argsort(-(high - low), kind="stable")
         above = np.concatenate([np.cumsum(high[order][::-1])[::-1], [0]])
         below = np.concatenate([np.cumsum(low[order][::-1])[::-1], [0]])
         slack = above - below
-        essential = max(1, int(np.searchsorted(-slack, -slack[0] / 2))) if width else 0
+        if floor is None:
+            essential = int(np.searchsorted(-slack, -slack[0] / 2))
+        else:
+            essential = int(np.searchsorted(-slack, below[0] - floor, "right"))
+        essential = min(max(1, essential), width)
         first = order[:essential]
         rows = np.flatnonzero(self.ids != own)
-        scores = self.terms[:, first] @ q[first].astype(self.terms.dtype)
+        scores = terms[:, first] @ q[first].astype(terms.dtype)
         scores = scores[rows]
         done = essential
         while True:
@@ -103,7 +121,7 @@ class Shard:
             if done >= width or not len(rows):
                 break
             some = order[done : done + 8]
-            scores = scores + self.terms[np.ix_(rows, some)] @ q[some].astype(self.terms.dtype)
+            scores = scores + terms[np.ix_(rows, some)] @ q[some].astype(terms.dtype)
             done += len(some)
         return self.ids[rows], scores.astype(np.int64)
 
@@ -119,69 +137,63 @@ def top_k(
     queries: DataFrame,
     k: int = 5,
     shard_rows: int = 2_048,
-    query_rows: int = 256,
-    shards_per_task: int = 16,
+    query_rows: int = 16_384,
+    shards_per_task: int = 8,
 ) -> DataFrame:
     """The k vectors with the highest integer inner product with each query, itself apart.
 
     Both tables have columns ``id`` (long) and ``terms`` (array of long). Returns ``query_id,
     rank, vec_id, score``; ties go to the smaller id. Vectors of different length count as
-    filled with zeros. A query meets every shard once: shards and queries come in blocks, a
-    task keeps the best k of a block of queries over several shards, and only these are merged.
+    filled with zeros. Scores are exact; one that could have more than 64 bits is an error.
+
+    Vectors come in shards, some of which are a task's, and queries in blocks. A query meets
+    every shard once: a task holds its shards and one block of queries, keeps the best k of each
+    query from shard to shard, and only these are merged. So a vector travels once per
+    ``query_rows`` queries, and a query once per ``shards_per_task`` shards.
     A row with null terms or id takes no part; a repeated row is a candidate once, so ids are
     taken to name one vector each. Without other vectors a query has no row.
     """
     known = "id is not null and terms is not null"
     shards = block_rows(vectors.filter(known).dropDuplicates(["id"]), shard_rows)
-    asked = block_rows(queries.filter(known).dropDuplicates(["id"]), query_rows)
+    asked = block_rows(queries.filter(known).dropDuplicates(["id"]), min(query_rows, 2_048))
     number = F.monotonically_increasing_id()
-    shards, asked = (
-        materialize(shards.withColumn("n", F.xxhash64(number))),
-        materialize(asked.withColumn("n", number)),
+    shards, asked = (materialize(df.withColumn("n", F.xxhash64(number))) for df in (shards, asked))
+    parts = max(1, -(-shards.count() // shards_per_task))
+    blocks = max(1, -(-queries.count() // query_rows))
+
+    def each(name: str, n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    shards = shards.select(
+        "ids", "terms", "width", F.pmod("n", F.lit(parts)).cast("int").alias("part"), each("block", blocks)
     )
-    groups = max(1, -(-shards.count() // shards_per_task))
-    shards = shards.withColumn("part", F.pmod("n", F.lit(groups))).drop("n")
     asked = asked.select(
-        F.col("n").alias("q"),
-        F.col("ids").alias("q_ids"),
-        F.col("terms").alias("q_terms"),
-        F.col("width").alias("q_width"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"),
+        "ids", "terms", "width", F.pmod("n", F.lit(blocks)).cast("int").alias("block"), each("part", parts)
     )
-    met = asked.join(shards, "part")
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, kept = None, {}
-
-        def merged() -> pa.RecordBatch:
-            rows = [(q, i, s) for q, (ids, scores) in kept.items()
-                    for i, s in zip(ids.tolist(), scores.tolist())]
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"]
-            )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if block != row["q"]:
-                    if kept:
-                        yield merged()
-                    block, kept = row["q"], {}
-                    q_ids = np.frombuffer(row["q_ids"], np.int64)
-                    q = np.frombuffer(row["q_terms"], np.int64).reshape(len(q_ids), row["q_width"])
-                ids = np.frombuffer(row["ids"], np.int64)
-                terms = np.frombuffer(row["terms"], np.int64).reshape(len(ids), row["width"])
-                shard = Shard(ids, terms)
-                for own, query in zip(q_ids.tolist(), q):
-                    had = kept.get(own, (np.empty(0, np.int64), np.empty(0, np.int64)))
-                    floor = int(had[1][-1]) if len(had[1]) == k else None
-                    found = shard.search(query, own, k, floor)
-                    kept[own] = best(*map(np.concatenate, zip(had, found)), k)
-        if kept:
-            yield merged()
-
-    met = met.repartition("q", "part").sortWithinPartitions("q", "part")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    def rows(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ids, terms, width in zip(*(table[c].to_pylist() for c in ("ids", "terms", "width"))):
+            ids = np.frombuffer(ids, np.int64)
+            yield ids, np.frombuffer(terms, np.int64).reshape(len(ids), width)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = [Shard(ids, terms) for ids, terms in rows(left)]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for q_ids, q_terms in rows(right):
+            for own, query in zip(q_ids.tolist(), q_terms):
+                ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+                for shard in held:
+                    floor = int(scores[-1]) if len(scores) == k else None
+                    more = shard.search(query, own, k, floor)
+                    ids, scores = best(*map(np.concatenate, zip((ids, scores), more)), k)
+                found.append((np.full(len(ids), own, np.int64), ids, scores))
+        columns = [np.concatenate(c) for c in zip(*found)] or [np.empty(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns))))
+
+    tile = ["part", "block"]
+    found = shards.groupBy(*tile).cogroup(asked.groupBy(*tile)).applyInArrow(
+        search, "query_id long, vec_id long, score long"
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
