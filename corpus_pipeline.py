@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize, numbered
 from millrace.llm.jaccard import jaccard_components
 from millrace.llm.line_runs import line_dedup
 from millrace.llm.packing import pack_documents
 from millrace.llm.queries import table, tokenizer_path
 from millrace.llm.substring import substring_dedup
 from millrace.llm.toxicity import drop_toxic, train
-from millrace.shared import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,45 +26,48 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, train(docs, labels))
 
 
-def _shortened(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """Documents with the texts of ``changed`` (``id, new_text``, one row per id) in their place.
+def _shortened(docs: DataFrame, found: DataFrame, text: str, changed: Column) -> DataFrame:
+    """Documents with what is left of their texts.
 
-    A document of which nothing but white space is left goes; others keep all their columns.
+    ``found`` has a row per document, with its columns beside the text as fields of ``row``. One
+    of which nothing but white space is left goes; others keep all their columns.
     """
-    changed = changed.select(F.col("id").alias("_id"), F.col("new_text").alias("_new"))
-    joined = docs.join(changed, docs["doc_id"] == F.col("_id"), "left")
-    rest = F.col("_id").isNull() | F.rlike("_new", F.lit(r"\S"))
-    same = F.col("_id").isNull()
-    new = {
-        "text": F.when(same, docs["text"]).otherwise(F.col("_new")),
-        "n_chars": F.when(same, docs["n_chars"]).otherwise(F.length("_new").cast("long"))
-        if "n_chars" in docs.columns
-        else None,
-    }
-    return joined.filter(rest).select(
-        *(new.get(name, docs[name]).alias(name) for name in docs.columns)
+    new = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        n_chars = F.length(text).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, n_chars).otherwise(F.col("row.n_chars"))
+    rest = found.filter(~changed | F.rlike(text, F.lit(r"\S")))
+    return rest.select(
+        *(new.get(name, F.col("row").getField(name)).alias(name) for name in docs.columns)
     )
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut later copies of runs of three lines or more; documents that were only copies go."""
-    found = materialize(line_dedup(docs, min_lines=3).filter("n_removed > 0"))
-    changed = found.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("new_text"))
-    return _shortened(docs, changed)
+    """Cut later copies of runs of three lines or twenty words; what was only copies goes."""
+    others = [name for name in docs.columns if name != "text"]
+    found = line_dedup(docs, min_lines=3, min_words=20, keep=others)
+    return _shortened(docs, found, "text", F.col("n_removed") > 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the smallest id stays."""
-    groups = jaccard_components(docs, size=5, percent=80)
-    gone = groups.filter("doc_id is not null and component_id != doc_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five words, 0.8) the first stays, by id and text.
+
+    Repeated rows are one document; a row without an id stays.
+    """
+    number = f"n{uuid.uuid4().hex}"
+    docs_of = numbered(docs, number)
+    groups = jaccard_components(docs_of, size=5, percent=80, id_column=number)
+    gone = groups.filter("doc_id is not null and component_id != doc_id")
+    gone = gone.select(F.col("doc_id").alias(number)).distinct()
+    return docs_of.join(gone, number, "left_anti").select(*(docs_of[c] for c in docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut word sequences of 20 words or more that stand earlier; others keep their text."""
-    found = materialize(substring_dedup(docs, window=20).filter("changed"))
-    changed = found.groupBy(F.col("doc_id").alias("id")).agg(F.min("kept_text").alias("new_text"))
-    return _shortened(docs, changed)
+    number = f"n{uuid.uuid4().hex}"
+    others = [name for name in docs.columns if name != "text"]
+    found = substring_dedup(numbered(docs, number), window=20, id_column=number, keep=others)
+    return _shortened(docs, found, "kept_text", F.col("changed"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
