@@ -95,43 +95,42 @@ def _daily(ledger: DataFrame, amount: str) -> DataFrame:
 def add_to_days(
     ledger: DataFrame, path: str, amount: str = "amount", format_: str = "parquet"
 ) -> None:
-    """Add new ledger rows to the day sums kept at ``path``, in a folder per day.
+    """Add new ledger rows to the day sums kept at ``path``, in a folder per month.
 
-    Only the days that the rows touch are read, summed again and replaced; late rows and negative
-    amounts are rows like any other. The new rows are summed first, to a row per application and
-    day, and the sums of the days they touch are kept in the shared folder before a folder is
-    replaced, so a job that fails while it computes changes nothing. Rows without a time have a
-    folder of their own. Each call adds its rows, so rows are given once.
+    Only the months that the rows touch are read, summed again and replaced; late rows and
+    negative amounts are rows like any other. The new rows are summed first, to a row per
+    application and day, and the sums of the months they touch are kept in the shared folder
+    before a folder is replaced, so a job that fails while it computes changes nothing. Rows
+    without a time have a folder of their own. Each call adds its rows, so rows are given once.
     """
     spark = ledger.sparkSession
-    new = materialize(_daily(ledger, amount))
-    # One row per different day.
-    days = [row["day"] for row in new.select("day").distinct().collect()]
-    if not days:
+    new = _daily(ledger, amount).withColumn("month", F.trunc("day", "month"))
+    new = materialize(new)
+    # One row per different month.
+    months = [row["month"] for row in new.select("month").distinct().collect()]
+    if not months:
         return
     if Folder(spark, path).names():
         held = spark.read.schema(new.schema).format(format_).load(path)
-        some = F.col("day").isin([d for d in days if d is not None])
-        if None in days:
+        some = F.col("month").isin([m for m in months if m is not None])
+        if None in months:
             some = F.coalesce(some, F.lit(True))
-        new = new.unionByName(held.filter(some).select(*new.columns))
-        new = new.groupBy("application", "day").agg(F.sum("spend").alias("spend"))
-        new = materialize(new.select("application", "day", F.col("spend").cast(held.schema["spend"].dataType)))
+        new = new.unionByName(held.filter(some))
+        new = new.groupBy("application", "day", "month").agg(F.sum("spend").alias("spend"))
+        new = materialize(new.withColumn("spend", F.col("spend").cast(held.schema["spend"].dataType)))
     (
-        new.repartition("day")
+        new.repartition("month")
         .write.format(format_)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
+        .partitionBy("month")
         .save(path)
     )
 
 
 def spend_from_days(spark: SparkSession, path: str, format_: str = "parquet") -> DataFrame:
     """:func:`spend_by_period` of all rows that were added to the day sums at ``path``."""
-    days = spark.read.format(format_).load(path)
-    days = days.select("application", F.col("day").cast("date").alias("day"), "spend")
-    return _by_period(days)
+    return _by_period(spark.read.format(format_).load(path).select("application", "day", "spend"))
 
 
 def _by_period(daily: DataFrame) -> DataFrame:

@@ -257,24 +257,23 @@ def test_day_sums_equal_the_ledger(spark, rows, tmp_path):
     assert rows(spend_from_days(spark, path)) == rows(expected)
 
 
-def test_only_touched_days_are_written(spark, tmp_path):
+def test_only_touched_months_are_written(spark, tmp_path):
     path = tmp_path / "days"
     schema = "application string, ts timestamp_ntz, amount decimal(18,2)"
 
-    def on(*days):
-        rows_ = [("a", dt.datetime(2024, 1, d), Decimal(1)) for d in days]
+    def on(*months):
+        rows_ = [("a", dt.datetime(2024, m, d), Decimal(1)) for m in months for d in (1, 9)]
         return spark.createDataFrame(rows_, schema)
 
     def files():
-        return {p.parent.name: p.name for p in path.glob("day=*/*.parquet")}
+        return {p.parent.name: p.name for p in path.glob("month=*/*.parquet")}
 
-    add_to_days(on(*range(1, 20)), str(path))
+    add_to_days(on(*range(1, 8)), str(path))
     before = files()
-    add_to_days(on(3, 3, 25), str(path))
+    add_to_days(on(3, 3, 12), str(path))
     after = files()
-    assert set(after) - set(before) == {"day=2024-01-25"}
-    changed = {day for day in before if before[day] != after[day]}
-    assert changed == {"day=2024-01-03"}
+    assert len(before) == 7 and set(after) - set(before) == {"month=2024-12-01"}
+    assert {month for month in before if before[month] != after[month]} == {"month=2024-03-01"}
     # A job that fails while it computes changes nothing.
     broken = on(4).withColumn("amount", F.raise_error(F.lit("broken")).cast("decimal(18,2)"))
     with pytest.raises(Exception, match="broken"):

@@ -9,6 +9,9 @@ from millrace.queries import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 
 
+OF_STORES = ("list_objects", "objects_at", "read_objects", "read_named_objects", "read_object_ranges")
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -27,8 +30,8 @@ def without_broadcasts(spark):
 
 def test_no_products_and_no_python(plans):
     for name, text in plans.items():
-        if name in ("read_objects", "read_named_objects"):
-            text = text.replace("MapInArrow", "")  # opens the files
+        if name in OF_STORES:
+            text = text.replace("MapInArrow", "")  # lists, looks up or opens the files
         for operator in ("CartesianProduct", "NestedLoop", "Python", "InPandas", "InArrow"):
             assert operator not in text, (name, operator)
 
