@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Return the path of a new, unused folder that every executor can reach.
 
-    The base is the session's ``spark.checkpoint.dir``, and without that setting a folder in the
-    warehouse, which all executors reach as well.
+    The base is the session's ``spark.checkpoint.dir``, else the folder given to
+    ``setCheckpointDir``, and without either a folder in the warehouse. All of them must be
+    reached by every executor.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        given = spark.sparkContext.getCheckpointDir()
+        base = given if isinstance(given, str) else None
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

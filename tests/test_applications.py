@@ -226,9 +226,9 @@ def test_write_modes(spark, lake, tmp_path):
 
 
 def test_kafka_options():
-    assert kafka_options("localhost:9092", "src_orders_v1") == {
+    assert kafka_options("localhost:9092", "sales_topic") == {
         "kafka.bootstrap.servers": "localhost:9092",
-        "subscribe": "src_orders_v1",
+        "subscribe": "sales_topic",
     }
     options = kafka_options("localhost:9092", "t", "us\"er", "pass\\word", "SASL_PLAINTEXT")
     assert options["kafka.security.protocol"] == "SASL_PLAINTEXT"

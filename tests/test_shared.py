@@ -2,7 +2,7 @@ from unittest.mock import MagicMock
 
 from pyspark.sql import functions as F
 
-from millrace.shared import materialize, shared_folder
+from millrace.shared import Folder, materialize, shared_folder
 
 
 def session(settings):
@@ -25,6 +25,26 @@ def test_without_the_setting_the_warehouse_holds_it():
     assert shared_folder(session(both)).startswith("hdfs:///shared/")
 
 
+def test_a_checkpoint_folder_that_was_set_is_seen():
+    spark = session({"spark.sql.warehouse.dir": "hdfs:///warehouse/"})
+    spark.sparkContext.getCheckpointDir.return_value = "hdfs:///checkpoints/1-2-3"
+    assert shared_folder(spark).startswith("hdfs:///checkpoints/1-2-3/")
+
+
+def test_small_files_of_a_folder(spark, tmp_path):
+    folder = Folder(spark, f"{tmp_path}/state")
+    assert folder.names() == [] and folder.read("a") is None
+    folder.write("a", "one ü")
+    folder.write("a", "two")
+    folder.below("b").write("c", "")
+    assert folder.read("a") == "two" and folder.below("b").read("c") == ""
+    assert sorted(n for n in folder.names() if not n.startswith(".")) == ["a", "b"]
+    folder.below("b").move_all(f"{tmp_path}/moved")
+    assert (tmp_path / "moved" / "c").exists() and "b" not in folder.names()
+    folder.delete("a")
+    assert folder.read("a") is None
+
+
 def test_materialized_rows_are_computed_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
