@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.common import materialize
+from millrace.llm.common import Scratch, materialize
 
 
 def shortest_vectors() -> np.ndarray:
@@ -85,6 +85,7 @@ def unit_vectors(
 
 def near_pairs(
     vectors: DataFrame,
+    scratch: Scratch,
     threshold: float = 0.95,
     tables: int = 6,
     probes: int = 8,
@@ -150,11 +151,12 @@ def near_pairs(
 
     spread = (
         vectors.mapInArrow(rows, "cell long, probing boolean, id long, code binary")
-        .repartition("cell", "probing")
+        # By range, so that a full cell is cut where a task has enough of it.
+        .repartitionByRange("cell", "probing", "id")
         .sortWithinPartitions("cell", "probing", "id")
         .mapInArrow(pack, "cell long, probing boolean, ids binary, codes binary")
     )
-    spread = materialize(spread)
+    spread = scratch.keep(spread)
     indexed = spread.filter("not probing").select(
         "cell", F.col("ids").alias("x_ids"), F.col("codes").alias("x_codes")
     )
@@ -229,9 +231,10 @@ def near_vectors(
     member = member.join(
         classes.select("class", "vector", F.col("id").alias("head"), "n"), ["class", "vector"]
     ).select("id", "head", "n")
-    pairs = materialize(
-        near_pairs(classes.select("id", "vector"), threshold, tables, probes, scale)
-    )
+    scratch = Scratch(embeddings.sparkSession)
+    pairs = near_pairs(classes.select("id", "vector"), scratch, threshold, tables, probes, scale)
+    pairs = materialize(pairs)
+    scratch.drop()
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = (
         both.join(classes.select(F.col("id").alias("b"), "n"), "b")
