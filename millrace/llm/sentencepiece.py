@@ -158,7 +158,7 @@ def encoder(path: str):
     def search(stretch: str) -> bytes:
         return array("i", segment_ids(pieces, stretch)).tobytes()
 
-    known = kept_by_worker(f"{path} stretches", lambda: Memo(search, 64 << 20))
+    known = kept_by_worker(f"{path} stretches", lambda: Memo(search, 128 << 20))
     stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
     line_end = search("\n")
 
