@@ -464,7 +464,8 @@ def cross_entropy_difference(
     ids = ids.withColumn("target", F.lit(True))
 
     def marked(rows: DataFrame) -> DataFrame:
-        joined = rows.join(ids, "doc_id", "left")
+        # Never broadcast: the target's ids grow with the corpus, so the plan is one at any size.
+        joined = rows.join(ids.hint("merge"), "doc_id", "left")
         return joined.withColumn("target", F.coalesce("target", F.lit(False)))
 
     scratch = Scratch(spark)
