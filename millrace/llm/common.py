@@ -43,6 +43,11 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.function(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        """Remember a result that was found otherwise."""
         self.held += 100 + sys.getsizeof(key) + sys.getsizeof(value)
         if isinstance(value, tuple):
             self.held += sum(map(sys.getsizeof, value))
@@ -50,7 +55,6 @@ class Memo(dict):
             self.clear()
             self.held = 0
         self[key] = value
-        return value
 
 
 @contextmanager
@@ -146,6 +150,35 @@ def batches_of(
             start = end
 
 
+def by_stretch(
+    texts: list[bytes],
+    starts: Callable[[np.ndarray], np.ndarray],
+    ids_of: Callable[[list[str]], tuple[np.ndarray, bytes]],
+) -> list[np.ndarray]:
+    """The ids of UTF-8 texts, put together from those of the stretches that they consist of.
+
+    ``starts`` tells of each of all bytes whether a stretch starts there, which must be at the
+    first byte of a sign; a text starts one in any case. ``ids_of`` gives, of different
+    stretches, how many ids each has and all ids as packed 32-bit numbers: each stretch is asked
+    for once, however often it occurs.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bounds = np.cumsum([0, *map(len, texts)])
+    begins = starts(data)
+    begins[bounds[bounds < len(data)]] = True
+    places = np.append(np.flatnonzero(begins), len(data)).astype(np.int64)
+    buffers = [None, pa.py_buffer(places), pa.py_buffer(data)]
+    stretches = pa.Array.from_buffers(pa.large_string(), len(places) - 1, buffers).dictionary_encode()
+    sizes, found = ids_of(stretches.dictionary.to_numpy(zero_copy_only=False).tolist())
+    first, which = np.cumsum(sizes) - sizes, np.asarray(stretches.indices)
+    ends = np.append(0, np.cumsum(sizes[which]))
+    # An id's place among those of the different stretches, for each stretch as it occurs.
+    moved = np.repeat(first[which] - ends[:-1], sizes[which])
+    ids = np.frombuffer(found, np.uint32)[moved + np.arange(ends[-1])]
+    cuts = ends[np.searchsorted(places, bounds)]
+    return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of batches one by one, for rows so large that only one is made at a time."""
     for batch in batches:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, batches_of, binaries, kept_by_worker
+from millrace.llm.common import Memo, batches_of, binaries, by_stretch, kept_by_worker
 
 SPACE = "▁"  # what stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the file format
@@ -109,6 +108,21 @@ class StreamingViterbi:
         self.__init__(self.pieces)
         return out
 
+    def change(self, text: str) -> list[int]:
+        """The ids of a text in the place of the one that is held, none of which was given out.
+
+        What was found for the beginning that both share depends on nothing after it, and holds.
+        """
+        shared = 0
+        for old, new in zip(self.text, text):
+            if old != new:
+                break
+            shared += 1
+        self.text = text[:shared]
+        del self.best[shared + 1 :], self.back[shared + 1 :]
+        self._extend(text[shared:])
+        return self._ids(len(text))
+
     def _ids(self, end: int) -> list[int]:
         """The ids of the best way to a boundary, from the last to the first."""
         out: list[int] = []
@@ -147,36 +161,72 @@ def segment_ids(pieces: Pieces, text: str) -> list[int]:
     return viterbi.push(text) + viterbi.finish()
 
 
-def encoder(path: str):
-    """A function from a text (UTF-8, null counts as empty) to its ids.
+def segment_many(pieces: Pieces, texts: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+    """Different texts, each with its ids as by :func:`segment_ids`, in their order as strings.
+
+    So each shares the longest beginning with its neighbour, and only its end is searched.
+    """
+    viterbi, long = StreamingViterbi(pieces), 2 * pieces.longest
+    for text in sorted(texts):
+        yield text, viterbi.change(text) if len(text) < long else segment_ids(pieces, text)
+
+
+def batch_encoder(path: str) -> Callable[[list[bytes | None]], list[np.ndarray]]:
+    """A function from texts (UTF-8, null counts as empty) to the ids of each.
 
     Between two places where every segmentation has a boundary all ways meet, so what is found
     for a stretch of text holds wherever it stands: a worker searches each stretch once.
     """
     pieces = kept_by_worker(f"{path} pieces", lambda: Pieces(path))
 
+    def packed(ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
+
     def search(stretch: str) -> bytes:
-        return array("i", segment_ids(pieces, stretch)).tobytes()
+        return packed(segment_ids(pieces, stretch.replace(" ", SPACE)))
 
+    # In stretches and whole texts here a space is a space; in the search it is its sign.
     known = kept_by_worker(f"{path} stretches", lambda: Memo(search, 128 << 20))
-    stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-    line_end = search("\n")
 
-    def encode(text: bytes | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        signs = text.decode().replace(" ", SPACE)
-        if pieces.prefix:
-            signs = SPACE + signs
+    def starts(data: np.ndarray) -> np.ndarray:
         if not pieces.apart:
-            return np.frombuffer(search(signs), np.int32)
-        rows = signs.split("\n") if pieces.lines else [signs]
-        found = (b"".join([known[s] for s in stretches(row)]) for row in rows)
-        return np.frombuffer(line_end.join(found), np.int32)
+            return np.zeros(len(data), bool)
+        space = data == ord(" ")
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        if pieces.lines:
+            line = data == ord("\n")
+            begins |= line
+            begins[1:] |= line[:-1]
+        return begins
+
+    def ids_of(stretches: list[str]) -> tuple[np.ndarray, bytes]:
+        # Whole texts are not worth keeping.
+        found = list(map(known.get if pieces.apart else search, stretches))
+        new = {s.replace(" ", SPACE): k for k, s in enumerate(stretches) if found[k] is None}
+        for stretch, ids in segment_many(pieces, new):
+            k = new[stretch]
+            found[k] = packed(ids)
+            known.keep(stretches[k], found[k])
+        return np.fromiter(map(len, found), np.int64, len(found)) // 4, b"".join(found)
+
+    def prepared(text: bytes | None) -> bytes:
+        if not text:
+            return b""
+        return b" " * pieces.prefix + text.replace(SPACE.encode(), b" ")
+
+    def encode(texts: list[bytes | None]) -> list[np.ndarray]:
+        return [x.view(np.int32) for x in by_stretch(list(map(prepared, texts)), starts, ids_of)]
 
     return encode
 
 
+def encoder(path: str) -> Callable[[bytes | None], np.ndarray]:
+    """A function from a text to its ids, as by :func:`batch_encoder`."""
+    encode = batch_encoder(path)
+    return lambda text: encode([text])[0]
+
+
 def decoder(path: str):
     """A function from ids to the text they stand for, as UTF-8; ids out of range are an error."""
     pieces = kept_by_worker(f"{path} pieces", lambda: Pieces(path))
@@ -201,10 +251,10 @@ def encode_documents(
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, decode = encoder(model), decoder(model)
+        encode, decode = batch_encoder(model), decoder(model)
         for batch in batches_of(batches, "text", 1 << 22):
             texts = binaries(batch.column("text"))
-            ids = [encode(text) for text in texts]
+            ids = encode(texts)
             offsets = np.cumsum([0, *map(len, ids)])
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             same = [decode(found) == (text or b"") for found, text in zip(ids, texts)]

@@ -1,6 +1,7 @@
 """Each operator on documents against a plain version, on odd rows and on the small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,13 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from millrace.llm import licenses, sentencepiece, toxicity
+from millrace.llm import common, licenses, sentencepiece, toxicity
 from millrace.llm.jaccard import jaccard_components
 from millrace.llm.language_model import cross_entropy_difference
 from millrace.llm.line_runs import line_dedup
 from millrace.llm.packing import pack_documents
 from millrace.llm.queries import tokenizer_path
 from millrace.llm.substring import substring_dedup
+from millrace.llm.tokens import word_encoder
 
 from .conftest import SMALL, odd_rows
 
@@ -417,6 +419,65 @@ def test_sentencepiece_agrees_with_the_library_on_words(small_texts):
     assert seen > 1000
 
 
+def test_stretches_are_asked_for_once_and_put_together():
+    asked = []
+
+    def ids_of(stretches):
+        asked.extend(stretches)
+        sizes = np.array([len(s.split()) for s in stretches], np.int64)
+        return sizes, np.array([len(w) for s in stretches for w in s.split()], "<u4").tobytes()
+
+    def starts(data):
+        return data == ord("|")
+
+    texts = ["", "a bb|ccc", "|ccc", "", "é é|", "a bb|ccc|ccc||", ""]
+    found = common.by_stretch([t.encode() for t in texts], starts, ids_of)
+    assert [x.tolist() for x in found] == [[], [1, 2, 4], [4], [], [1, 1, 1], [1, 2, 4, 4, 1, 1], []]
+    assert sorted(asked) == ["a bb", "|", "|ccc", "é é"]
+    assert common.by_stretch([], starts, ids_of) == []
+
+
+def test_search_goes_on_from_what_neighbours_share(small_texts, monkeypatch):
+    pieces, searched = sentencepiece.Pieces(MODEL), []
+    words = {"▁" + w for _, t in small_texts for w in t.split()} | {"▁" * 99, "日本", "日x", "x" * 40}
+    expected = {w: sentencepiece.segment_ids(pieces, w) for w in words}
+    plain = sentencepiece.StreamingViterbi._extend
+
+    def counted(self, signs):
+        searched.append(len(signs))
+        plain(self, signs)
+
+    monkeypatch.setattr(sentencepiece.StreamingViterbi, "_extend", counted)
+    assert dict(sentencepiece.segment_many(pieces, words)) == expected
+    assert sum(searched) < 0.7 * sum(map(len, words))
+
+
+def test_encoders_of_texts_with_odd_signs():
+    from tokenizers import Tokenizer
+
+    parts = ["It's", "we're", "ÀÉß", "x÷y", "日本", "naïve\xa0", "<|", "a<|endoftext|>b", "\x00\x1c\x85",
+             "42", "▁", "▁▁w", "W.W.", "'", "\U0001f600"]
+    whites = [" ", "  ", "\n", "\t", " \n ", "\r\n", "\v\f", "\n\n"]
+    rng = random.Random(3)
+    texts = ["", " ", "\n", "  \n"] + [
+        "".join(rng.choice(parts) + rng.choice(whites) for _ in range(rng.randrange(1, 9)))
+        for _ in range(300)
+    ]
+    coded = [t.encode() for t in texts] + [None]
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    words = word_encoder(path)(coded)
+    for text, ids in zip(texts, words):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    pieces = sentencepiece.Pieces(MODEL)
+    for text, ids in zip(texts, sentencepiece.batch_encoder(MODEL)(coded)):
+        signs = "▁" * pieces.prefix + text.replace(" ", "▁")
+        stretches = re.findall("\n|▁*[^▁\n]+|▁+", signs) if text else []
+        assert ids.tolist() == [i for s in stretches for i in sentencepiece.segment_ids(pieces, s)]
+        assert sentencepiece.encoder(MODEL)(text.encode()).tolist() == ids.tolist()
+    assert len(words[-1]) == 0
+
+
 def test_sentencepiece_round_trip(odd, no_documents, rows):
     found = sentencepiece.encode_documents(odd, MODEL)
     texts = {i: t for i, t in odd_rows()}
