@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from millrace.llm import common, licenses, sentencepiece, toxicity
+from millrace.llm import common, licenses, sentencepiece, tokens, toxicity
 from millrace.llm.jaccard import jaccard_components
 from millrace.llm.language_model import cross_entropy_difference
 from millrace.llm.line_runs import line_dedup
@@ -478,6 +478,21 @@ def test_encoders_of_texts_with_odd_signs():
     assert len(words[-1]) == 0
 
 
+def test_words_that_occur_again_are_cut_into_runs_once(monkeypatch):
+    path, plain, seen = tokenizer_path("word_bpe_49k.json"), tokens._RUNS, []
+
+    class Runs:
+        def findall(self, text):
+            seen.append(text)
+            return plain.findall(text)
+
+    monkeypatch.setattr(tokens, "_RUNS", Runs())
+    text = "Some words, again and again and again.\n"
+    ids = word_encoder(path)([text.encode() * 50] * 20)
+    assert len(ids) == 20 and len({tuple(x) for x in ids}) == 1 and len(ids[0]) % 50 == 0
+    assert sum(map(len, seen)) < 2 * len(text)
+
+
 def test_sentencepiece_round_trip(odd, no_documents, rows):
     found = sentencepiece.encode_documents(odd, MODEL)
     texts = {i: t for i, t in odd_rows()}
