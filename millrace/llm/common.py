@@ -73,6 +73,23 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles meanwhile is deleted when the query has ended.
+
+    Otherwise it stays on the executors' disks until the driver happens to collect its garbage,
+    so that the shuffles of all steps of an operator add up. For steps that write a table or
+    collect rows, and whose shuffles no later query reads.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``millrace.shared.materialize`` with small batches."""
     with small_batches(df.sparkSession):

@@ -15,12 +15,14 @@ from millrace.llm.common import (
     Scratch,
     batches_of,
     binaries,
+    freed_shuffles,
     hash_words,
     mix,
     shingle_hashes,
     text_bytes,
 )
 from millrace.llm.components import connected_components
+from millrace.llm.line_runs import may_be_hit
 from millrace.llm.routing import bucket_count, repeated_keys, routed
 from millrace.llm.common import materialize
 
@@ -28,6 +30,8 @@ from millrace.llm.common import materialize
 RARE = 3
 #: Text whose prefix tokens fill a bucket, in bytes.
 BUCKET_BYTES = 4 << 20
+#: Neighbouring blocks of sets make a tile: two to the power of this.
+TILE_BITS = 3
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -135,8 +139,10 @@ def _repeated_tokens(
     """The tokens of prefixes that are in several of them.
 
     ``sets`` has ``doc_id, prefix``. Returns ``doc_id, tokens`` (how many), or if ``counted``
-    ``doc_id, token, count`` (in how many prefixes).
+    ``doc_id, token``, where the bits from ``count_place(buckets)`` on tell in how many prefixes
+    it is: the order of these numbers is that of all tokens from rare to frequent.
     """
+    place = count_place(buckets)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -182,14 +188,14 @@ def _repeated_tokens(
                     )
                     continue
                 token = (np.int64(row["bucket"]) << 32) | keys[kept].astype(np.int64)
+                token |= np.minimum(numbers[at[kept]], (1 << (63 - place)) - 1) << place
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owners), pa.array(token), pa.array(numbers[at[kept]])],
-                    names=["doc_id", "token", "count"],
+                    [pa.array(owners), pa.array(token)], names=["doc_id", "token"]
                 )
 
     met = chunks.select("bucket", "keys", "owners").join(repeated, "bucket")
     return met.mapInArrow(
-        select, "doc_id long, token long, count long" if counted else "doc_id long, tokens long"
+        select, "doc_id long, token long" if counted else "doc_id long, tokens long"
     )
 
 
@@ -208,30 +214,63 @@ def _survivors(sets: DataFrame, buckets: int, bounds: Bounds, scratch: Scratch)
     )
 
 
+def count_place(buckets: int) -> int:
+    """The bit from which on a number of a token has its count; below are its bucket and key."""
+    return 32 + max(1, (buckets - 1).bit_length())
+
+
+def prefix_keys(tokens: np.ndarray, n: int, place: int, bounds: Bounds) -> np.ndarray:
+    """The index keys of a set of ``n`` tokens, of which these are in other sets too.
+
+    Its prefix is that of all its tokens in order from rare to frequent. Those of no other set
+    come first, and need no key. A set that is similar to another shares ``overlap(n)`` tokens
+    with it; one with fewer that are in others has no key.
+    """
+    if len(tokens) < bounds.overlap(n):
+        return np.empty(0, np.uint64)
+    tokens = np.sort(tokens)[: bounds.prefix(n) - (n - len(tokens))]
+    counts = tokens >> np.int64(place)
+    return token_keys((tokens & np.int64((1 << place) - 1)).view(np.uint64), counts, n, bounds)
+
+
 def _index(sets: DataFrame, buckets: int, bounds: Bounds, scratch: Scratch) -> DataFrame:
-    """``key, doc_id``: the index keys of the sets that may be similar to another."""
-    per_set = _repeated_tokens(sets, buckets, True, scratch).groupBy("doc_id").agg(
-        F.collect_list("token").alias("tokens"), F.collect_list("count").alias("counts")
-    )
+    """``key, doc_id``: the index keys of the sets that may be similar to another.
+
+    ``sets`` has ``doc_id, n, tokens``: whole sets.
+    """
+    whole = sets.select("doc_id", F.col("tokens").alias("prefix"))
+    place = count_place(buckets)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for doc_id, n, tokens, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                found = token_keys(
-                    np.array(tokens, np.uint64), np.array(counts, np.int64), n, bounds
-                )
-                keys.append(found.view(np.int64))
-                owners.append(np.full(len(found), doc_id, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))],
+        def of_sets(owners: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+            """Each set's size stands first, negative."""
+            first = np.flatnonzero(tokens < 0)
+            found = [
+                prefix_keys(own[1:], -int(own[0]), place, bounds)
+                for own in np.split(tokens, first[1:])
+            ]
+            ids = np.repeat(owners[first], [len(keys) for keys in found])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)],
                 names=["key", "doc_id"],
             )
 
-    sized = per_set.join(sets.select("doc_id", "n"), "doc_id")
-    return sized.select("doc_id", "n", "tokens", "counts").mapInArrow(
-        index, "key long, doc_id long"
-    )
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            owners, tokens = (np.asarray(c, np.int64) for c in batch.columns)
+            first = np.flatnonzero(tokens < 0)
+            if len(first) and (held or first[-1]):
+                held.append((owners[: first[-1]], tokens[: first[-1]]))
+                yield of_sets(*map(np.concatenate, zip(*held)))
+                held, owners, tokens = [], owners[first[-1] :], tokens[first[-1] :]
+            held.append((owners, tokens))
+        if held and sum(len(owners) for owners, _ in held):
+            yield of_sets(*map(np.concatenate, zip(*held)))
+
+    sizes = sets.filter("n > 0").select("doc_id", (-F.col("n")).alias("token"))
+    listed = _repeated_tokens(whole, buckets, True, scratch).union(sizes)
+    listed = listed.repartition("doc_id").sortWithinPartitions("doc_id", "token")
+    return listed.mapInArrow(index, "key long, doc_id long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
@@ -276,17 +315,26 @@ def jaccard_components(
 
     Documents with equal sets form a class, for which its smallest id stands. Prefixes of
     tokens in order of their hash are extended so that similar sets share several tokens of
-    them; tokens of one set only are counted out, and with them most sets. Rare tokens and pairs
-    of frequent ones index the rest (``token_keys``). Of the sets under a key the first is
-    compared with each other one. Where these links leave several groups under a key, the sets
+    them; tokens of one set only are counted out, and with them most sets. Of the rest all
+    tokens are counted: a set whose share of tokens in other sets is below ``percent`` is out
+    too, and the rare tokens and pairs of frequent ones in the prefixes by frequency index
+    what is left (``prefix_keys``). Of the sets under a key the first is
+    compared with each other one. Where these links leave the others in several groups, the others
     of all keys that hang together so are compared in blocks, for links between groups only. So
     most of a group of near copies takes about as many comparisons as it has members, no row is
     made for a pair, and no link between two components is missed.
     """
+    with freed_shuffles(docs.sparkSession):
+        return _components(docs, size, percent, id_column, text_column)
+
+
+def _components(
+    docs: DataFrame, size: int, percent: int, id_column: str, text_column: str
+) -> DataFrame:
     bounds, sharp = Bounds(percent, 5), Bounds(percent, 30)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     scratch, early = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    prefixes = scratch.keep(document_sets(source, size, bounds))
+    prefixes = early.keep(document_sets(source, size, bounds))
     sets = materialize(prefixes.select("doc_id", "n", "signature"))
     known = sets.filter("doc_id is not null and n > 0")
     classes = materialize(known.groupBy("signature").agg(F.min("doc_id").alias("head")))
@@ -296,36 +344,32 @@ def jaccard_components(
     buckets = bucket_count(text_bytes(source), BUCKET_BYTES)
     survivors = scratch.keep(_survivors(heads, buckets, bounds, early))
     early.drop()
-    whole = scratch.keep(_whole_sets(source, survivors, size))
-    cut = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(
-        F.lit(1), F.floor(F.col("n") * sharp.certain_percent / 100)
-    )
-    prefix = F.substring("tokens", F.lit(1), (cut * 8).cast("int"))
-    lowest_tokens = whole.select("doc_id", "n", prefix.alias("prefix"))
-    index = scratch.keep(_index(lowest_tokens, buckets, sharp, early))
+    whole = early.keep(_whole_sets(source, survivors, size))
+    index = scratch.keep(_index(whole, buckets, sharp, early))
+    indexed = scratch.keep(index.select("doc_id").distinct())
+    whole = whole.filter(may_be_hit(indexed, ["doc_id"])).join(indexed, "doc_id", "left_semi")
+    whole = scratch.keep(whole)
     early.drop()
 
     lowest = index.groupBy("key").agg(F.min("doc_id").alias("a"))
-    tried = scratch.keep(
-        index.join(lowest, "key").filter("doc_id != a").select("a", F.col("doc_id").alias("b"))
-        .distinct()
-    )
+    others = scratch.keep(
+        index.join(lowest, "key").filter("doc_id != a").select("key", "a", F.col("doc_id").alias("b"))
+    )
+    tried = scratch.keep(others.select("a", "b").distinct())
     links = materialize(_verified(tried, whole, bounds))
 
     found = connected_components(links).select(
-        F.col("node").alias("doc_id"), F.col("component_id").alias("group")
+        F.col("node").alias("b"), F.col("component_id").alias("group")
     )
     grouped = scratch.keep(
-        index.join(found, "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("group", "doc_id").alias("group")
-        )
+        others.join(found, "b", "left").select("key", "b", F.coalesce("group", "b").alias("group"))
     )
+    # The first set of a key has met all others: these may still have to meet each other.
     per_key = grouped.groupBy("key").agg(
-        F.min("group").alias("low"), F.max("group").alias("high"), F.min("doc_id").alias("a")
+        F.min("group").alias("low"), F.max("group").alias("high"), F.min("b").alias("a")
     )
     open_keys = per_key.filter("low != high").select("key", "a")
-    apart = grouped.join(open_keys, "key").select("a", F.col("doc_id").alias("b"), "group")
-    apart = scratch.keep(apart.distinct())
+    apart = scratch.keep(grouped.join(open_keys, "key").select("a", "b", "group").distinct())
     pools = connected_components(apart.filter("a != b").select("a", "b"))
     pooled = apart.select(F.col("b").alias("doc_id"), "group").distinct()
     # The first of a pool's documents names it, and is the end of its links only.
@@ -358,8 +402,9 @@ def _between_groups(
 
     ``pooled`` has ``pool, group, doc_id, n, tokens``. A pool is sorted by size over the cluster
     and cut into blocks; two blocks meet if sets of their sizes can be similar. A block pair
-    counts what all its pairs share at once, and gives only links between groups that it has not
-    joined already, so no row is made for a pair.
+    counts what all its pairs share at once, and gives only links between groups that have not
+    been joined already, so no row is made for a pair. Blocks meet by tiles of neighbours: one is
+    sent to a task once for all blocks of another tile.
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +440,7 @@ def _between_groups(
             yield block()
 
     blocks = (
-        pooled.repartitionByRange("pool", "n")
+        pooled.repartitionByRange("pool", "n", "doc_id")
         .sortWithinPartitions("pool", "n", "doc_id")
         .select("pool", "doc_id", "group", "tokens")
         .mapInArrow(
@@ -405,29 +450,40 @@ def _between_groups(
         )
     )
     blocks = scratch.keep(blocks.withColumn("number", F.monotonically_increasing_id()))
-    other = blocks.select("pool", *(F.col(c).alias(f"o_{c}") for c in blocks.columns[1:]))
+    own = F.shiftright("number", TILE_BITS)
+    tiles = blocks.groupBy("pool", own.alias("tile")).agg(
+        F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    tiles = scratch.keep(tiles)
+    other = tiles.select("pool", *(F.col(c).alias(f"o_{c}") for c in tiles.columns[1:]))
     can = (F.col("high") * 100 >= F.col("o_low") * bounds.percent) & (
         F.col("o_high") * 100 >= F.col("low") * bounds.percent
     )
-    met = blocks.join(other, "pool").filter((F.col("number") <= F.col("o_number")) & can)
-    met = met.repartition("number", "o_number")
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                sides = []
-                for c in ("", "o_"):
-                    sides.append(
-                        tuple(np.frombuffer(row[c + k], np.int64) for k in ("ids", "groups", "sizes"))
-                        + (np.frombuffer(row[c + "tokens"], np.uint64),)
-                    )
-                found += _links_of_blocks(*sides, bounds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
-            )
-
-    return met.mapInArrow(compare, "a long, b long")
+    pair = ["pool", "tile", "o_tile"]
+    met = tiles.join(other, "pool").filter((F.col("tile") <= F.col("o_tile")) & can).select(pair)
+    sides = met.withColumn("own", F.explode(F.array_distinct(F.array("tile", "o_tile"))))
+    sent = sides.join(blocks.withColumn("own", own), ["pool", "own"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda row: row["number"])
+        sides = [
+            tuple(np.frombuffer(row[k], np.int64) for k in ("ids", "groups", "sizes"))
+            + (np.frombuffer(row["tokens"], np.uint64),)
+            for row in rows
+        ]
+        found: list[tuple[int, int]] = []
+        parent: dict[int, int] = {}
+        for k, row in enumerate(rows):
+            for o, other in enumerate(rows[k:], k):
+                if (
+                    (row["own"], other["own"]) == (row["tile"], row["o_tile"])
+                    and row["high"] * 100 >= other["low"] * bounds.percent
+                    and other["high"] * 100 >= row["low"] * bounds.percent
+                ):
+                    found += _links_of_blocks(sides[k], sides[o], bounds, parent)
+        return pa.table({c: pa.array([p[k] for p in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return sent.groupBy(*pair).applyInArrow(compare, "a long, b long")
 
 
 def _shared(x: tuple, y: tuple, width: int = 1 << 15) -> np.ndarray:
@@ -451,13 +507,17 @@ def _shared(x: tuple, y: tuple, width: int = 1 << 15) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _links_of_blocks(x: tuple, y: tuple, bounds: Bounds) -> list[tuple[int, int]]:
-    """Links between the groups of two blocks: enough to join those that are joined at all."""
+def _links_of_blocks(
+    x: tuple, y: tuple, bounds: Bounds, parent: dict[int, int]
+) -> list[tuple[int, int]]:
+    """Links between the groups of two blocks: enough to join those that are joined at all.
+
+    ``parent`` has what was joined so far, and is added to.
+    """
     shared = _shared(x, y)
     n, m = x[2][:, None], y[2][None, :]
     similar = 100 * shared >= bounds.percent * (n + m - shared)
     i, j = np.nonzero(similar & (x[1][:, None] != y[1][None, :]))
-    parent: dict[int, int] = {}
 
     def root(g: int) -> int:
         while parent.setdefault(g, g) != g:
@@ -489,7 +549,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             )
 
     return (
-        docs.join(wanted, "doc_id", "left_semi")
+        docs.filter(may_be_hit(wanted, ["doc_id"]))
+        .join(wanted, "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
         .select("doc_id", "text")
         .mapInArrow(read, "doc_id long, n long, tokens binary")

@@ -154,13 +154,13 @@ def repeated_runs(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
     return runs.select("id", "earlier", "lines")
 
 
-def _may_be_hit(hits: DataFrame) -> Column:
+def may_be_hit(hits: DataFrame, names: Sequence[str] = DOCUMENT) -> Column:
     """A test that holds for every document of ``hits``, and for few others.
 
     It is a subquery of one value, a bitmap of ``FILTER_BITS`` bits: 2 MiB whatever the number of
     documents. By it the texts that lose no line are told apart where they are read.
     """
-    bit = F.pmod(F.xxhash64(*DOCUMENT), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS))
     maps = hits.select(bit.alias("bit")).groupBy(
         F.floor(F.col("bit") / _BITMAP_BITS).cast("int").alias("part")
     ).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(_BITMAP_BITS))).alias("bits"))
@@ -236,7 +236,7 @@ def line_dedup(
     scratch.drop()
 
     marked = source.withColumn("text_hash", F.xxhash64("text"))
-    marked = marked.withColumn("hit", _may_be_hit(removed))
+    marked = marked.withColumn("hit", may_be_hit(removed))
     split = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
     left = F.array_join(F.transform(kept, lambda place: F.get(split, place)), "\n")
