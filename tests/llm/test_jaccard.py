@@ -98,6 +98,29 @@ def test_common_phrases_make_no_pool(spark, monkeypatch):
     assert kept == [0]
 
 
+def test_pipeline_stage_makes_no_pool_of_common_phrases(spark, monkeypatch):
+    from corpus_pipeline import near_duplicates
+    from millrace.llm import jaccard
+
+    rng = random.Random(6)
+    phrases = [words(2000 + k, 14, 10**6) for k in range(40)]
+    texts = []
+    for i in range(100):
+        parts = rng.sample(phrases, 12) + [words(i, 14, 10**6) for _ in range(12)]
+        rng.shuffle(parts)
+        texts.append((i, " ".join(w for p in parts for w in p)))
+    texts.append((500, texts[7][1] + " more"))
+    kept = []
+    whole = jaccard._between_groups
+    monkeypatch.setattr(
+        jaccard, "_between_groups", lambda p, *a: (kept.append(p.count()), whole(p, *a))[1]
+    )
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    left = {r.doc_id for r in near_duplicates(spark, docs, "").collect()}
+    assert left == set(plain_groups(texts, 5, 80).values()) == set(range(100))
+    assert kept == [0]
+
+
 def test_many_blocks_of_a_pool(spark):
     """Small blocks in several tiles: their links join what is similar, and nothing else."""
     rng = random.Random(4)
